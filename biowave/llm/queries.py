@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biowave.llm import exact_dedup, sharding
+from biowave.llm import exact_dedup, packing, sharding, simhash
 from biowave.llm.common import table
 
 
@@ -16,7 +16,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, bits=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_packing, op5_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
