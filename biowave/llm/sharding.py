@@ -20,32 +20,30 @@ LOW = -(1 << 63)
 PER_RANGE = 16  # sampled keys for each range
 MAX_RANGES = 1 << 14  # bounds what the driver holds: the sample is about PER_RANGE times this
 ROWS_PER_RANGE = 1 << 20
+ROUNDS = 4  # of counting the ranges; overfull ones are subdivided between two
 
 
-def _between(key: Column, sub: Column, at: list[tuple[int, int]]) -> list[tuple[str, Column]]:
-    """Steps of a binary search for the number of splitters that are <= (key, sub); each step is a column."""
-    size = 1 << max(1, math.ceil(math.log2(len(at) + 1)))
+def _ranged(rows: DataFrame, at: list[tuple[int, int]]) -> DataFrame:
+    """rows with the number of their range: how many of the splitters are <= (key, sub), by binary search.
+
+    The splitters, at most max_ranges and their subdivisions, are the arrays of a one-row table that every task gets.
+    """
+    size = 1 << len(at).bit_length()
     top = (1 << 63) - 1
     padded = [*at, *[(top, top)] * (size - len(at))]
-    keys, subs = (F.array(*[F.lit(x[i]).cast("bigint") for x in padded]) for i in (0, 1))
-    steps, half, pos = [], size // 2, F.lit(0)
-    while half:
-        probe = pos + F.lit(half)  # arrays count from 1: the splitter before place pos + half
-        k, s = F.element_at(keys, probe), F.element_at(subs, probe)
-        steps.append((f"_pos{half}", F.when((key > k) | ((key == k) & (sub >= s)), probe).otherwise(pos)))
-        pos, half = F.col(f"_pos{half}"), half // 2
-    return steps
+    table = rows.sparkSession.createDataFrame(
+        [(0, [k for k, _ in padded], [s for _, s in padded])], "_one bigint, _keys array<bigint>, _subs array<bigint>"
+    )
+    halves = [size >> k for k in range(1, size.bit_length())] or [0]
 
+    def step(found: Column, half: Column) -> Column:
+        probe = found + half  # arrays count from 1: this is the last splitter of the nearer half
+        k, s = F.element_at("_keys", probe), F.element_at("_subs", probe)
+        return F.when((F.col("key") > k) | ((F.col("key") == k) & (F.col("sub") >= s)), probe).otherwise(found)
 
-def _ranged(rows: DataFrame, at: list[tuple[int, int]]) -> DataFrame:
-    """rows with the number of their range."""
-    if not at:
-        return rows.withColumn("range", F.lit(0))
-    steps = _between(F.col("key"), F.col("sub"), at)
-    out = rows
-    for name, step in steps:
-        out = out.withColumn(name, step)
-    return out.withColumn("range", F.col(steps[-1][0])).drop(*[name for name, _ in steps])
+    out = rows.join(F.broadcast(table), F.pmod(F.col("sub"), F.lit(1)) == F.col("_one"))
+    place = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step) if at else F.lit(0)
+    return out.withColumn("range", place).drop("_one", "_keys", "_subs")
 
 
 def _splitters(sample: list[tuple[int, int]], step: int) -> list[tuple[int, int]]:
@@ -88,13 +86,13 @@ def shard(
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     ranges = min(max_ranges, max(32 * shards if count > 32 * shards else 1, math.ceil(count / rows_per_range)))
     at = _splitters(_sampled(rows, PER_RANGE * ranges / total, 0), PER_RANGE) if ranges > 1 else []
-    for again in (1, 2, 3):
+    for again in range(1, ROUNDS + 1):
         sums = {
             r["range"]: (r["b"], r["n"])
             for r in _ranged(rows, at).groupBy("range").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
         }
         full = [k for k, (b, n) in sums.items() if n > 1 and b > 3 * total / ranges]
-        if ranges == 1 or not full:
+        if ranges == 1 or not full or again == ROUNDS:
             break
         drawn = _sampled(_ranged(rows, at).where(F.col("range").isin(full)), PER_RANGE * ranges / total, again)
         more: dict[int, list[tuple[int, int]]] = {}
