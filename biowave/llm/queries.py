@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from biowave.llm import exact_dedup, packing, sharding, simhash
-from biowave.llm.common import table
+from biowave.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash
+from biowave.llm.common import crc32_mod, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, bits=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_packing, op5_simhash)}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_maximal(table(spark, sf_dir, "conversations"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc32_mod(F.col("doc_id"), 5)
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_packing, op5_simhash, op8_chat, op9_mixing, op10_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -35,4 +50,17 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op8_chat": """
+        WITH t AS (
+            SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+        k AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+                   '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS line FROM t),
+        c AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY k) AS text,
+                   list(role || chr(31) || text ORDER BY k) AS turns FROM k GROUP BY conv_id),
+        w AS (SELECT turns, n_turns, min(text) AS text, min(conv_id) AS conv_id, count(*) AS n_logged FROM c GROUP BY turns, n_turns),
+        p AS (SELECT DISTINCT turns[1:i] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS i FROM w))
+        SELECT conv_id, n_turns, n_logged, text FROM w WHERE turns NOT IN (SELECT turns FROM p)
+    """,
 }
