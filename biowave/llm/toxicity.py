@@ -3,7 +3,7 @@
 One model a class predicts each byte of a word from those before it: the class's own discounted counts at the longest
 context, backed off to a Kneser-Ney chain of counts that both classes share, so what is rare in both says nothing. A
 word's log-likelihood ratio follows, and a document is judged by ratios normalised by length: over the whole text, and
-over its most toxic expressions (single words and pairs), which a long text would otherwise drown. A logistic curve
+over its few most toxic words, which a long text would otherwise drown. A logistic curve
 fitted on labelled documents outside the counts turns these into a score.
 """
 
@@ -20,12 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-ORDER = 5  # bytes of an n-gram with the predicted one; at most 7 fit a key exactly
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")  # letters and digits; marks around a word don't make another expression
+ORDER = 6  # bytes of an n-gram with the predicted one; at most 7 fit a key exactly
 DISCOUNT = 0.75
 SAMPLE_ROWS = 4_000  # labelled rows of each class that are used, at most
 CACHED_WORDS = 200_000  # ratios that a worker remembers
-STATISTICS = 5
+STATISTICS = 6
+TOP = 5  # words that count as a document's most toxic
 
 
 def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,16 +114,15 @@ class Models:
         if not words:
             return [0.0] * STATISTICS
         r = np.fromiter(map(ratio, words), float, len(words))
-        top = np.sort(np.partition(r, -3)[-3:])[::-1] if len(r) > 3 else np.sort(np.append(r, np.zeros(3)))[::-1]
-        pair = float((r[1:] + r[:-1]).max()) / 2 if len(r) > 1 else float(r[0]) / 2
-        return [float(r.mean()), float(top[0]), float(top[1]), pair, math.log(len(r))]
+        top = np.sort(np.partition(r, -TOP)[-TOP:] if len(r) > TOP else np.append(r, np.zeros(TOP)))[::-1][:TOP]
+        return [float(r.mean()), float(top[0]), float(top[1]), float(top[-1]), float(top.mean()), math.log(len(r))]
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_scaled(stats) @ self.weights, -50, 50)))
 
 
 def _scaled(stats: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(stats)), np.clip(stats[:, 0], -5, 5), np.clip(stats[:, 1:4], -20, 20) / 4, stats[:, 4] / 5])
+    return np.column_stack([np.ones(len(stats)), np.clip(stats[:, 0], -5, 5), np.clip(stats[:, 1:5], -20, 20) / 4, stats[:, 5] / 5])
 
 
 def count(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order: int = ORDER) -> Models:
