@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biowave.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, toxicity
+from biowave.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, toxicity, vectors
 from biowave.llm.common import crc32_mod, table
 
 
@@ -31,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_maximal(table(spark, sf_dir, "conversations"))
 
@@ -45,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_packing, op5_simhash, op6_toxicity, op8_chat, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_packing, op5_simhash, op6_toxicity, op7_vectors, op8_chat, op9_mixing, op10_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
