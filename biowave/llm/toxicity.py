@@ -125,15 +125,26 @@ def _scaled(stats: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(stats)), np.clip(stats[:, 0], -5, 5), np.clip(stats[:, 1:5], -20, 20) / 4, stats[:, 5] / 5])
 
 
-def count(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order: int = ORDER) -> Models:
-    """Models of the classes from their counts of words."""
-    grams, contexts = [None] * (order + 1), [None] * (order + 1)
+def grams_of(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order: int = ORDER) -> pd.DataFrame:
+    """Every n-gram of words, n up to order, with its counts in the two classes."""
     text, word, place = _positions(words)
-    both = np.stack([ordinary, toxic], axis=1).astype(float)
-    raw = {}
+    out = []
     for n in range(1, order + 1):
         at = np.flatnonzero((place > 0) & (place + 1 >= n))
-        raw[n] = _summed(_keys(text, at, n), both[word[at]]) if len(at) else Table(np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))
+        found, where = np.unique(_keys(text, at, n), return_inverse=True)
+        sums = [np.bincount(where, v[word[at]], len(found)).astype(np.int64) for v in (ordinary, toxic)]
+        out.append(pd.DataFrame({"gram": found.view(np.int64), "ordinary": sums[0], "toxic": sums[1]}))
+    return pd.concat(out)
+
+
+def count(grams: pd.DataFrame, order: int = ORDER) -> Models:
+    """Models of the classes from n-grams and their counts (see grams_of), each n-gram once."""
+    keys = grams["gram"].to_numpy(np.int64).view(np.uint64)
+    sort = np.argsort(keys)
+    keys, both = keys[sort], np.column_stack([grams["ordinary"], grams["toxic"]]).astype(np.float32)[sort]
+    size = (keys >> np.uint64(56)).astype(np.int64)
+    raw = {n: Table(keys[size == n], both[size == n]) for n in range(1, order + 1)}
+    tables, contexts = [None] * (order + 1), [None] * (order + 1)
     for n in range(1, order + 1):
         keys, c = raw[n].keys, raw[n].values
         shared = c.sum(axis=1)
@@ -141,10 +152,10 @@ def count(words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order: in
             longer = _summed(_shorter(raw[n + 1].keys, n + 1), np.ones((len(raw[n + 1].keys), 1)))
             starts = (keys >> np.uint64(8 * (n - 1))) & np.uint64(255) == 2
             shared = np.where(starts & (n > 1), shared, longer[keys][:, 0])
-        grams[n] = Table(keys, np.column_stack([shared, c]).astype(np.float32))
-        sums = np.column_stack([grams[n].values, (grams[n].values > 0).astype(np.float32)])
+        tables[n] = Table(keys, np.column_stack([shared, c]).astype(np.float32))
+        sums = np.column_stack([tables[n].values, (tables[n].values > 0).astype(np.float32)])
         contexts[n] = _summed(_context(keys, n), sums)
-    return Models(order, grams, contexts, np.zeros(STATISTICS + 1))
+    return Models(order, tables, contexts, np.zeros(STATISTICS + 1))
 
 
 def calibrate(stats: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -195,11 +206,13 @@ def _slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[slice]:
 
 def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        for t, y in zip(part["_text"], part["_y"], strict=True):
-            found[int(y)].update(WORD.findall((t or "").encode("utf-8").lower()))
-        words = list({**found[0], **found[1]})
-        yield pd.DataFrame({"word": words, "ordinary": [found[0][w] for w in words], "toxic": [found[1][w] for w in words]})
+        for some in _slices(part["_text"].tolist()):
+            found: tuple[Counter, Counter] = (Counter(), Counter())
+            for t, y in zip(part["_text"].iloc[some], part["_y"].iloc[some], strict=True):
+                found[int(y)].update(WORD.findall((t or "").encode("utf-8").lower()))
+            words = sorted({**found[0], **found[1]})
+            if words:
+                yield grams_of(words, *(np.array([c[w] for w in words], float) for c in found))
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "toxic", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Models:
@@ -211,10 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
     sample = docs.join(F.broadcast(picked[0].union(picked[1])), F.col("_id") == F.col("_doc")).select("_id", "_text", "_y")
     # the fourth part of the sample is for the curve, so that no document is judged by its own counts
     apart = F.pmod(F.xxhash64("_id", F.lit("curve")), F.lit(4)) == 0
-    words = sample.where(~apart).mapInPandas(_counted, "word binary, ordinary bigint, toxic bigint")
-    words = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toPandas()
-    words = words.sort_values("word")
-    models = count([bytes(w) for w in words["word"]], words["ordinary"].to_numpy(), words["toxic"].to_numpy())
+    grams = sample.where(~apart).mapInPandas(_counted, "gram bigint, ordinary bigint, toxic bigint")
+    grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    # long n-grams seen once say little and are most of all; the driver gets the others, whose number the sample bounds
+    often = (F.shiftright("gram", 56) <= 3) | (F.col("ordinary") + F.col("toxic") >= 2)
+    models = count(grams.where(often).toPandas())
     shared = spark.sparkContext.broadcast(models)
     measured = sample.where(apart).mapInPandas(_measured(shared), f"_id bigint, _y int, _x array<double>").toPandas()
     measured = measured.sort_values("_id", kind="stable")
