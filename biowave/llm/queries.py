@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biowave.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, toxicity, vectors
+from biowave.llm import chat, exact_dedup, lm, mixing, packing, quality, sharding, simhash, toxicity, vectors
 from biowave.llm.common import crc32_mod, table
 
 
@@ -17,6 +17,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 7) != 2)
+    return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_packing, op5_simhash, op6_toxicity, op7_vectors, op8_chat, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_lm_scoring, op4_packing, op5_simhash, op6_toxicity, op7_vectors, op8_chat, op9_mixing, op10_quality)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
