@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_lm_scoring, op4_packing, op5_simhash, op6_toxicity, op7_vectors, op8_chat, op9_mixing, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_sharding, op3_lm_scoring, op4_packing, op5_simhash, op6_toxicity, op7_vectors, op8_chat, op9_mixing, op10_quality
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,7 +277,25 @@ def classify(
     return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that classify() doesn't call toxic; an id any of whose rows is toxic goes."""
-    found = classify(docs, labels, fold, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("_toxic")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_toxic")), "left_anti")
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """The rows of docs, all columns as they are, that classify() wouldn't call toxic. Rows are judged where they stand."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+    shared = rows.sparkSession.sparkContext.broadcast(train(rows, labels, fold, label_col, id_col, sample_rows))
+    measured, at = _measured(shared), docs.columns.index(text_col)
+
+    def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pd.DataFrame]:
+            for part in parts:
+                waiting.append(part)
+                yield pd.DataFrame({"_text": pd.Series(part.column(at).to_pylist(), dtype=object)})
+
+        for part in measured(texts()):
+            stats = np.array(part["_x"].tolist(), float).reshape(len(part), STATISTICS)
+            yield waiting.pop().filter(pa.array(shared.value.score(stats) < threshold))
+
+    return docs.mapInArrow(batch, docs.schema)
