@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 TINY = 1e-12
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: a lambda's outer expression is otherwise worked out for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
@@ -37,9 +42,12 @@ def quantile(a: Column, q: float) -> Column:
     """Linear interpolation between the sorted values."""
     at = (F.size(a) - 1) * F.lit(q)
     low = F.floor(at).cast("int")
-    ordered = F.array_sort(a)
-    first, second = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(a)))
-    return first + (second - first) * (at - low)
+
+    def of(ordered: Column) -> Column:
+        first, second = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(a)))
+        return first + (second - first) * (at - low)
+
+    return let(F.array_sort(a), of)
 
 
 def median(a: Column) -> Column:
@@ -52,8 +60,7 @@ def absolute(a: Column) -> Column:
 
 def mad(a: Column) -> Column:
     """Median distance from the median."""
-    m = median(a)
-    return median(F.transform(a, lambda v: F.abs(v - m)))
+    return let(median(a), lambda m: median(F.transform(a, lambda v: F.abs(v - m))))
 
 
 def scale(a: Column, method: str, floor: str = "one") -> Column:
@@ -66,17 +73,16 @@ def scale(a: Column, method: str, floor: str = "one") -> Column:
         "STD": lambda: std(a),
         "MAX": lambda: F.array_max(absolute(a)),
     }[method]()
-    return F.when(by < TINY, F.lit(1.0)).otherwise(by) if floor == "one" else F.greatest(by, F.lit(TINY))
+    return let(by, lambda s: F.when(s < TINY, F.lit(1.0)).otherwise(s)) if floor == "one" else F.greatest(by, F.lit(TINY))
 
 
 def clipped(a: Column, by: Column) -> Column:
-    return F.transform(a, lambda v: F.greatest(F.least(v / by, F.lit(1.0)), F.lit(-1.0)))
+    return let(by, lambda s: F.transform(a, lambda v: F.greatest(F.least(v / s, F.lit(1.0)), F.lit(-1.0))))
 
 
 def min_max(a: Column) -> Column:
-    low, high = F.array_min(a), F.array_max(a)
-    span = F.when(high - low < TINY, F.lit(1.0)).otherwise(high - low)
-    return F.transform(a, lambda v: (v - low) / span)
+    ends = F.struct(F.array_min(a).alias("low"), (F.array_max(a) - F.array_min(a)).alias("span"))
+    return let(ends, lambda e: F.transform(a, lambda v: (v - e["low"]) / F.when(e["span"] < TINY, F.lit(1.0)).otherwise(e["span"])))
 
 
 def part(a: Column, start: Column | int, length: Column | int) -> Column:
@@ -88,11 +94,10 @@ def decimated(a: Column, ratio: int) -> Column:
     """Of every `ratio` values the one with the largest magnitude, the first of equals; a short tail is left out."""
     starts = F.sequence(F.lit(0), F.floor(F.size(a) / ratio).cast("int") - 1)
 
-    def pick(k: Column) -> Column:
-        block = part(a, k * ratio, ratio)
+    def pick(block: Column) -> Column:
         return F.element_at(block, F.array_position(absolute(block), F.array_max(absolute(block))).cast("int"))
 
-    return F.transform(starts, pick)
+    return F.transform(starts, lambda k: let(part(a, k * ratio, ratio), pick))
 
 
 def of_length(a: Column, n: int) -> Column:
@@ -130,7 +135,7 @@ def running(a: Column, half: int, of) -> Column:
 
 
 def soft_threshold(a: Column, by: Column) -> Column:
-    return F.transform(a, lambda v: F.signum(v) * F.greatest(F.abs(v) - by, F.lit(0.0)))
+    return let(by, lambda t: F.transform(a, lambda v: F.signum(v) * F.greatest(F.abs(v) - t, F.lit(0.0))))
 
 
 def universal_threshold(a: Column) -> Column:

@@ -56,6 +56,9 @@ def zero_crossing_rate(rate: float, size: int):
 
 def kurtosis(w: Column) -> Column:
     """Excess kurtosis of the population; 0 for a constant."""
-    m, s = A.mean(w), A.std(w)
-    fourth = A.mean(F.transform(w, lambda v: (v - m) * (v - m) * (v - m) * (v - m)))
-    return F.when(s > EPS, fourth / (s * s * s * s) - 3.0).otherwise(0.0)
+
+    def of(e: Column) -> Column:
+        fourth = A.mean(F.transform(w, lambda v: (v - e["m"]) * (v - e["m"]) * (v - e["m"]) * (v - e["m"])))
+        return F.when(e["s"] > EPS, fourth / (e["s"] * e["s"] * e["s"] * e["s"]) - 3.0).otherwise(0.0)
+
+    return A.let(F.struct(A.mean(w).alias("m"), A.std(w).alias("s")), of)

@@ -47,11 +47,18 @@ def grid(segments: DataFrame, snrs=SNR_GRID, most: int = 5) -> DataFrame:
     return segments.select("*", snr).select("*", F.explode(F.array(*map(F.lit, range(1, most + 1)))).alias("k"))
 
 
+def scaled(noise: Column, target: Column) -> Column:
+    """noise with the target power; zeros where it has none."""
+
+    def by(own: Column) -> Column:
+        return A.let(F.when(own > TINY, F.sqrt(target / own)).otherwise(0.0), lambda f: F.transform(noise, lambda v: v * f))
+
+    return A.let(A.power(noise), by)
+
+
 def mix(clean: Column, noise: Column, target: Column) -> Column:
-    """clean plus noise scaled to the target power; clean alone where the noise has none."""
-    own = A.power(noise)
-    by = F.when(own > TINY, F.sqrt(target / own)).otherwise(0.0)
-    return F.zip_with(clean, noise, lambda c, v: c + by * v)
+    """clean plus noise scaled to the target power."""
+    return F.zip_with(clean, scaled(noise, target), lambda c, v: c + v)
 
 
 def labels_of(types: Column, paths: Column) -> Column:
