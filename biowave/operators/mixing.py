@@ -63,7 +63,7 @@ def mix(clean: Column, noise: Column, target: Column) -> Column:
 
 def labels_of(types: Column, paths: Column) -> Column:
     """Labels under which a mix counts: its types, the colour where its paths name only one, and the number of types."""
-    names = F.filter(F.transform(F.split(types, r"\+"), F.trim), lambda t: t != "")
+    names = F.filter(F.transform(F.split(types, r"\+"), lambda t: F.trim(t)), lambda t: t != "")
     base = F.transform(F.split(F.lower(F.coalesce(paths, F.lit(""))), r"\|"), lambda p: F.element_at(F.split(F.trim(p), "/"), -1))
     colours = F.array_distinct(
         F.filter(
