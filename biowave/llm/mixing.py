@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biowave.llm.common import materialize
+from biowave.llm.common import fresh, materialize
 
 MAX_BLOCKS = 1 << 15
 UNIT = 1_000_000  # weights are rounded to whole millionths
@@ -57,8 +57,10 @@ def timetable(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[s
     The target weights hold as long as every weighted source can serve them; phase `rest` then interleaves what is
     left in proportion to what each source has left, so that nothing is lost and all end together.
     """
+    if not blocks:
+        return []
     wanted = whole_weights({s: weights[s] for s in blocks if weights.get(s, 0) > 0} or {s: n for s, n in blocks.items()})
-    horizon = min(math.floor(blocks[s] / Fraction(w, UNIT)) for s, w in wanted.items()) if blocks else 0
+    horizon = min(math.floor(blocks[s] / Fraction(w, UNIT)) for s, w in wanted.items())
     done = dict.fromkeys(blocks, 0)
     out = []
     for slot, (s, j, release, deadline) in enumerate(earliest_deadline_first(wanted, horizon)):
@@ -116,6 +118,7 @@ def mix(
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows of docs with their columns, sorted over all partitions by their place in the mix."""
-    order = mix(docs, weights, id_col, source_col).groupBy(F.col(id_col).alias("_id")).agg(F.min("position").alias("_position"))
-    placed = docs.join(order, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")
+    key, place = fresh(docs, "_mix_id"), fresh(docs, "_mix_position")
+    order = mix(docs, weights, id_col, source_col).groupBy(F.col(id_col).alias(key)).agg(F.min("position").alias(place))
+    placed = docs.join(order, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+    return placed.repartitionByRange(place).sortWithinPartitions(place).drop(place)

@@ -164,7 +164,7 @@ def classify(
     # the sample's ids are at most sample_rows numbers
     train = rows.join(F.broadcast(known), rows["_id"] == known["_doc"]).select("_id", "_text", "_y")
     got = measured(train, "_id bigint, _y double").toPandas().sort_values("_id", kind="stable")
-    x = np.array(got["_x"].tolist(), float).reshape(len(got), -1)
+    x = np.array(got["_x"].tolist(), float).reshape(len(got), STATISTICS)
     model = rows.sparkSession.sparkContext.broadcast(fit(x, got["_y"].to_numpy()))
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

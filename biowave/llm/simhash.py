@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biowave.llm.common import discard, materialize
+from biowave.llm.common import discard, fresh, materialize
 from biowave.llm.graph import connected_components, forest
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -155,6 +155,7 @@ def near_groups(
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """The rows of docs, all columns, that have the smallest id of their component; rows without an id stay."""
+    name = fresh(docs, "_gone_id")
     groups = near_groups(docs, id_col, text_col, words, bits)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name))
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
