@@ -55,8 +55,10 @@ def iir_chain(x: np.ndarray, rate: float, noise: Noise, p: dict) -> np.ndarray:
 
 def template_subtraction(x: np.ndarray, rate: float, p: dict) -> tuple[np.ndarray, bool]:
     """Take the mean beat, scaled to each beat by least squares, out of one signal."""
-    band = K.band_pass(x[None], rate, p["low_hz"], p["high_hz"], p["order"])[0]
     size = int(rate)
+    if len(x) < size:  # shorter than the slow average
+        return x, False
+    band = K.band_pass(x[None], rate, p["low_hz"], p["high_hz"], p["order"])[0]
     slow, fast = (np.convolve(np.abs(band), np.ones(n) / n, "same") for n in (size, max(1, size // 10)))
     up = np.flatnonzero(np.diff(np.r_[0, (slow < fast).astype(int), 0]))
     starts, stops = up[::2], up[1::2]
