@@ -26,11 +26,21 @@ CHUNK = 2048  # members of a bucket that are compared with one another in one go
 GROUP_ROWS = 1 << 16  # rows of one task's group, about
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The signed 64-bit SimHash of a text's word shingles; 0 without words."""
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64-bit hash from one: lane 0 is the hash itself, others go through the splitmix64 finalizer."""
+    if not lane:
+        return h
+    z = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, words: int, lanes: int) -> list[int]:
+    """SimHash of a text's word shingles in `lanes` signed 64-bit numbers; zeros without words."""
     found = WORD.findall((text or "").encode("utf-8").lower())
     if not found:
-        return 0
+        return [0] * lanes
     joined = b" ".join(found)
     if len(found) < words:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -39,11 +49,18 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         ends = np.cumsum(lengths + 1) - 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[words - 1 :].tolist(), strict=False)]
-    bits = np.zeros(64, np.int64)
+    bits = np.zeros((lanes, 64), np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
+        part = np.array(hashes[k : k + (1 << 16)], np.uint64)
+        for lane in range(lanes):
+            of = _mixed(part, lane).astype("<u8").view(np.uint8).reshape(-1, 8)
+            bits[lane] += np.unpackbits(of, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The signed 64-bit SimHash of a text's word shingles; 0 without words."""
+    return wide_fingerprint(text, words, 1)[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -153,9 +170,109 @@ def near_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+LANES = 4  # of a wide fingerprint, 64 bits each
+RECALL = 0.9  # of pairs just at the similarity, that share a block
+
+
+def bits_apart(similarity: float, lanes: int = LANES) -> int:
+    """Bits in which wide fingerprints may differ: what the similarity leads to expect, and half a standard deviation.
+
+    Shingle sets of resemblance s have cosine 2s / (1 + s), and a bit differs with the probability angle / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * lanes * p + math.sqrt(64 * lanes * p * (1 - p)) / 2)
+
+
+def sampled_blocks(n: int, similarity: float, lanes: int = LANES, recall: float = RECALL) -> list[list[int]]:
+    """Masks of blocks of bits, drawn once and for all; a block has so many bits that chance gives few partners.
+
+    As many blocks as make a pair just at the similarity share one with the probability `recall`.
+    """
+    size = max(20, math.ceil(math.log2(max(n, 1))) + 2)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    rng = np.random.default_rng(64)
+    out = []
+    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** size))):
+        mask = np.zeros(64 * lanes, np.uint8)
+        mask[rng.choice(64 * lanes, size, replace=False)] = 1
+        out.append(np.packbits(mask.reshape(lanes, 64), axis=1, bitorder="little").view("<i8")[:, 0].tolist())
+    return out
+
+
+def _wide_links_in(limit: int):
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["unit", "key", "mask", "rep"], kind="stable")
+        fps = np.stack([group[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(LANES)])
+        rep = group["rep"].to_numpy(np.int64)
+        same = np.ones(len(rep), bool)
+        for c in ("unit", "key", "mask"):
+            v = group[c].to_numpy()
+            same[1:] &= v[1:] == v[:-1]
+        same[:1] = False
+        run = np.cumsum(~same)
+        parent, used = np.arange(len(rep)), []
+        left, lag = np.arange(len(rep)), 1
+        while True:
+            left = left[left + lag < len(rep)]
+            left = left[run[left] == run[left + lag]]
+            if not len(left):
+                break
+            hit = left[np.bitwise_count(fps[:, left] ^ fps[:, left + lag]).sum(axis=0, dtype=np.int64) <= limit]
+            if len(hit):
+                used += forest(parent, hit, hit + lag)
+            lag += 1
+        a, b = np.array(used, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"src": rep[a], "dst": rep[b]})
+
+    return of
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: id, component_id, by shingles of `words` words with a resemblance of `similarity` or more.
+
+    A radius that wide can't be searched with whole blocks of 64 bits. So fingerprints have 256 bits here, blocks are sampled
+    sets of bits, those that share a block are compared, and pairs link within bits_apart() bits. That is an estimate of the
+    resemblance: most pairs above it link, few of those clearly below do. Nulls, ids, repeated rows and empty inputs are
+    treated as in near_groups().
+    """
+
+    def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            fps = np.array([wide_fingerprint(t, words, LANES) for t in part["_text"]], np.int64).reshape(-1, LANES)
+            yield pd.DataFrame({"_id": part["_id"], **{f"f{k}": fps[:, k] for k in range(LANES)}})
+
+    fp = [f"f{k}" for k in range(LANES)]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+    prints = materialize(rows.mapInPandas(batch, "_id bigint, " + ", ".join(f"{c} bigint" for c in fp)))
+    distinct = materialize(prints.groupBy(*fp).agg(F.min("_id").alias("rep")))
+    known = distinct.where("rep IS NOT NULL")
+    masks = F.array(*[F.struct(F.lit(k).alias("mask"), *[F.lit(m[j]).cast("bigint").alias(fp[j]) for j in range(LANES)]) for k, m in enumerate(sampled_blocks(known.count(), similarity))])
+    blocks = F.transform(masks, lambda m: F.struct(m["mask"].alias("mask"), F.xxhash64(*[F.col(c).bitwiseAND(m[c]) for c in fp]).alias("key")))
+    keyed = known.select("rep", F.explode(blocks).alias("_b")).select("rep", "_b.mask", "_b.key")
+    shared = materialize(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = materialize(keyed.join(shared, ["mask", "key"]))  # without fingerprints, which most rows don't need
+    n = members.count()
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    dealt = (
+        members.join(known, "rep")
+        .withColumn("_p", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        .withColumn("_q", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
+        .withColumn("unit", F.least("_p", "_q").cast("bigint") * (1 << 31) + F.greatest("_p", "_q"))
+        .withColumn("_bin", F.pmod(F.xxhash64("mask", "key", "unit"), F.lit(max(1, n // GROUP_ROWS) * 8)))
+        .select("_bin", "unit", "mask", "key", "rep", *fp)
+    )
+    found = materialize(dealt.groupBy("_bin").applyInPandas(_wide_links_in(bits_apart(similarity)), "src bigint, dst bigint").distinct())
+    discard(members, shared)
+    component = connected_components(found)
+    classes = materialize(
+        distinct.join(component, distinct["rep"] == component["node"], "left").select(*fp, F.coalesce("component", "rep").alias("component_id"))
+    )
+    return prints.join(classes, fp).select(F.col("_id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that have the smallest id of their component; rows without an id stay."""
     name = fresh(docs, "_gone_id")
-    groups = near_groups(docs, id_col, text_col, words, bits)
+    groups = similar_groups(docs, id_col, text_col, words, similarity)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name))
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

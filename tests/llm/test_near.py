@@ -148,3 +148,36 @@ def test_dense_group_is_counted_whole(spark):
     rows = [(k, [float(np.float32(x)) for x in np.r_[1.0, rng.standard_normal(7) * 0.01]], 0) for k in range(200)]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), part=64).collect()
     assert all(r["n_links"] == 199 and r["component_id"] == 0 for r in got)
+
+
+def resemblance(a, b, words=5):
+    sets = [{tuple(t.split()[k : k + words]) for k in range(max(1, len(t.split()) - words + 1))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_similar_groups_by_resemblance(spark, chunk):
+    rng = random.Random(9)
+    rows = [(i, t) for i, t in near_texts(120, 8) if t and len(t) > 40]
+    rows += [(500 + k, " ".join(rng.choice(["a", "b", "c", "d", "e"]) + str(rng.randrange(60)) for _ in range(200))) for k in range(40)]  # alone
+    got = {r[0]: r[1] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=chunk).collect()}
+    pairs = [(a, b, resemblance(x, y)) for (a, x), (b, y) in itertools.combinations(rows, 2)]
+    near = [(a, b) for a, b, s in pairs if s >= 0.85]
+    assert len(near) > 300 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+    assert all(got[a] != got[b] for a, b, s in pairs if s < 0.3)
+    assert all(got[k] == k for k in range(500, 540))
+    smallest = {}
+    for i, c in got.items():
+        smallest[c] = min(i, smallest.get(c, i))
+    assert all(c == i for c, i in smallest.items())
+
+
+def test_similar_groups_of_messy_rows(messy, empty):
+    got = sorted((str(r[0]), str(r[1])) for r in simhash.similar_groups(messy).collect())
+    assert len(got) == messy.count() and ("4", "3") in got and ("10", "3") in got and ("1", "1") in got and ("2", "1") in got
+    assert simhash.similar_groups(empty).count() == 0
+
+
+def test_more_lanes_begin_with_the_first():
+    for t in ("", "a b", "one two three four five six"):
+        assert simhash.wide_fingerprint(t, 4, 4)[0] == simhash.fingerprint(t, 4)
