@@ -134,3 +134,17 @@ def peaks_by_averages(track: DataFrame, slow: int, fast: int, least: int) -> Dat
     found = found.where((F.col("n") >= least) & (F.col("_last") < F.col("_n")))
     gap = F.col("peak") - F.lag("peak").over(Window.partitionBy("rec").orderBy("peak"))
     return found.withColumn("gap", gap).select("rec", "peak", "n", "gap")
+
+
+def normalised_by_rest(track: DataFrame, least: int) -> DataFrame:
+    """x over the RMS at rest of its recording; over that of the whole where under `least` samples rest."""
+    rec = Window.partitionBy("rec")
+    square = F.col("x") * F.col("x")
+    rest = F.when(F.count_if(F.col("label") == 0).over(rec) >= least, F.avg(F.when(F.col("label") == 0, square)).over(rec))
+    return track.withColumn("y", F.col("x") / F.sqrt(F.coalesce(rest, F.avg(square).over(rec)) + EPS))
+
+
+def numbered_by_appearance(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Each key with a number from 0 by its first appearance: one row a key, ranked over all keys."""
+    first = rows.groupBy(key).agg(F.min(order).alias("first"))
+    return first.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first", key)) - 1)

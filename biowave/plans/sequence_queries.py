@@ -59,9 +59,18 @@ def burst_peaks(spark, sf):
     return S.peaks_by_averages(signals(spark, sf), 16, 4, 2).na.fill(0, ["gap"])
 
 
+def rest_normalised(spark, sf):
+    y = S.normalised_by_rest(signals(spark, sf), 10)
+    return y.groupBy("rec").agg(F.round(F.sum("y"), 6).alias("total"), F.round(F.max("y"), 6).alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+def subject_reindex(spark, sf):
+    return S.numbered_by_appearance(table(spark, sf, "events"), "user_id", "event_id").select("user_id", "first", F.col("index").cast("bigint").alias("idx"))
+
+
 QUERIES = {f.__name__: f for f in (
     trial_islands, rest_active_snr, stimulus_sessions, tumbling_features, sliding_boundary_skip, zero_cross_rate, delta_features,
-    nearest_label_align, label_resample_nn, burst_peaks,
+    nearest_label_align, label_resample_nn, burst_peaks, rest_normalised, subject_reindex,
 )}
 
 ISLANDS_SQL = f"""
@@ -142,4 +151,11 @@ ORACLE_SQL = {
             SELECT rec, g, count(*) AS n, max(i) AS last, max(a.n) AS len, arg_max(i, x) AS peak FROM g a GROUP BY rec, g
             HAVING count(*) >= 2 AND max(i) < max(a.n))
         SELECT rec, peak, n, coalesce(peak - lag(peak) OVER (PARTITION BY rec ORDER BY peak), 0) AS gap FROM f""",
+    "rest_normalised": f"""WITH {SIGNALS_SQL},
+        b AS (
+            SELECT rec, CASE WHEN count(*) FILTER (WHERE label = 0) >= 10 THEN avg(x * x) FILTER (WHERE label = 0) ELSE avg(x * x) END + 1e-12 AS p
+            FROM sig GROUP BY rec)
+        SELECT rec, round(sum(x / sqrt(p)), 6) AS total, round(max(x / sqrt(p)), 6) AS high, count(*) AS n FROM sig JOIN b USING (rec) GROUP BY rec""",
+    "subject_reindex": """WITH f AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id)
+        SELECT user_id, first, row_number() OVER (ORDER BY first, user_id) - 1 AS idx FROM f""",
 }

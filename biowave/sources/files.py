@@ -114,6 +114,18 @@ def read_mat(spark: SparkSession, path: str, field: str | None = None, regrasp_f
     return _parsed(spark, path, "*.mat", RECORDING, of)
 
 
+def read_array_mat(spark: SparkSession, path: str, first: tuple[str, ...] = ("a",), least: int = 256) -> DataFrame:
+    """(path, signal): of each MAT-file the array with a wanted name, else its first; those with under `least` numbers give no row."""
+
+    def of(file: str, data: bytes) -> list[tuple]:
+        arrays = parse_mat(data)
+        found = _first(arrays, list(first))
+        found = next(iter(arrays.values()), np.zeros(0)) if found is None else found
+        return [(file, found.reshape(-1, order="F").astype(float))] if found.size >= least else []
+
+    return _parsed(spark, path, "*.mat", "path string, signal array<double>", of)
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(path, signal): every array below path, flattened."""
     return _parsed(spark, path, "*.npy", "path string, signal array<double>", lambda f, d: [(f, parse_npy(d).reshape(-1).astype(float))])
