@@ -326,4 +326,36 @@ ORACLE_SQL = {
             JOIN smp o ON o.seg = f.t AND o.i = s.i GROUP BY s.dataset, s.seg),
         p AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY c DESC, seg) AS place FROM c)
         SELECT dataset, place::INT AS place, seg, round(c, 5) AS c FROM p WHERE place <= 6""",
+    "hampel_freq": f"""WITH {SAMPLES_SQL},
+        ft AS (SELECT seg, f, sum(x * cos(2 * pi() * f * i / 64)) AS re, sum(x * sin(2 * pi() * f * i / 64)) AS im FROM smp, range(0, 33) q(f) GROUP BY seg, f),
+        v AS (SELECT seg, 0 AS part, f, re AS v FROM ft UNION ALL SELECT seg, 1, f, im FROM ft),
+        w AS (SELECT seg, part, f, v, least(greatest(f + o, 0), 32) AS j FROM v, range(-5, 6) q(o)),
+        m AS (SELECT w.seg, w.part, w.f, any_value(w.v) AS v, quantile_cont(n.v, 0.5) AS mid FROM w JOIN v n ON n.seg = w.seg AND n.part = w.part AND n.f = j GROUP BY w.seg, w.part, w.f),
+        a AS (SELECT *, abs(v - mid) AS away FROM m),
+        b AS (SELECT *, least(greatest(f + o, 0), 32) AS j FROM a, range(-5, 6) q(o)),
+        s AS (
+            SELECT b.seg, b.part, b.f, any_value(b.v) AS v, any_value(b.mid) AS mid, any_value(b.away) AS away, 1.4286 * quantile_cont(n.away, 0.5) AS spread
+            FROM b JOIN a n ON n.seg = b.seg AND n.part = b.part AND n.f = j GROUP BY b.seg, b.part, b.f),
+        e AS (SELECT seg, sum(v * v) AS e0, sum(CASE WHEN spread > 1e-12 AND away > 3.0 * spread THEN mid * mid ELSE v * v END) AS e1 FROM s GROUP BY seg)
+        SELECT seg, round(least(greatest((e0 - e1) / e0, 0), 1), 6) AS removed FROM e""",
+    "spectral_error_metrics": f"""{mix_sql((0,), 1)},
+        fr AS (
+            SELECT mix.seg, t, j, c, o FROM range(0, 5) q(t), range(0, 16) w(j), mix WHERE mix.i = least(greatest(16 * t + j - 8, 0), 63)),
+        fm AS (
+            SELECT seg, t, f, sqrt(power(sum(c * cos(2 * pi() * f * j / 64)), 2) + power(sum(c * sin(2 * pi() * f * j / 64)), 2)) AS c,
+                   sqrt(power(sum(o * cos(2 * pi() * f * j / 64)), 2) + power(sum(o * sin(2 * pi() * f * j / 64)), 2)) AS o
+            FROM fr, range(4, 32) q(f) GROUP BY seg, t, f),
+        mn AS (SELECT seg, sqrt(avg(power(c - o, 2))) AS e FROM (SELECT seg, t, sum(f * c) / sum(c) AS c, sum(f * o) / sum(o) AS o FROM fm GROUP BY seg, t) GROUP BY seg),
+        wi AS (SELECT seg, i // 16 AS t, i % 16 AS j, c * (0.5 - 0.5 * cos(2 * pi() * (i % 16) / 63)) AS c, o * (0.5 - 0.5 * cos(2 * pi() * (i % 16) / 63)) AS o FROM mix),
+        wp AS (
+            SELECT seg, t, f, power(sum(c * cos(2 * pi() * f * j / 64)), 2) + power(sum(c * sin(2 * pi() * f * j / 64)), 2) AS c,
+                   power(sum(o * cos(2 * pi() * f * j / 64)), 2) + power(sum(o * sin(2 * pi() * f * j / 64)), 2) AS o
+            FROM wi, range(4, 33) q(f) GROUP BY seg, t, f),
+        cu AS (
+            SELECT *, sum(c) OVER k AS cc, sum(o) OVER k AS oc, sum(c) OVER (PARTITION BY seg, t) AS ct, sum(o) OVER (PARTITION BY seg, t) AS ot
+            FROM wp WINDOW k AS (PARTITION BY seg, t ORDER BY f)),
+        md AS (
+            SELECT seg, sqrt(avg(power(c - o, 2))) AS e
+            FROM (SELECT seg, t, min(f) FILTER (WHERE cc >= ct / 2) AS c, min(f) FILTER (WHERE oc >= ot / 2) AS o FROM cu GROUP BY seg, t) GROUP BY seg)
+        SELECT mn.seg, round(mn.e, 5) AS rmse_mnf, round(md.e, 5) AS rmse_mdf FROM mn JOIN md USING (seg)""",
 }
