@@ -84,4 +84,16 @@ ORACLE_SQL = {
         p AS (SELECT DISTINCT turns[1:i] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS i FROM w))
         SELECT conv_id, n_turns, n_logged, text FROM w WHERE turns NOT IN (SELECT turns FROM p)
     """,
+    "op7_vectors": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        c AS (
+            SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.v, b.v) AS cos
+            FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+        p AS (SELECT x, y FROM c WHERE isfinite(cos) AND cos >= 0.98),
+        r(x, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.x),
+        m AS (SELECT x, min(root) AS root FROM r GROUP BY x),
+        n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, m.root AS component_id, vec_id = m.root AS kept
+        FROM e JOIN m ON m.x = vec_id LEFT JOIN n ON n.x = vec_id
+    """,
 }
