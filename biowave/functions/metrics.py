@@ -14,10 +14,18 @@ def difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda u, v: v - u)
 
 
+def snr_of(clean_power: Column, error_power: Column) -> Column:
+    """dB of one power over the other; 100 where there is no error."""
+    return F.when(error_power < EPS, F.lit(100.0)).otherwise(10.0 * F.log10(clean_power / (error_power + EPS)))
+
+
+def prd_of(clean_power: Column, error_power: Column) -> Column:
+    return F.sqrt(error_power / (clean_power + EPS)) * 100.0
+
+
 def snr(clean: Column, other: Column) -> Column:
     """dB of the clean signal's power over the difference's; 100 where they are alike."""
-    noise = A.power(difference(clean, other))
-    return F.when(noise < EPS, F.lit(100.0)).otherwise(10.0 * F.log10(A.power(clean) / (noise + EPS)))
+    return A.let(A.power(difference(clean, other)), lambda error: snr_of(A.power(clean), error))
 
 
 def snr_gain(clean: Column, denoised: Column, noisy: Column) -> Column:
@@ -30,7 +38,7 @@ def rmse(clean: Column, other: Column) -> Column:
 
 def prd(clean: Column, other: Column) -> Column:
     """Percent root difference."""
-    return F.sqrt(A.power(difference(clean, other)) / (A.power(clean) + EPS)) * 100.0
+    return prd_of(A.power(clean), A.power(difference(clean, other)))
 
 
 def windows(a: Column, size: int, tail: bool) -> Column:

@@ -23,11 +23,13 @@ def mixed(spark, sf, snrs=GRID, most: int = 3):
     n = seg.count()
     jobs = mixing.grid(seg.select("seg", "dataset"), snrs, most)
     parts = jobs.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumn("other", (F.col("seg") * 31 + F.col("j") * 17 + 7) % n)
-    other = seg.select(F.col("seg").alias("other"), F.col("signal").alias("noise"))
-    clean = seg.select("seg", F.col("signal").alias("clean"), A.power(F.col("signal")).alias("clean_power"))
+    powers = seg.select("seg", "signal", A.power(F.col("signal")).alias("p"))
+    other = powers.select(F.col("seg").alias("other"), F.col("signal").alias("noise"), F.col("p").alias("noise_power"))
+    clean = powers.select("seg", F.col("signal").alias("clean"), F.col("p").alias("clean_power"))
     joined = parts.join(other, "other").join(clean.select("seg", "clean_power"), "seg")
     target = mixing.component_power(F.col("clean_power"), F.col("snr"), F.col("k"), F.lit(False), F.lit(False))
-    scaled = joined.select("seg", "dataset", "snr", "k", "j", mixing.scaled(F.col("noise"), target).alias("noise"))
+    by = F.when(F.col("noise_power") > mixing.TINY, F.sqrt(target / F.col("noise_power"))).otherwise(0.0)
+    scaled = joined.select("seg", "dataset", "snr", "k", "j", A.let(by, lambda f: F.transform("noise", lambda v: v * f)).alias("noise"))
     # at most `most` components meet in one row
     sums = scaled.groupBy("seg", "dataset", "snr", "k").agg(F.sort_array(F.collect_list(F.struct("j", "noise"))).alias("_parts"))
     first = F.transform(F.col("_parts")[0]["noise"], lambda v: v * 0.0)
@@ -36,9 +38,11 @@ def mixed(spark, sf, snrs=GRID, most: int = 3):
 
 
 def mix_metric_margin(spark, sf):
-    m = mixed(spark, sf)
+    error = A.power(M.difference(F.col("clean"), F.col("noisy")))
+    m = mixed(spark, sf).select("snr", "k", "clean_power", F.size("clean").alias("n"), error.alias("error"))
+    c, e = F.col("clean_power"), F.col("error")
     rows = m.select("snr", "k", F.explode(F.create_map(
-        F.lit("SNR"), M.snr(F.col("clean"), F.col("noisy")), F.lit("RMSE"), M.rmse(F.col("clean"), F.col("noisy")), F.lit("PRD"), M.prd(F.col("clean"), F.col("noisy"))
+        F.lit("SNR"), M.snr_of(c, e), F.lit("RMSE"), F.sqrt(e / F.col("n")), F.lit("PRD"), M.prd_of(c, e)
     )).alias("metric", "value"))
     return margins.cube_summary(rows, ["metric", "snr", "k"]).where("metric <> 'Avg'").select("metric", "snr", "k", (F.round("mean", 5) + 0.0).alias("mean"), r(F.col("std"), "std", 5), "n")
 
