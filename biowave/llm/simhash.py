@@ -186,9 +186,10 @@ def bits_apart(similarity: float, lanes: int = LANES) -> int:
 def sampled_blocks(n: int, similarity: float, lanes: int = LANES, recall: float = RECALL) -> list[list[int]]:
     """Masks of blocks of bits, drawn once and for all; a block has so many bits that chance gives few partners.
 
-    As many blocks as make a pair just at the similarity share one with the probability `recall`.
+    As many blocks as make a pair just at the similarity share one with the probability `recall`. A block is five bits longer
+    than the number of fingerprints is, so whatever that number is, chance shares about one block in forty.
     """
-    size = max(20, math.ceil(math.log2(max(n, 1))) + 2)
+    size = max(12, math.ceil(math.log2(max(n, 1))) + 5)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     rng = np.random.default_rng(64)
     out = []
@@ -210,7 +211,7 @@ def _wide_links_in(limit: int):
             same[1:] &= v[1:] == v[:-1]
         same[:1] = False
         run = np.cumsum(~same)
-        parent, used = np.arange(len(rep)), []
+        parent = np.arange(len(rep))
         left, lag = np.arange(len(rep)), 1
         while True:
             left = left[left + lag < len(rep)]
@@ -219,10 +220,13 @@ def _wide_links_in(limit: int):
                 break
             hit = left[np.bitwise_count(fps[:, left] ^ fps[:, left + lag]).sum(axis=0, dtype=np.int64) <= limit]
             if len(hit):
-                used += forest(parent, hit, hit + lag)
+                forest(parent, hit, hit + lag)
             lag += 1
-        a, b = np.array(used, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"src": rep[a], "dst": rep[b]})
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        # to the smallest of the linked ones: groups that share members then tend to give the same pairs
+        member = np.flatnonzero(parent != np.arange(len(rep)))
+        return pd.DataFrame({"src": rep[parent[member]], "dst": rep[member]}).drop_duplicates()
 
     return of
 
