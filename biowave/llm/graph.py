@@ -12,24 +12,43 @@ from biowave.llm.common import discard, materialize
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (src, dst bigint); component is the smallest node reachable.
 
-    Each round gives a node the smallest label around it and then its label's label, until the labels' sum stays. What a
-    round reads is written before, so both sides of every join are plain exchanges, whose overfull partitions (a node
-    or a label with a third of the rows) adaptive execution splits. Null ends and an empty table give no rows.
+    Each round sends every node to the smallest one around it, follows these steps to their ends and contracts the links to
+    the ends they join; what has become a loop or a repetition goes, so later rounds see only what is left between groups.
+    A round at least halves the nodes that have links. Joins read written tables or exchanges of their own, so adaptive
+    execution can split what a node or label with a third of the rows fills. Null ends and an empty table give no rows.
     """
-    ends = links.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
-    both = materialize(ends.union(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label"))
-    labels, last = materialize(labels), None
+    ends = links.where("src IS NOT NULL AND dst IS NOT NULL")
+    edges = materialize(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    labels = None
     while True:
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == last:
+        both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        steps = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label"))
+        roots = _ends_of(materialize(steps.select("node", F.least("node", "label").alias("label"))))
+        to = roots.select(F.col("node").alias("_of"), F.col("label").alias("_up"))
+        if labels is None:
+            labels = roots
+        else:
+            before = labels
+            labels = materialize(before.join(to, before["label"] == F.col("_of"), "left").select("node", F.coalesce("_up", "label").alias("label")))
+            discard(before)
+        left = edges.join(to, F.col("src") == F.col("_of")).select(F.col("_up").alias("a"), "dst")
+        ended = left.join(to, F.col("dst") == F.col("_of")).select("a", F.col("_up").alias("b")).where("a <> b")
+        before, edges = edges, materialize(ended.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        discard(before)
+        if edges.isEmpty():
             return labels.select("node", F.col("label").alias("component"))
+
+
+def _ends_of(steps: DataFrame) -> DataFrame:
+    """steps (node, label), which lead to smaller nodes or stay, followed to their ends by doubling."""
+    last = None
+    while True:
+        now = steps.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == last:
+            return steps
         last = now
-        up = labels.select(F.col("node").alias("_of"), F.col("label").alias("_up"))
-        jumped = labels.join(up, labels["label"] == F.col("_of")).select("node", F.col("_up").alias("label"))
-        near = jumped.select(F.col("node").alias("dst"), "label")
-        seen = both.join(near, "dst").select(F.col("src").alias("node"), "label").union(jumped)
-        before, labels = labels, materialize(seen.groupBy("node").agg(F.min("label").alias("label")))
+        up = steps.select(F.col("node").alias("_of"), F.col("label").alias("_up"))
+        before, steps = steps, materialize(steps.join(up, steps["label"] == F.col("_of")).select("node", F.col("_up").alias("label")))
         discard(before)
 
 
