@@ -24,6 +24,7 @@ from biowave.llm.graph import connected_components, forest
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNK = 2048  # members of a bucket that are compared with one another in one go
 GROUP_ROWS = 1 << 16  # rows of one task's group, about
+KEYED_ROWS = 1 << 20  # keys of blocks that one task works out, about
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -250,9 +251,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = materialize(rows.mapInPandas(batch, "_id bigint, " + ", ".join(f"{c} bigint" for c in fp)))
     distinct = materialize(prints.groupBy(*fp).agg(F.min("_id").alias("rep")))
     known = distinct.where("rep IS NOT NULL")
-    masks = F.array(*[F.struct(F.lit(k).alias("mask"), *[F.lit(m[j]).cast("bigint").alias(fp[j]) for j in range(LANES)]) for k, m in enumerate(sampled_blocks(known.count(), similarity))])
+    size = known.count()
+    drawn = sampled_blocks(size, similarity)
+    masks = F.array(*[F.struct(F.lit(k).alias("mask"), *[F.lit(m[j]).cast("bigint").alias(fp[j]) for j in range(LANES)]) for k, m in enumerate(drawn)])
     blocks = F.transform(masks, lambda m: F.struct(m["mask"].alias("mask"), F.xxhash64(*[F.col(c).bitwiseAND(m[c]) for c in fp]).alias("key")))
-    keyed = known.select("rep", F.explode(blocks).alias("_b")).select("rep", "_b.mask", "_b.key")
+    # few fingerprints fill a file and each gives a row a block, so they are dealt to tasks by the rows that they give
+    dealt_to = 1 + size * len(drawn) // KEYED_ROWS
+    keyed = known.repartition(dealt_to, "rep").select("rep", F.explode(blocks).alias("_b")).select("rep", "_b.mask", "_b.key")
     shared = materialize(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = materialize(keyed.join(shared, ["mask", "key"]))  # without fingerprints, which most rows don't need
     n = members.count()
