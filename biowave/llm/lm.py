@@ -1,39 +1,47 @@
 """Language-model scoring with a weighted backoff automaton.
 
 States are histories of n-grams; an arc leads on by a word and carries its discounted probability, a failure arc leads to
-the shorter history and carries the backoff weight. The model grows with the corpus and lives in tables. Texts are
-encoded once, in blocks: the distinct words of a block and its texts as numbers into them. What a block needs of the
-model, each word and n-gram once, is joined to it, and each group then walks its block's texts from left to right
-over that part of the automaton.
+the shorter history and carries the backoff weight. Every word of the training texts makes states. Texts are encoded once, in
+blocks: the hashes of a block's distinct words and its texts as numbers into them. A block's n-grams are a trie; the tries are
+dealt to buckets by their first word, a bucket sums the counts of all blocks and answers each block with what its nodes
+have in the whole corpus, and each block's texts are then walked from left to right over that part of the automaton.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count as counter
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biowave.llm.common import discard, materialize
+from biowave.llm.common import materialize
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK_CHARS = 24_000_000  # of a block's texts, about
-SLICE = 400_000  # words that are worked on together, about
+SLICE = 400_000  # places that are worked on together
+BUCKET_WORDS = 1_000_000  # of all texts for one bucket of n-grams, about
 ORDER = 3  # words of the longest n-gram
-FLOOR = 2e-4  # share of the training words from which a word makes states; so at most 1 / FLOOR words do
-BITS = 20  # of a state word's number in an n-gram's key
+FLOOR = 0.0  # share of the training words from which a word makes states; 0: every training word does
 DISCOUNT = 0.75
 
-BLOCKS = "block bigint, docs array<bigint>, train array<boolean>, ends array<int>, ids binary, words array<binary>, counts array<int>"
-#: the numbers of the start and the end of a text as state words; words follow
+BLOCKS = "block bigint, docs array<bigint>, train array<boolean>, ends array<int>, ids binary, words array<bigint>, counts array<int>"
+#: of a block's trie: first words, second and third words, how many children each has and how often training texts have it
+SENT = "bucket int, block bigint, u binary, k1 binary, n1 binary, v binary, k2 binary, n2 binary, w binary, n3 binary"
+#: a block's answer: counts, kinds of words that follow, and what of the count no arc leads on from; or a bucket's own figures
+SAID = (
+    "block bigint, bucket int, n1 binary, t1 binary, l1 binary, n2 binary, t2 binary, l2 binary, n3 binary, "
+    "kinds bigint, once bigint, twice bigint, hot array<bigint>, types array<bigint>, led array<bigint>"
+)
+#: the hashes of the start and the end of a text; words have theirs
 START, END = 1, 2
 
 
@@ -46,8 +54,29 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data) if data else b"", np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
 
 
+def _packed_long(values: np.ndarray) -> bytes:
+    v = np.ascontiguousarray(values, "<u8")
+    return _packed(np.concatenate([v & np.uint64(0xFFFFFFFF), v >> np.uint64(32)]))
+
+
+def _unpacked_long(data: bytes) -> np.ndarray:
+    low, high = _unpacked(data).astype(np.uint64).reshape(2, -1)
+    return low | high << np.uint64(32)
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """48 bits of each hash: they only tell the words apart that follow one history."""
+    return np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
 def encoded(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of docs (_id, _text, _train): ids are numbers of words, the commonest first; counts are those in training texts.
+    """Blocks of docs (_id, _text, _train): ids are numbers of words, the commonest first; words are hashes, counts those in training texts.
 
     ends holds each text's last place in ids, exclusive. The end of a text isn't in ids.
     """
@@ -60,8 +89,8 @@ def encoded(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         counts = np.bincount(flat[learnt], minlength=len(vocabulary))[order]
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        words = list(vocabulary)
-        row = (number, docs, train, ends.astype(np.int32), _packed(rank[flat]), [words[k] for k in order.tolist()], counts.astype(np.int32))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary)).view(np.int64)
+        row = (number, docs, train, ends.astype(np.int32), _packed(rank[flat]), hashes[order], counts.astype(np.int32))
         return pd.DataFrame([row], columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,130 +115,222 @@ def encoded(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return docs.mapInPandas(batch, BLOCKS)
 
 
-def _slices(ends: np.ndarray) -> Iterator[slice]:
-    """Runs of texts with about SLICE words."""
-    start = 0
-    while start < len(ends):
-        done = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE)))
-        yield slice(start, stop)
-        start = stop
-
-
-def _state_numbers(words, states: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(states.get, map(bytes, words), repeat(0)), np.int64, len(words))
-
-
-def _places(ends: np.ndarray, ids: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts' words and ends in a row: the text of each, its word (-1: an end) and its number as a state word."""
-    n = len(ends)
-    lengths = np.diff(ends, prepend=0) + 1
-    text = np.repeat(np.arange(n), lengths)
-    word = np.full(int(lengths.sum()), -1, np.int64)
-    is_end = np.zeros(len(word), bool)
-    is_end[np.cumsum(lengths) - 1] = True
-    word[~is_end] = ids
-    state = np.full(len(word), END, np.int64)
-    state[~is_end] = number[ids] if len(ids) else 0
-    return text, word, state
-
-
-def _history(text: np.ndarray, state: np.ndarray, back: int) -> np.ndarray:
-    """The state word `back` places before each place: START just before a text, 0 where there is none."""
-    out = np.zeros(len(state), np.int64)
-    out[back:] = state[:-back]
-    first = np.flatnonzero(np.diff(text, prepend=-1))
-    place = np.arange(len(state)) - first[text] if len(state) else out
-    return np.where(place >= back, out, np.where(place == back - 1, START, 0))
-
+class Trie:
+    """A block's n-grams: b and t are each place's bigram and trigram as numbers, -1 where there is none."""
+
+    def __init__(self, row, order: int, buckets: int, hot: np.ndarray, states: np.ndarray | None, places: bool = True):
+        ends, ids = np.asarray(row.ends, np.int64), _unpacked(row.ids)
+        self.hashes = np.r_[np.asarray(row.words, np.int64), START, END]
+        wide, train = len(self.hashes), np.asarray(row.train, bool)
+        lengths = np.diff(ends, prepend=0) + 1
+        self.text = np.repeat(np.arange(len(ends), dtype=np.int32), lengths)
+        last = np.cumsum(lengths) - 1
+        first = last - lengths + 1
+        is_end = np.zeros(len(self.text), bool)
+        is_end[last] = True
+        s = self.word = np.full(len(is_end), wide - 1, np.int32)
+        s[~is_end] = ids
+        del ids, is_end
+        learn = train[self.text]
+        if states is not None:
+            s = np.where(np.isin(self.hashes, np.r_[states, START, END])[s], s, np.int32(-1))
+        self.before = np.roll(s, 1)
+        self.before[first] = wide - 2
+
+        def numbered(history: np.ndarray):
+            """The distinct pairs of a history and a word, each place's number among them (-1: none), and their counts."""
+            key = history.astype(np.int64) * wide + s
+            key[(s < 0) | (history < 0)] = -1
+            order = np.argsort(key)
+            key = key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            none = int(len(key) > 0 and key[0] < 0)
+            at = np.cumsum(new, dtype=np.int32) - np.int32(1 + none)
+            out = np.empty(len(s), np.int32)
+            out[order] = at
+            counted = at[learn[order] & (at >= 0)]
+            found = key[new][none:]
+            del key, order, at, new
+            return found, out, np.bincount(counted, minlength=len(found)).astype(np.int64)
+
+        two, self.b, self.n2 = numbered(self.before)
+        self.back = np.roll(self.b, 1)
+        self.back[first] = -1
+        if order == 3:
+            three, self.t, self.n3 = numbered(self.back)
+        else:
+            three, self.t, self.n3 = np.zeros(0, np.int64), np.full(len(s), -1, np.int32), np.zeros(0, np.int64)
+        self.n1 = np.r_[np.asarray(row.counts, np.int64), train.sum(), 0]
+        del s, learn
+        if not places:
+            self.text = self.word = self.before = self.b = self.back = self.t = None
+
+        # nodes go by bucket, in it by the first word's hash; a hot first word's bigrams are dealt by both words
+        plain = self.hashes.view(np.uint64)
+        rank = np.empty(wide, np.int64)
+        by_hash = np.argsort(plain)
+        rank[by_hash] = np.arange(wide)
+        self.is_hot = np.isin(self.hashes, hot)
+        home = (plain % np.uint64(buckets)).astype(np.int64)
+        u, v = two // wide, two % wide
+        both = (plain[u] ^ (plain[v] >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) + plain[v]
+        both = (both ^ (both >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        code = np.where(self.is_hot[u], ((both >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), home[u]) * wide + rank[u]
+        at_home = home * wide + rank
+        nodes = np.unique(np.r_[at_home[: wide - 1], code[self.is_hot[u]]])
+        self.order1 = by_hash[nodes % wide]
+        self.own = at_home[self.order1] == nodes
+        self.order2 = np.argsort(code, kind="stable").astype(np.int32)
+        del u, both
+        self.k1 = np.bincount(np.searchsorted(nodes, code), minlength=len(nodes))
+        place = np.empty(len(two), np.int32)
+        place[self.order2] = np.arange(len(two), dtype=np.int32)
+        parent = place[three // wide] if len(three) else three
+        self.order3 = np.argsort(parent, kind="stable").astype(np.int32)
+        self.k2 = np.bincount(parent, minlength=len(two))
+        self.v, self.w = v.astype(np.int32), (three % wide).astype(np.int32)
+        del two, three, v, parent, place, code
+        self.cut1 = np.searchsorted(nodes, np.arange(buckets + 1) * wide)
+        self.cut2 = np.r_[0, np.cumsum(self.k1)][self.cut1]
+        self.cut3 = np.r_[0, np.cumsum(self.k2)][self.cut2]
+        if places:
+            self.v = self.w = self.k1 = self.k2 = None
+
+
+def _often(parts: int):
+    """Of each block the words that have one in `parts` of its training words, or more."""
+
+    def batch(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            for words, counts in zip(block["words"], block["counts"], strict=True):
+                n = np.asarray(counts, np.int64)
+                some = (n > 0) & (n * parts >= n.sum())
+                yield pd.DataFrame({"words": np.asarray(words, np.int64)[some], "n": n[some]})
 
-def gram_keys(text: np.ndarray, state: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 2 .. order the key of the n-gram that ends at each place; 0 where a word of it makes no states."""
-    key, whole, out = state.copy(), state > 0, []
-    for n in range(2, order + 1):
-        before = _history(text, state, n - 1)
-        whole = whole & (before > 0)
-        key = key | (before << (BITS * (n - 1)))
-        out.append(np.where(whole, key | (1 << 62 if n == 3 else 0), 0))
-    return out
-
-
-def _texts(row, number: np.ndarray):
-    """For each slice of a block's texts: the slice and what _places() gives for it."""
-    ends, ids = np.asarray(row.ends, np.int64), _unpacked(row.ids)
-    for some in _slices(ends):
-        first = int(ends[some.start - 1]) if some.start else 0
-        yield some, *_places(ends[some] - first, ids[first : int(ends[some.stop - 1])], number)
+    return batch
 
 
-def _grams_needed(states: dict[bytes, int], order: int):
+def _sent(order: int, buckets: int, hot: np.ndarray, states: np.ndarray | None):
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                number, train = _state_numbers(row.words, states), np.asarray(row.train, bool)
-                found, counts = [], []
-                for some, text, _, state in _texts(row, number):
-                    learn = train[some][text]
-                    for keys in gram_keys(text, state, order):
-                        one, at = np.unique(keys[keys > 0], return_inverse=True)
-                        found.append(one)
-                        counts.append(np.bincount(at, learn[keys > 0], len(one)))
-                if found:
-                    all_found, at = np.unique(np.concatenate(found), return_inverse=True)
-                    n = np.bincount(at, np.concatenate(counts), len(all_found)).astype(np.int64)
-                    yield pd.DataFrame({"block": row.block, "gram": all_found, "n": n})
+                t = Trie(row, order, buckets, hot, states, places=False)
+                hashes, rows = t.hashes.view(np.uint64), []
+                for k in range(buckets):
+                    a, b, c = (slice(x[k], x[k + 1]) for x in (t.cut1, t.cut2, t.cut3))
+                    one, two, three = t.order1[a], t.order2[b], t.order3[c]
+                    if len(one):
+                        rows.append((
+                            k, row.block, _packed_long(np.diff(hashes[one], prepend=np.uint64(0))), _packed(t.k1[a]), _packed(np.where(t.own[a], t.n1[one], 0)),
+                            _short(hashes[t.v[two]]), _packed(t.k2[b]), _packed(t.n2[two]), _short(hashes[t.w[three]]), _packed(t.n3[three]),
+                        ))
+                    if len(rows) == 64 or rows and k == buckets - 1:
+                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in SENT.split(", ")])
+                        rows = []
 
     return batch
 
 
-def _walked(order: int, figures: dict[str, float], backoffs: dict[int, float]):
+def _joined(parent: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (parent's number, word): each one's number, and of each number the parent."""
+    words, word = np.unique(hashes, return_inverse=True)
+    found, at = np.unique(parent * max(1, len(words)) + word, return_inverse=True)
+    return at, found // max(1, len(words))
+
+
+def _said(hot: np.ndarray):
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        def whole(column: str, read=_unpacked):
+            each = [read(x) for x in group[column]]
+            return np.concatenate(each), np.cumsum([len(x) for x in each])[:-1]
+
+        u, cut1 = whole("u", lambda x: np.cumsum(_unpacked_long(x), dtype=np.uint64))
+        v, cut2 = whole("v", _long)
+        w, cut3 = whole("w", _long)
+        k1, k2, n1, n2, n3 = (whole(c)[0] for c in ("k1", "k2", "n1", "n2", "n3"))
+        words, one = np.unique(u, return_inverse=True)
+        sum1 = np.bincount(one, n1, len(words)).astype(np.int64)
+        two, parent2 = _joined(np.repeat(one, k1), v)
+        sum2 = np.bincount(two, n2, len(parent2)).astype(np.int64)
+        three, parent3 = _joined(np.repeat(two, k2), w)
+        sum3 = np.bincount(three, n3, len(parent3)).astype(np.int64)
+
+        def after(parent: np.ndarray, n: np.ndarray, size: int):
+            return np.bincount(parent, n > 0, size).astype(np.int64), np.bincount(parent, n, size).astype(np.int64)
+
+        types1, led1 = after(parent2, sum2, len(words))
+        types2, led2 = after(parent3, sum3, len(parent2))
+        lost1, lost2 = np.where(types1 > 0, np.maximum(sum1 - led1, 0), 0), np.where(types2 > 0, sum2 - led2, 0)
+        columns = [x.split()[0] for x in SAID.split(", ")]
+        answers = [
+            [_packed_long(x) for x in np.split(values[at], cut)]
+            for values, at, cut in ((sum1, one, cut1), (types1, one, cut1), (lost1, one, cut1), (sum2, two, cut2), (types2, two, cut2), (lost2, two, cut2), (sum3, three, cut3))
+        ]
+        out = [(block, bucket, *a, None, None, None, None, None, None) for block, bucket, *a in zip(group["block"], group["bucket"], *answers, strict=True)]
+        counted = sum1[words != START]
+        some = np.isin(words.view(np.int64), hot)
+        figures = (int((counted > 0).sum()), int((counted == 1).sum()), int((counted == 2).sum()), words.view(np.int64)[some], types1[some], led1[some])
+        out.append((None, group["bucket"].iloc[0], *[None] * 7, *figures))
+        return pd.DataFrame(out, columns=columns).astype({"block": "Int64", "kinds": "Int64", "once": "Int64", "twice": "Int64"})
+
+    return of
+
+
+def _walked(order: int, buckets: int, hot: np.ndarray, types: np.ndarray, led: np.ndarray, states: np.ndarray | None, figures: dict[str, float]):
     total, kinds, discount = figures["total"], figures["kinds"], figures["discount"]
-    numbers = np.array(sorted(backoffs), np.int64)
-    weights = np.array([backoffs[k] for k in numbers.tolist()], float)
 
-    def of(key, blocks: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+    def share(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.divide(n, of, out=np.zeros(len(n)), where=of > 0)
+
+    def placed(t: Trie, at: slice, size: int, n1: np.ndarray, *levels: tuple) -> np.ndarray:
+        """For each text what its places from `at` add: known words, base score and score."""
+        c = n1[t.word[at]]
+        base = np.log10((c + 1) / (total + kinds + 1))
+        # the root's arcs; what it has no arc for shares the discounts of all words
+        unseen = discount * kinds / total if total else 1.0
+        p = np.where(c > 0, (c - discount) / max(total, 1), unseen)
+        for n, of, led_on, lost, node, history in levels[: order - 1]:
+            on = np.flatnonzero(history >= 0)
+            h = history[on]
+            p[on] *= np.where(led_on[h] > 0, share(DISCOUNT * led_on[h] + lost[h], of[h]), 1.0)
+            on = np.flatnonzero(node >= 0)
+            p[on] += share(np.maximum(n[node[on]] - DISCOUNT, 0), of[history[on]])
+        return np.stack([np.bincount(t.text[at], x, size) for x in (c > 0, base, np.log10(p))])
+
+    def walk(key, blocks: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         out = []
-        keys, a, b = (facts[c].to_numpy() for c in ("key", "a", "b"))
-        word_facts = keys < 0
-        words, counts, states = -1 - keys[word_facts], a[word_facts].astype(np.int64), b[word_facts].astype(np.int64)
-        sort = np.flatnonzero(~word_facts)
-        sort = sort[np.argsort(keys[sort])]
-        gram, arc, back = keys[sort], a[sort], b[sort]
         for row in blocks.itertuples():
-            known, number = np.zeros(row.n_words, np.int64), np.zeros(row.n_words, np.int64)
-            known[words], number[words] = counts, states
-            for some, text, word, state in _texts(row, number):
-                c = np.where(word < 0, int(figures["ends"]), known[word] if len(known) else 0)
-                base = np.log10((c + 1) / (total + kinds + 1))
-                # the root's arcs; what it has no arc for shares the discounts of all words
-                unseen = discount * kinds / total if total else 1.0
-                p = np.where(c > 0, (c - discount) / max(total, 1), unseen)
-                grams = gram_keys(text, state, order)
-                for n in range(2, order + 1):
-                    if n == 2:  # from histories of one word
-                        fail = _looked_up(numbers, weights, _history(text, state, 1), 1.0)
-                    else:  # the n - 1 words before a place are the n-gram that ends one place before it
-                        fail = np.ones(len(p))
-                        same = np.flatnonzero(text[1:] == text[:-1]) + 1
-                        fail[same] = _looked_up(gram, back, grams[n - 3][same - 1], 1.0)
-                    p = _looked_up(gram, arc, grams[n - 2], 0.0) + fail * p
-                n = some.stop - some.start
-                out.append(
-                    pd.DataFrame({
-                        "_id": pd.array(list(row.docs[some]), "Int64"), "_train": np.asarray(row.train, bool)[some], "n_tokens": np.bincount(text, minlength=n),
-                        "n_known": np.bincount(text, c > 0, n).astype(np.int64), "base_score": np.bincount(text, base, n), "score": np.bincount(text, np.log10(p), n),
-                    })
-                )
+            t = Trie(row, order, buckets, hot, states)
+            n1, t1, l1 = (np.zeros(len(t.hashes), np.int64) for _ in range(3))
+            n2, t2, l2 = (np.zeros(len(t.n2), np.int64) for _ in range(3))
+            n3 = np.zeros(len(t.n3), np.int64)
+            for r in said.itertuples():
+                k = r.bucket
+                own = t.own[t.cut1[k] : t.cut1[k + 1]]
+                one, two, three = t.order1[t.cut1[k] : t.cut1[k + 1]][own], t.order2[t.cut2[k] : t.cut2[k + 1]], t.order3[t.cut3[k] : t.cut3[k + 1]]
+                for values, data in ((n1, r.n1), (t1, r.t1), (l1, r.l1)):
+                    values[one] = _unpacked_long(data)[own]
+                for values, data in ((n2, r.n2), (t2, r.t2), (l2, r.l2)):
+                    values[two] = _unpacked_long(data)
+                n3[three] = _unpacked_long(r.n3)
+            if t.is_hot.any():  # their bigrams are in many buckets, of which this block needn't have met all
+                at = np.searchsorted(hot, t.hashes[t.is_hot])
+                t1[t.is_hot], l1[t.is_hot] = types[at], np.where(types[at] > 0, n1[t.is_hot] - led[at], 0)
+            n1[-1] = int(figures["ends"])
+            size, sums = len(row.docs), np.zeros((3, len(row.docs)))
+            for start in range(0, len(t.text), SLICE):
+                at = slice(start, start + SLICE)
+                sums += placed(t, at, size, n1, (n2, n1, t1, l1, t.b[at], t.before[at]), (n3, n2, t2, l2, t.t[at], t.back[at]))
+            out.append(
+                pd.DataFrame({
+                    "_id": pd.array(list(row.docs), "Int64"), "_train": np.asarray(row.train, bool), "n_tokens": np.bincount(t.text, minlength=size),
+                    "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2],
+                })
+            )
         return pd.concat(out) if out else pd.DataFrame(columns=["_id", "_train", "n_tokens", "n_known", "base_score", "score"])
 
-    return of
-
-
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+    return walk
 
 
 def score(
@@ -220,9 +341,9 @@ def score(
 
     Texts are lower-cased (A-Z) words and one end each. The model learns from the rows that meet `train`. score is the log10
     probability of the text by interpolated absolute discounting: words the training texts lack are one class, which
-    gets what the root discounts; histories are the start and words with at least `floor` of the training words, of
-    which there are at most 1 / floor, and arcs of two or three words join such words. Probabilities after a history
-    sum to one. base_score adds one to each count.
+    gets what the root discounts; histories are the start and all training words (with a `floor`, those with at least
+    that share of them), and arcs of two or three words join such words. Probabilities after a history sum to one.
+    base_score adds one to each count. Words are told apart by 64-bit hashes, those after a history by 48 bits.
 
     Null and empty texts are only an end. Null ids keep their row; rows that repeat an id are texts each. Without
     training rows every word is unknown and scores are 0. An empty input gives an empty result; other columns are ignored.
@@ -231,60 +352,36 @@ def score(
         raise ValueError("order is 2 or 3")
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     blocks = materialize(encoded(rows, block_chars))
-    word = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "_w")).select("block", "pos", "_w.words", "_w.counts")
-    # one row a block and word; a word's rows meet once, for its sum
-    same = Window.partitionBy("words")
-    words = materialize(
-        word.withColumn("n", F.sum("counts").over(same)).withColumn("_first", F.row_number().over(same.orderBy("block", "pos")) == 1)
-        .select("block", "pos", "words", "n", "_first")
-    )
-    vocabulary = words.where("_first AND n > 0")
-    ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
-    n, kinds, once, twice = vocabulary.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
-    ).first()
-    total, kinds = n + ends, kinds + (ends > 0)
-    figures = {"total": total, "kinds": kinds, "ends": ends, "discount": once / (once + 2 * twice) if once and twice else 0.5}
-    # by their share these are at most 1 / floor words
-    frequent = sorted((bytes(r["words"]), r["n"]) for r in vocabulary.where(F.col("n") >= F.lit(max(1.0, floor * total))).collect())
-    states = {w: k for k, (w, _) in enumerate(frequent, END + 1)}
-    if len(states) + END >= 1 << BITS:
-        raise ValueError(f"floor {floor} lets over {1 << BITS} words make states")
-
-    needed = materialize(blocks.select("block", "ids", "ends", "train", "words").mapInPandas(_grams_needed(states, order), "block bigint, gram bigint, n bigint"))
-    grams = materialize(needed.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
-    long = F.col("gram") >= (1 << 62)
-    inner = F.when(long, F.col("gram") - (1 << 62)).otherwise(F.col("gram"))
-    history = F.shiftright(inner, BITS)
-    arcs = grams.select("gram", "n", history.alias("history"), long.alias("long"))
-    after = arcs.groupBy("long", "history").agg(F.count(F.lit(1)).alias("arcs"), F.sum("n").alias("led"))
-    # histories of one word: at most 1 / floor rows, which every task gets
-    uses = {START: ends} | {states[w]: c for w, c in frequent}
-    ones = {r["history"]: (DISCOUNT * r["arcs"] + uses[r["history"]] - r["led"]) / uses[r["history"]] for r in after.where("NOT long").collect()}
-    ones_n = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in uses.items()], "one bigint, one_n double")
-    two = grams.where(~long).select(F.col("gram").alias("two"), F.col("n").alias("two_n"))
-    backs = after.where("long").join(two, F.col("history") == F.col("two")).select(
-        "two", ((F.lit(DISCOUNT) * F.col("arcs") + F.col("two_n") - F.col("led")) / F.col("two_n")).alias("back")
-    )
-    model = (
-        arcs.join(F.broadcast(ones_n), ~F.col("long") & (F.col("history") == F.col("one")), "left")
-        .join(two, F.col("long") & (F.col("history") == F.col("two")), "left").drop("two")
-        .join(backs, F.col("gram") == F.col("two"), "left")
-        .select("gram", ((F.col("n") - DISCOUNT) / F.coalesce("one_n", "two_n")).alias("arc"), F.coalesce("back", F.lit(1.0)).alias("back"))
-    )
-    model = materialize(model)
-    numbered = docs.sparkSession.createDataFrame([(bytearray(w), k) for w, k in states.items()], "words binary, state bigint")
-    # what a block needs to know: of its words (keys below 0) the count and the number as a state word, of n-grams the arcs
-    facts = (
-        words.where("n > 0").join(F.broadcast(numbered), "words", "left")
-        .select(F.col("block").alias("of_block"), (-1 - F.col("pos")).cast("bigint").alias("key"), F.col("n").cast("double").alias("a"), F.coalesce("state", F.lit(0)).cast("double").alias("b"))
-        .unionByName(needed.join(model, "gram").select(F.col("block").alias("of_block"), F.col("gram").alias("key"), F.col("arc").alias("a"), F.col("back").alias("b")))
-    )
-    texts = blocks.select("block", "docs", "train", "ends", "ids", F.size("words").alias("n_words"))
-    walked = texts.groupBy("block").cogroup(facts.groupBy("of_block")).applyInPandas(
-        _walked(order, figures, ones), "_id bigint, _train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    learnt = F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y)
+    n, ends, words = blocks.agg(
+        F.coalesce(F.sum(learnt), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0)),
+        F.coalesce(F.sum(F.element_at("ends", -1)), F.lit(0)),
+    ).first()
+    total = n + ends
+    buckets = max(1, math.ceil(words / BUCKET_WORDS))
+    # words whose n-grams are dealt to many buckets: at most twice as many as there are buckets, and each is so frequent in some block
+    often = blocks.select("words", "counts").mapInPandas(_often(2 * buckets), "words bigint, n bigint").groupBy("words").agg(F.sum("n").alias("n"))
+    hot = np.array(sorted([START] + [r[0] for r in often.where(F.col("n") * (2 * buckets) >= n).select("words").collect()]), np.int64)
+    states = None
+    if floor > 0:  # by their share these are at most 1 / floor words
+        word = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("_w")).select("_w.words", "_w.counts")
+        kept = word.groupBy("words").agg(F.sum("counts").alias("n")).where(F.col("n") >= max(1.0, floor * total))
+        states = np.array([r[0] for r in kept.select("words").collect()], np.int64)
+
+    sent = blocks.select("block", "train", "ends", "ids", "words", "counts").mapInPandas(_sent(order, buckets, hot, states), SENT)
+    said = materialize(sent.groupBy("bucket").applyInPandas(_said(hot), SAID))
+    kinds, once, twice = said.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "once", "twice")]).first()
+    figures = {"total": total, "kinds": kinds + (ends > 0), "ends": ends, "discount": once / (once + 2 * twice) if once and twice else 0.5}
+    after = {
+        r[0]: (r[1], r[2])
+        for r in said.where("block IS NULL").select(F.explode(F.arrays_zip("hot", "types", "led")).alias("_h"))
+        .groupBy("_h.hot").agg(F.sum("_h.types"), F.sum("_h.led")).collect()
+    }
+    types, led = np.array([after.get(h, (0, 0)) for h in hot.tolist()], np.int64).T
+    answers = said.where("block IS NOT NULL").select(F.col("block").alias("of_block"), "bucket", "n1", "t1", "l1", "n2", "t2", "l2", "n3")
+    walked = blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(
+        _walked(order, buckets, hot, types, led, states, figures), "_id bigint, _train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     )
-    discard(grams)
     return walked.select(
         F.col("_id").alias(id_col), F.col("_train").alias("learnt"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

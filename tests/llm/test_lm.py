@@ -80,6 +80,18 @@ def test_scores_match_brute_force(spark, sf_dir, order, floor, block):
     assert all(s == pytest.approx(1.0, abs=1e-9) for s in sums)  # after every history, the unknown class included
 
 
+@pytest.mark.parametrize("bucket", [10**6, 300])
+def test_every_training_word_makes_states(spark, monkeypatch, bucket):
+    monkeypatch.setattr(lm, "BUCKET_WORDS", bucket)
+    rows = [(k, f"rare{k} word{k % 50} follows{k} the common {'text of all ' * (k % 3)}") for k in range(1500)]
+    rows += [(2000 + k, f"rare{k} word{k % 50} follows{k} the") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    learns = lambda i: i < 1500
+    want, _ = brute(rows, learns, 3, 1e-9)
+    got = {r["doc_id"]: r for r in lm.score(df, F.col("_id") < 1500, block_chars=3000).collect()}
+    assert all(got[i]["score"] == pytest.approx(want[i][4], abs=1e-8) and got[i]["n_known"] == want[i][1] for i, _ in rows)
+
+
 def test_messy_rows_and_no_training(messy):
     rows = lm.score(messy, F.lit(True)).collect()
     assert len(rows) == messy.count() and all(r["score"] <= 0 and math.isfinite(r["score"]) for r in rows)
