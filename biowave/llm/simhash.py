@@ -7,6 +7,7 @@ fingerprints are one row throughout, and what leaves a bucket is a spanning fore
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import re
@@ -184,17 +185,32 @@ def bits_apart(similarity: float, lanes: int = LANES) -> int:
     return round(64 * lanes * p + math.sqrt(64 * lanes * p * (1 - p)) / 2)
 
 
+def block_chance(count: int, size: int, similarity: float, lanes: int = LANES) -> float:
+    """The chance that a pair just at the similarity shares one of `count` blocks of `size` bits.
+
+    The bits of a block are drawn without replacement, and all blocks of a pair see the same distance, which is binomial.
+    """
+    p, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * lanes
+    return sum(
+        math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - (1 - math.comb(bits - d, size) / math.comb(bits, size)) ** count)
+        for d in range(bits + 1)
+    )
+
+
 def sampled_blocks(n: int, similarity: float, lanes: int = LANES, recall: float = RECALL) -> list[list[int]]:
     """Masks of blocks of bits, drawn once and for all; a block has so many bits that chance gives few partners.
 
-    As many blocks as make a pair just at the similarity share one with the probability `recall`. A block is five bits longer
+    As many blocks as make a pair just at the similarity share one with the probability `recall`, at every size. A block is five bits longer
     than the number of fingerprints is, so whatever that number is, chance shares about one block in forty.
     """
     size = max(12, math.ceil(math.log2(max(n, 1))) + 5)
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = 1
+    while block_chance(most, size, similarity, lanes) < recall:
+        most *= 2
+    count = bisect.bisect_left(range(most + 1), recall, lo=most // 2, key=lambda k: block_chance(k, size, similarity, lanes))
     rng = np.random.default_rng(64)
     out = []
-    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** size))):
+    for _ in range(count):
         mask = np.zeros(64 * lanes, np.uint8)
         mask[rng.choice(64 * lanes, size, replace=False)] = 1
         out.append(np.packbits(mask.reshape(lanes, 64), axis=1, bitorder="little").view("<i8")[:, 0].tolist())

@@ -181,3 +181,13 @@ def test_similar_groups_of_messy_rows(messy, empty):
 def test_more_lanes_begin_with_the_first():
     for t in ("", "a b", "one two three four five six"):
         assert simhash.wide_fingerprint(t, 4, 4)[0] == simhash.fingerprint(t, 4)
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6])
+def test_sampled_blocks_reach_their_recall_at_every_size(n):
+    masks = np.array(simhash.sampled_blocks(n, 0.8), np.int64).view(np.uint8)
+    blocks = np.unpackbits(masks, axis=1).astype(bool)
+    rng = np.random.default_rng(1)
+    p = np.arccos(1.6 / 1.8) / np.pi
+    shared = [not (blocks & (rng.random(256) < p)).any(axis=1).all() for _ in range(3000)]
+    assert abs(np.mean(shared) - simhash.RECALL) < 0.02
