@@ -9,12 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biowave.llm.common import materialize
 
 CAPACITY = 2048
+RANGE_BITS = 16  # places of the order that are summed in one group
 LOT_SEQUENCES = 512  # sequences that one group fills, about
 #: Beyond plain Latin text, and for its own special strings and very long runs, the tokenizer file itself is asked.
 UNUSUAL = re.compile(r"[^\x00-ɏ]|<\||\S{1000}|\s{1000}")
@@ -48,22 +50,44 @@ def encoder(json_path: str, ranks_path: str | None):
     return lambda text: exact(text) if UNUSUAL.search(text) else fast.encode_ordinary(text)
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, json_path: str, ranks_path: str | None) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, json_path: str, ranks_path: str | None, order: Column | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. Only documents over the capacity are cut."""
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(json_path, ranks_path)
         for part in parts:
             rows = []
-            for doc, text in zip(part["_id"].array, part["_text"], strict=True):
+            for doc, text, at in zip(part["_id"].array, part["_text"], part["_at"].tolist(), strict=True):
                 ids = np.array([*encode(text or ""), 0], "<u4")
                 cut = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
-                rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), at) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_at"])
             yield out.astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(batch, PIECES)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (F.lit(0) if order is None else order).cast("bigint").alias("_at"))
+    return rows.mapInPandas(batch, PIECES + ", _at bigint")
+
+
+def written_order(docs: DataFrame) -> Column:
+    """The place of each row in the table that docs reads: its file's number and its row there; of other frames the row's own place."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
+    return F.shiftleft(F.coalesce(part, F.lit(0).cast("bigint")), 40) + F.col("_metadata.row_index")
+
+
+def ranges(cut: DataFrame, tokens: int, lots: int) -> DataFrame:
+    """cut with _lot: consecutive ranges of _at, of about as many tokens each."""
+    parted = cut.withColumn("_part", F.shiftright("_at", RANGE_BITS))
+    sums = parted.groupBy("_part").agg(F.sum("length").alias("_sum"))  # a row for each 2 ** RANGE_BITS places
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("_part").orderBy("_at", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    counted = parted.withColumn("_own", F.coalesce(F.sum("length").over(own), F.lit(0))).join(starts, "_part")
+    size = max(1, -(-tokens // lots))
+    return counted.withColumn("_lot", F.floor((F.col("_start") + F.col("_own")) / size).cast("bigint")).drop("_part", "_own", "_start")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,18 +120,19 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, lot_sequences: int = LOT_SEQUENCES,
-    json_path: str | None = None, ranks_path: str | None = None,
+    json_path: str | None = None, ranks_path: str | None = None, order: Column | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and then id 0 (a null text: only that). One longer than the capacity is cut into pieces
     of the capacity, of which the first may be shorter. Pieces are dealt by hash to lots of about `lot_sequences`
     sequences, and each lot is packed by itself, longest first: lots are bounded at every input size, and a lot ends with
-    a bin or so that isn't full. Rows that repeat an id are packed each, null ids too; an empty input gives no rows.
+    a bin or so that isn't full. With an `order` (a bigint column) lots are consecutive ranges of it instead, and sequence_id
+    rises with them. Rows that repeat an id are packed each, null ids too; an empty input gives no rows.
     """
     if json_path is None:
         json_path, ranks_path = default_paths()
-    cut = materialize(pieces(docs, id_col, text_col, capacity, json_path, ranks_path))
+    cut = materialize(pieces(docs, id_col, text_col, capacity, json_path, ranks_path, order))
     tokens = cut.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     lots = max(1, round(tokens / capacity / lot_sequences))
 
@@ -118,5 +143,5 @@ def pack(
         return group.assign(sequence_id=group["_lot"].to_numpy(np.int64) * (1 << 32) + bins, offset=offsets).drop(columns="_lot")
 
     # two rows that are alike in everything differ only by their number; crc32 spreads repeated ids
-    dealt = cut.withColumn("_lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)))
-    return dealt.groupBy("_lot").applyInPandas(lot, PIECES + ", sequence_id bigint, offset bigint")
+    dealt = ranges(cut, tokens, lots) if order is not None else cut.withColumn("_lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)))
+    return dealt.drop("_at").groupBy("_lot").applyInPandas(lot, PIECES + ", sequence_id bigint, offset bigint")

@@ -1,12 +1,15 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from biowave.llm import chat, mixing, packing
+from biowave.llm.common import materialize
 
 
 def exact_ids(text):
@@ -141,3 +144,25 @@ def test_chat_matches_brute_force(spark, n):
         if talks.index(talk) == c and not any(len(o) > len(talk) and o[: len(talk)] == talk for o in talks):
             want.add((c, talks.count(talk)))
     assert got == want
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_lots_follow_the_mix(spark, sf_dir, monkeypatch, partitions):
+    whole = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda docs, **k: whole(docs, **k, capacity=256, lot_sequences=8))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(partitions)
+    mixed = materialize(corpus_pipeline.mix_sources(spark, docs, sf_dir))
+    place = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+
+    def in_order(rows):
+        lots = {}
+        for r in rows:
+            lots.setdefault(r["sequence_id"] >> 32, []).append(place[r["doc_id"]])
+        return len(lots) > 5 and all(max(lots[a]) <= min(lots[b]) for a, b in itertools.pairwise(sorted(lots)))
+
+    got = corpus_pipeline.pack(spark, mixed, sf_dir).collect()
+    assert in_order(got)
+    plain = corpus_pipeline.pack(spark, materialize(docs), sf_dir).collect()  # the stage left out
+    assert not in_order(plain)
+    key = lambda rows: sorted((r["doc_id"], r["piece"], r["length"]) for r in rows)
+    assert key(got) == key(plain)
