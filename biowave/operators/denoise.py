@@ -22,7 +22,7 @@ WHITE_CEEMDAN = (1.0, 0.45871, 0.309190, 0.19652, 0.14093, 0.084863, 0.06222, 0.
 DEFAULTS = {
     "hp": {"order": 4, "drift_hz": 10.0, "line_hz": 60.0, "line_q": 5.0, "ecg_hz": 40.0, "motion_hz": 40.0, "motion_nstdb_hz": 20.0, "low_hz": 20.0, "high_hz": 500.0, "colour_is_white": True},
     "highpass": {"cutoff_hz": 20.0, "order": 4},
-    "ts": {"low_hz": 2.5, "high_hz": 50.0, "order": 4, "least_peaks": 2, "least_gap": 140, "fallback": "noisy"},
+    "ts": {"low_hz": 2.5, "high_hz": 50.0, "order": 4, "least_peaks": 2, "least_gap_s": 0.14, "fallback": "noisy"},
     "emd": {"f_min": 20.0, "f_max": 500.0, "modes": 8, "fallback": "noisy"},
     "vmd": {"f_min": 20.0, "f_max": 500.0, "modes": 10, "alpha": 2000.0, "tau": 0.0, "tol": 1e-7, "fallback": "noisy"},
     "ceemdan": {"f_min": 20.0, "f_max": 500.0, "modes": 8, "trials": 20, "fallback": "noisy"},
@@ -55,14 +55,14 @@ def iir_chain(x: np.ndarray, rate: float, noise: Noise, p: dict) -> np.ndarray:
 
 def template_subtraction(x: np.ndarray, rate: float, p: dict) -> tuple[np.ndarray, bool]:
     """Take the mean beat, scaled to each beat by least squares, out of one signal."""
-    size = int(rate)
+    size, least = int(rate), p.get("least_gap", p["least_gap_s"] * rate)  # least_gap is in samples
     if len(x) < size:  # shorter than the slow average
         return x, False
     band = K.band_pass(x[None], rate, p["low_hz"], p["high_hz"], p["order"])[0]
     slow, fast = (np.convolve(np.abs(band), np.ones(n) / n, "same") for n in (size, max(1, size // 10)))
     up = np.flatnonzero(np.diff(np.r_[0, (slow < fast).astype(int), 0]))
     starts, stops = up[::2], up[1::2]
-    peaks = [a + int(np.argmax(band[a:b])) for a, b in zip(starts, stops, strict=True) if b < len(x) and b - a >= p["least_gap"]]
+    peaks = [a + int(np.argmax(band[a:b])) for a, b in zip(starts, stops, strict=True) if b < len(x) and b - a >= least]
     if len(peaks) < p["least_peaks"]:
         return x, False
     beat = int(np.diff(peaks).min())

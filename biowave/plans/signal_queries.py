@@ -44,8 +44,14 @@ def denoise_iir(spark, sf):
     return gains(spark, sf, "hp")
 
 
-def denoise_template(spark, sf):
-    return gains(spark, sf, "ts")
+def denoise_template(spark, sf, joined: int = 16):
+    """Runs of segments one after the other, 8 seconds where none is missing, so that they hold several beats."""
+    m = mixed(spark, sf, (0,), 1).withColumn("run", F.floor(F.col("seg") / joined))
+    m = m.groupBy("run", "snr").agg(F.array_sort(F.collect_list(F.struct("seg", "clean", "noisy"))).alias("s"))
+    whole = lambda name: F.flatten(F.transform("s", lambda v: v[name])).alias(name)
+    rows = m.select((F.col("run") * joined).alias("seg"), "snr", whole("clean"), whole("noisy"), F.lit("ECG").alias("noise_types"), F.lit("").alias("noise_paths"))
+    d = denoise(rows, "ts", RATE)
+    return d.select("seg", "snr", "noise_types", "ok", r(M.snr_gain(F.col("clean"), F.col("denoised"), F.col("noisy")), "gain", 5), F.size("denoised").alias("n"))
 
 
 def denoise_emd(spark, sf):

@@ -147,6 +147,14 @@ def test_template_subtraction_takes_beats_out():
     assert not ok and (flat == small[:500]).all()
 
 
+def test_template_query_subtracts(spark):
+    from biowave.plans import signal_queries
+
+    rows = signal_queries.denoise_template(spark, "/root/testdata/sf0.001").collect()
+    done = [r for r in rows if r["ok"]]
+    assert done and any(abs(r["gain"]) > 1e-6 for r in done)
+
+
 @pytest.mark.parametrize("method", ["emd", "vmd", "ceemdan"])
 def test_decomposition_denoisers(method):
     x = np.sin(2 * np.pi * 50 * np.arange(300) / 1000)[None] + 0.1 * np.random.default_rng(0).standard_normal((2, 300))
