@@ -1,10 +1,15 @@
 """Language-model scoring with a weighted backoff automaton.
 
 States are histories of n-grams; an arc leads on by a word and carries its discounted probability, a failure arc leads to
-the shorter history and carries the backoff weight. Every word of the training texts makes states. Texts are encoded once, in
-blocks: the hashes of a block's distinct words and its texts as numbers into them. A block's n-grams are a trie; the tries are
-dealt to buckets by their first word, a bucket sums the counts of all blocks and answers each block with what its nodes
-have in the whole corpus, and each block's texts are then walked from left to right over that part of the automaton.
+the shorter history and carries the backoff weight. Every word of the training texts makes states, and so does every
+n-gram. Texts are encoded once, in blocks: the hashes of a block's distinct words and its texts as numbers into them.
+
+What a block has to learn about the corpus is always a sum by key, so two exchanges of the same kind do it. In the first a
+block sends the keys of its distinct n-grams with their counts in training texts; buckets of keys sum them and answer each
+block, marking for one block of all that it is the one that counts this n-gram as a kind. In the second it sends its
+histories with the kinds that it counts after them, and gets how many kinds follow each in the whole corpus. A key comes from a
+block at most once, however often it occurs, so no word, pair or passage fills a bucket. Each block's texts are then walked from
+left to right over its part of the automaton.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count as counter
 
 import numpy as np
@@ -26,71 +31,62 @@ from pyspark.sql import functions as F
 from biowave.llm.common import materialize
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-BLOCK_CHARS = 24_000_000  # of a block's texts, about
-SLICE = 400_000  # places that are worked on together
-BUCKET_WORDS = 1_000_000  # of all texts for one bucket of n-grams, about
+BLOCK_CHARS = 8_000_000  # of a block's texts, about
+BUCKET_KEYS = 1_000_000  # keys that one bucket gets, about
+BLOCKS_A_TASK = 2
 ORDER = 3  # words of the longest n-gram
-FLOOR = 0.0  # share of the training words from which a word makes states; 0: every training word does
 DISCOUNT = 0.75
 
-BLOCKS = "block bigint, docs array<bigint>, train array<boolean>, ends array<int>, ids binary, words array<bigint>, counts array<int>"
-#: of a block's trie: first words, second and third words, how many children each has and how often training texts have it
-SENT = "bucket int, block bigint, u binary, k1 binary, n1 binary, v binary, k2 binary, n2 binary, w binary, n3 binary"
-#: a block's answer: counts, kinds of words that follow, and what of the count no arc leads on from; or a bucket's own figures
-SAID = (
-    "block bigint, bucket int, n1 binary, t1 binary, l1 binary, n2 binary, t2 binary, l2 binary, n3 binary, "
-    "kinds bigint, once bigint, twice bigint, hot array<bigint>, types array<bigint>, led array<bigint>"
-)
+BLOCKS = "block bigint, docs array<bigint>, train array<boolean>, ends array<int>, ids binary, words array<bigint>, tokens bigint"
+SENT = "level int, bucket int, block bigint, keys binary, counts binary"
+SAID = "level int, bucket int, block bigint, sums binary, kinds array<bigint>"
+SCORES = "_id bigint, _train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 #: the hashes of the start and the end of a text; words have theirs
 START, END = 1, 2
+SMALL = 32  # values from which compression pays
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """32-bit numbers, small ones most often, as compressed planes of their bytes."""
-    return zstandard.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data) if data else b"", np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
-
-
-def _packed_long(values: np.ndarray) -> bytes:
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers that are small most often: the planes of their bytes that aren't all zero, compressed."""
     v = np.ascontiguousarray(values, "<u8")
-    return _packed(np.concatenate([v & np.uint64(0xFFFFFFFF), v >> np.uint64(32)]))
-
+    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    planes = v.view(np.uint8).reshape(-1, 8)[:, :width]
+    if len(v) < SMALL:
+        return bytes([width]) + planes.tobytes()
+    return bytes([width | 128]) + zstandard.compress(planes.T.tobytes(), 1)
 
-def _unpacked_long(data: bytes) -> np.ndarray:
-    low, high = _unpacked(data).astype(np.uint64).reshape(2, -1)
-    return low | high << np.uint64(32)
 
+def _unpacked(data: bytes) -> np.ndarray:
+    width, packed = data[0] & 127, data[0] > 127
+    planes = np.frombuffer(zstandard.decompress(data[1:]) if packed else data, np.uint8, offset=0 if packed else 1)
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, -1).T if packed else planes.reshape(-1, width)
+    return out.view("<u8")[:, 0]
 
-def _short(hashes: np.ndarray) -> bytes:
-    """48 bits of each hash: they only tell the words apart that follow one history."""
-    return np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8")[:, 0]
+def _longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a history and the word after it, by the splitmix64 finalizer."""
+    z = (history ^ (history >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def encoded(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of docs (_id, _text, _train): ids are numbers of words, the commonest first; words are hashes, counts those in training texts.
+    """Blocks of docs (_id, _text, _train): ids are numbers of words, the commonest first; words are their hashes.
 
-    ends holds each text's last place in ids, exclusive. The end of a text isn't in ids.
+    ends holds each text's last place in ids, exclusive. The end of a text isn't in ids; tokens counts those of training texts.
     """
 
     def block(number: int, ids: list, docs: list, train: list, vocabulary: dict) -> pd.DataFrame:
         ends = np.cumsum([len(x) for x in ids])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        learnt = np.repeat(np.array(train, bool), [len(x) for x in ids])
         order = np.argsort(-np.bincount(flat, minlength=len(vocabulary)), kind="stable")
-        counts = np.bincount(flat[learnt], minlength=len(vocabulary))[order]
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary)).view(np.int64)
-        row = (number, docs, train, ends.astype(np.int32), _packed(rank[flat]), hashes[order], counts.astype(np.int32))
+        tokens = int(((np.diff(ends, prepend=0) + 1) * np.array(train, bool)).sum())
+        row = (number, docs, train, ends.astype(np.int32), _packed(rank[flat]), hashes[order], tokens)
         return pd.DataFrame([row], columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,273 +111,203 @@ def encoded(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return docs.mapInPandas(batch, BLOCKS)
 
 
-class Trie:
-    """A block's n-grams: b and t are each place's bigram and trigram as numbers, -1 where there is none."""
+class Grams:
+    """A block's n-grams, n from 1: keys[n] are the sorted distinct ones, at[n] each place's number among them.
+
+    place[n] are the places that have an n-gram, history[n] the number of the (n - 1)-gram before each of these.
+    """
 
-    def __init__(self, row, order: int, buckets: int, hot: np.ndarray, states: np.ndarray | None, places: bool = True):
+    def __init__(self, row, order: int):
         ends, ids = np.asarray(row.ends, np.int64), _unpacked(row.ids)
-        self.hashes = np.r_[np.asarray(row.words, np.int64), START, END]
-        wide, train = len(self.hashes), np.asarray(row.train, bool)
+        words = np.r_[np.asarray(row.words, np.int64).view(np.uint64), np.array([START, END], np.uint64)]
+        by = np.argsort(words)
+        rank = np.empty(len(words), np.int32)
+        rank[by] = np.arange(len(words), dtype=np.int32)
         lengths = np.diff(ends, prepend=0) + 1
-        self.text = np.repeat(np.arange(len(ends), dtype=np.int32), lengths)
         last = np.cumsum(lengths) - 1
-        first = last - lengths + 1
+        self.texts = len(ends)
+        self.text = np.repeat(np.arange(len(ends), dtype=np.int32), lengths)
+        self.learn = np.asarray(row.train, bool)[self.text]
         is_end = np.zeros(len(self.text), bool)
         is_end[last] = True
-        s = self.word = np.full(len(is_end), wide - 1, np.int32)
-        s[~is_end] = ids
-        del ids, is_end
-        learn = train[self.text]
-        if states is not None:
-            s = np.where(np.isin(self.hashes, np.r_[states, START, END])[s], s, np.int32(-1))
-        self.before = np.roll(s, 1)
-        self.before[first] = wide - 2
-
-        def numbered(history: np.ndarray):
-            """The distinct pairs of a history and a word, each place's number among them (-1: none), and their counts."""
-            key = history.astype(np.int64) * wide + s
-            key[(s < 0) | (history < 0)] = -1
-            order = np.argsort(key)
-            key = key[order]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            none = int(len(key) > 0 and key[0] < 0)
-            at = np.cumsum(new, dtype=np.int32) - np.int32(1 + none)
-            out = np.empty(len(s), np.int32)
-            out[order] = at
-            counted = at[learn[order] & (at >= 0)]
-            found = key[new][none:]
-            del key, order, at, new
-            return found, out, np.bincount(counted, minlength=len(found)).astype(np.int64)
-
-        two, self.b, self.n2 = numbered(self.before)
-        self.back = np.roll(self.b, 1)
-        self.back[first] = -1
-        if order == 3:
-            three, self.t, self.n3 = numbered(self.back)
-        else:
-            three, self.t, self.n3 = np.zeros(0, np.int64), np.full(len(s), -1, np.int32), np.zeros(0, np.int64)
-        self.n1 = np.r_[np.asarray(row.counts, np.int64), train.sum(), 0]
-        del s, learn
-        if not places:
-            self.text = self.word = self.before = self.b = self.back = self.t = None
-
-        # nodes go by bucket, in it by the first word's hash; a hot first word's bigrams are dealt by both words
-        plain = self.hashes.view(np.uint64)
-        rank = np.empty(wide, np.int64)
-        by_hash = np.argsort(plain)
-        rank[by_hash] = np.arange(wide)
-        self.is_hot = np.isin(self.hashes, hot)
-        home = (plain % np.uint64(buckets)).astype(np.int64)
-        u, v = two // wide, two % wide
-        both = (plain[u] ^ (plain[v] >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) + plain[v]
-        both = (both ^ (both >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        code = np.where(self.is_hot[u], ((both >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), home[u]) * wide + rank[u]
-        at_home = home * wide + rank
-        nodes = np.unique(np.r_[at_home[: wide - 1], code[self.is_hot[u]]])
-        self.order1 = by_hash[nodes % wide]
-        self.own = at_home[self.order1] == nodes
-        self.order2 = np.argsort(code, kind="stable").astype(np.int32)
-        del u, both
-        self.k1 = np.bincount(np.searchsorted(nodes, code), minlength=len(nodes))
-        place = np.empty(len(two), np.int32)
-        place[self.order2] = np.arange(len(two), dtype=np.int32)
-        parent = place[three // wide] if len(three) else three
-        self.order3 = np.argsort(parent, kind="stable").astype(np.int32)
-        self.k2 = np.bincount(parent, minlength=len(two))
-        self.v, self.w = v.astype(np.int32), (three % wide).astype(np.int32)
-        del two, three, v, parent, place, code
-        self.cut1 = np.searchsorted(nodes, np.arange(buckets + 1) * wide)
-        self.cut2 = np.r_[0, np.cumsum(self.k1)][self.cut1]
-        self.cut3 = np.r_[0, np.cumsum(self.k2)][self.cut2]
-        if places:
-            self.v = self.w = self.k1 = self.k2 = None
-
-
-def _often(parts: int):
-    """Of each block the words that have one in `parts` of its training words, or more."""
-
-    def batch(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks:
-            for words, counts in zip(block["words"], block["counts"], strict=True):
-                n = np.asarray(counts, np.int64)
-                some = (n > 0) & (n * parts >= n.sum())
-                yield pd.DataFrame({"words": np.asarray(words, np.int64)[some], "n": n[some]})
-
-    return batch
-
-
-def _sent(order: int, buckets: int, hot: np.ndarray, states: np.ndarray | None):
+        word = np.full(len(is_end), rank[-1], np.int32)
+        word[~is_end] = rank[ids.astype(np.int64)]
+        start, hashes = rank[-2], words[by]
+        depth = np.arange(len(word)) - np.repeat(last - lengths + 1, lengths)  # places before, in the text
+        self.keys, self.at, self.place, self.history = {1: hashes}, {1: word}, {1: slice(None)}, {}
+        self.starts = (int(start), int(np.asarray(row.train, bool).sum()))
+        before = np.roll(word, 1)
+        before[depth == 0] = start
+        for n in range(2, order + 1):
+            place = np.flatnonzero(depth >= n - 2)
+            history = before[place]
+            keys, at = np.unique(_longer(self.keys[n - 1][history], hashes[word[place]]), return_inverse=True)
+            self.keys[n], self.at[n], self.place[n], self.history[n] = keys, at.astype(np.int32), place, history
+            before = np.full(len(word), -1, np.int32)
+            before[place] = at
+            before = np.roll(before, 1)
+
+    def counts(self, n: int) -> np.ndarray:
+        """How often the training texts of the block have each n-gram; the start of a text counts once in each."""
+        out = np.bincount(self.at[n][self.learn[self.place[n]]], minlength=len(self.keys[n]))
+        if n == 1:
+            out[self.starts[0]] = self.starts[1]
+        return out
+
+    def parents(self, n: int) -> np.ndarray:
+        """The history of each n-gram."""
+        out = np.zeros(len(self.keys[n]), np.int32)
+        out[self.at[n]] = self.history[n]
+        return out
+
+    def met(self, n: int) -> np.ndarray:
+        """The n-grams that are a history in this block."""
+        out = np.zeros(len(self.keys[n]), bool)
+        out[self.history[n + 1]] = True
+        return out
+
+
+def _rows(level: int, block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of SENT: sorted keys cut where their bucket changes."""
+    if not len(keys):
+        return []
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+    return [
+        (level, int(bucket[a]), block, _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b]))
+        for a, b in zip(cut, cut[1:], strict=False)
+    ]
+
+
+def _frames(rows: list[tuple], most: int = 256) -> Iterator[pd.DataFrame]:
+    for a in range(0, len(rows), most):
+        yield pd.DataFrame(rows[a : a + most], columns=[x.split()[0] for x in SENT.split(", ")])
+
+
+def _of(said: pd.DataFrame, level: int) -> np.ndarray:
+    """A block's answers at a level, in the order of its sorted keys."""
+    mine = said[said["level"] == level].sort_values("bucket")
+    return np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, mine["sums"])]).astype(np.int64)
+
+
+def _summed(group: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's answers: twice the sum of each key, and 1 for the first block of those that count it."""
+    group = group.sort_values("block", kind="stable")
+    each = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in group["keys"]]
+    keys, n = np.concatenate(each), np.concatenate([_unpacked(x) for x in group["counts"]]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sums = np.add.reduceat(n, new)
+    first = np.minimum.reduceat(np.where(n > 0, np.arange(len(n)), len(n)), new)
+    answer = np.repeat(2 * sums, np.diff(np.r_[new, len(n)]))
+    answer[first[first < len(n)]] += 1
+    out = np.empty_like(answer)
+    out[order] = answer
+    cut = np.cumsum([len(x) for x in each])[:-1]
+    of_words = sums[(keys[new] != START) & (keys[new] != END)]
+    kinds = [int(((of_words == k) if k else (of_words > 0)).sum()) for k in range(3)]
+    rows = group[["level", "bucket", "block"]].assign(sums=[_packed(x) for x in np.split(out, cut)], kinds=None)
+    rows["kinds"] = [kinds] + [None] * (len(rows) - 1)
+    return rows
+
+
+def _first_round(order: int, buckets: list[int]):
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                t = Trie(row, order, buckets, hot, states, places=False)
-                hashes, rows = t.hashes.view(np.uint64), []
-                for k in range(buckets):
-                    a, b, c = (slice(x[k], x[k + 1]) for x in (t.cut1, t.cut2, t.cut3))
-                    one, two, three = t.order1[a], t.order2[b], t.order3[c]
-                    if len(one):
-                        rows.append((
-                            k, row.block, _packed_long(np.diff(hashes[one], prepend=np.uint64(0))), _packed(t.k1[a]), _packed(np.where(t.own[a], t.n1[one], 0)),
-                            _short(hashes[t.v[two]]), _packed(t.k2[b]), _packed(t.n2[two]), _short(hashes[t.w[three]]), _packed(t.n3[three]),
-                        ))
-                    if len(rows) == 64 or rows and k == buckets - 1:
-                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in SENT.split(", ")])
-                        rows = []
+                grams = Grams(row, order)
+                for n in range(1, order + 1):
+                    yield from _frames(_rows(n, row.block, grams.keys[n], grams.counts(n), buckets[n]))
 
     return batch
 
 
-def _joined(parent: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (parent's number, word): each one's number, and of each number the parent."""
-    words, word = np.unique(hashes, return_inverse=True)
-    found, at = np.unique(parent * max(1, len(words)) + word, return_inverse=True)
-    return at, found // max(1, len(words))
-
-
-def _said(hot: np.ndarray):
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        def whole(column: str, read=_unpacked):
-            each = [read(x) for x in group[column]]
-            return np.concatenate(each), np.cumsum([len(x) for x in each])[:-1]
-
-        u, cut1 = whole("u", lambda x: np.cumsum(_unpacked_long(x), dtype=np.uint64))
-        v, cut2 = whole("v", _long)
-        w, cut3 = whole("w", _long)
-        k1, k2, n1, n2, n3 = (whole(c)[0] for c in ("k1", "k2", "n1", "n2", "n3"))
-        words, one = np.unique(u, return_inverse=True)
-        sum1 = np.bincount(one, n1, len(words)).astype(np.int64)
-        two, parent2 = _joined(np.repeat(one, k1), v)
-        sum2 = np.bincount(two, n2, len(parent2)).astype(np.int64)
-        three, parent3 = _joined(np.repeat(two, k2), w)
-        sum3 = np.bincount(three, n3, len(parent3)).astype(np.int64)
-
-        def after(parent: np.ndarray, n: np.ndarray, size: int):
-            return np.bincount(parent, n > 0, size).astype(np.int64), np.bincount(parent, n, size).astype(np.int64)
-
-        types1, led1 = after(parent2, sum2, len(words))
-        types2, led2 = after(parent3, sum3, len(parent2))
-        lost1, lost2 = np.where(types1 > 0, np.maximum(sum1 - led1, 0), 0), np.where(types2 > 0, sum2 - led2, 0)
-        columns = [x.split()[0] for x in SAID.split(", ")]
-        answers = [
-            [_packed_long(x) for x in np.split(values[at], cut)]
-            for values, at, cut in ((sum1, one, cut1), (types1, one, cut1), (lost1, one, cut1), (sum2, two, cut2), (types2, two, cut2), (lost2, two, cut2), (sum3, three, cut3))
-        ]
-        out = [(block, bucket, *a, None, None, None, None, None, None) for block, bucket, *a in zip(group["block"], group["bucket"], *answers, strict=True)]
-        counted = sum1[words != START]
-        some = np.isin(words.view(np.int64), hot)
-        figures = (int((counted > 0).sum()), int((counted == 1).sum()), int((counted == 2).sum()), words.view(np.int64)[some], types1[some], led1[some])
-        out.append((None, group["bucket"].iloc[0], *[None] * 7, *figures))
-        return pd.DataFrame(out, columns=columns).astype({"block": "Int64", "kinds": "Int64", "once": "Int64", "twice": "Int64"})
+def _second_round(order: int, buckets: list[int]):
+    """Levels below zero: histories, with the kinds of words after them that this block counts."""
+
+    def of(key, blocks: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in blocks.itertuples():
+            grams = Grams(row, order)
+            for n in range(2, order + 1):
+                counted = np.bincount(grams.parents(n), _of(said, n) & 1, len(grams.keys[n - 1])).astype(np.int64)
+                met = grams.met(n - 1)
+                out += _rows(1 - n, row.block, grams.keys[n - 1][met], counted[met], buckets[n - 1])
+        return pd.DataFrame(out, columns=[x.split()[0] for x in SENT.split(", ")])
 
     return of
 
 
-def _walked(order: int, buckets: int, hot: np.ndarray, types: np.ndarray, led: np.ndarray, states: np.ndarray | None, figures: dict[str, float]):
+def _walked(order: int, figures: dict[str, float]):
     total, kinds, discount = figures["total"], figures["kinds"], figures["discount"]
 
-    def share(n: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return np.divide(n, of, out=np.zeros(len(n)), where=of > 0)
-
-    def placed(t: Trie, at: slice, size: int, n1: np.ndarray, *levels: tuple) -> np.ndarray:
-        """For each text what its places from `at` add: known words, base score and score."""
-        c = n1[t.word[at]]
-        base = np.log10((c + 1) / (total + kinds + 1))
-        # the root's arcs; what it has no arc for shares the discounts of all words
-        unseen = discount * kinds / total if total else 1.0
-        p = np.where(c > 0, (c - discount) / max(total, 1), unseen)
-        for n, of, led_on, lost, node, history in levels[: order - 1]:
-            on = np.flatnonzero(history >= 0)
-            h = history[on]
-            p[on] *= np.where(led_on[h] > 0, share(DISCOUNT * led_on[h] + lost[h], of[h]), 1.0)
-            on = np.flatnonzero(node >= 0)
-            p[on] += share(np.maximum(n[node[on]] - DISCOUNT, 0), of[history[on]])
-        return np.stack([np.bincount(t.text[at], x, size) for x in (c > 0, base, np.log10(p))])
-
     def walk(key, blocks: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.itertuples():
-            t = Trie(row, order, buckets, hot, states)
-            n1, t1, l1 = (np.zeros(len(t.hashes), np.int64) for _ in range(3))
-            n2, t2, l2 = (np.zeros(len(t.n2), np.int64) for _ in range(3))
-            n3 = np.zeros(len(t.n3), np.int64)
-            for r in said.itertuples():
-                k = r.bucket
-                own = t.own[t.cut1[k] : t.cut1[k + 1]]
-                one, two, three = t.order1[t.cut1[k] : t.cut1[k + 1]][own], t.order2[t.cut2[k] : t.cut2[k + 1]], t.order3[t.cut3[k] : t.cut3[k + 1]]
-                for values, data in ((n1, r.n1), (t1, r.t1), (l1, r.l1)):
-                    values[one] = _unpacked_long(data)[own]
-                for values, data in ((n2, r.n2), (t2, r.t2), (l2, r.l2)):
-                    values[two] = _unpacked_long(data)
-                n3[three] = _unpacked_long(r.n3)
-            if t.is_hot.any():  # their bigrams are in many buckets, of which this block needn't have met all
-                at = np.searchsorted(hot, t.hashes[t.is_hot])
-                t1[t.is_hot], l1[t.is_hot] = types[at], np.where(types[at] > 0, n1[t.is_hot] - led[at], 0)
-            n1[-1] = int(figures["ends"])
-            size, sums = len(row.docs), np.zeros((3, len(row.docs)))
-            for start in range(0, len(t.text), SLICE):
-                at = slice(start, start + SLICE)
-                sums += placed(t, at, size, n1, (n2, n1, t1, l1, t.b[at], t.before[at]), (n3, n2, t2, l2, t.t[at], t.back[at]))
+            grams = Grams(row, order)
+            n = {k: _of(said, k) >> 1 for k in range(1, order + 1)}
+            c = n[1][grams.at[1]]
+            base = np.log10((c + 1) / (total + kinds + 1))
+            # the root's arcs; what it has no arc for shares the discounts of all words
+            p = np.where(c > 0, (c - discount) / max(total, 1), discount * kinds / total if total else 1.0)
+            for k in range(2, order + 1):
+                types = np.zeros(len(grams.keys[k - 1]), np.int64)
+                types[grams.met(k - 1)] = _of(said, 1 - k) >> 1
+                of, place, history = n[k - 1][grams.history[k]], grams.place[k], grams.history[k]
+                own = np.maximum(n[k][grams.at[k]] - DISCOUNT, 0) + DISCOUNT * types[history] * p[place]
+                p[place] = np.where(of > 0, own / np.maximum(of, 1), p[place])
+            sums = [np.bincount(grams.text, x, grams.texts) for x in (c > 0, base, np.log10(p))]
             out.append(
                 pd.DataFrame({
-                    "_id": pd.array(list(row.docs), "Int64"), "_train": np.asarray(row.train, bool), "n_tokens": np.bincount(t.text, minlength=size),
-                    "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2],
+                    "_id": pd.array(list(row.docs), "Int64"), "_train": np.asarray(row.train, bool),
+                    "n_tokens": np.bincount(grams.text, minlength=grams.texts), "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2],
                 })
             )
-        return pd.concat(out) if out else pd.DataFrame(columns=["_id", "_train", "n_tokens", "n_known", "base_score", "score"])
+        return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in SCORES.split(", ")])
 
     return walk
 
 
 def score(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, floor: float = FLOOR,
-    block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_chars: int = BLOCK_CHARS,
+    bucket_keys: int = BUCKET_KEYS,
 ) -> DataFrame:
     """One row per document: id, learnt, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts are lower-cased (A-Z) words and one end each. The model learns from the rows that meet `train`. score is the log10
-    probability of the text by interpolated absolute discounting: words the training texts lack are one class, which
-    gets what the root discounts; histories are the start and all training words (with a `floor`, those with at least
-    that share of them), and arcs of two or three words join such words. Probabilities after a history sum to one.
-    base_score adds one to each count. Words are told apart by 64-bit hashes, those after a history by 48 bits.
+    probability of the text by interpolated absolute discounting over n-grams of up to `order` words: words the training
+    texts lack are one class, which gets what the root discounts; histories are the start and all training n-grams.
+    Probabilities after a history sum to one. base_score adds one to each count. Words and n-grams are told apart by 64-bit hashes.
 
     Null and empty texts are only an end. Null ids keep their row; rows that repeat an id are texts each. Without
     training rows every word is unknown and scores are 0. An empty input gives an empty result; other columns are ignored.
     """
-    if order not in (2, 3):
-        raise ValueError("order is 2 or 3")
+    if order < 2:
+        raise ValueError("order is 2 or more")
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     blocks = materialize(encoded(rows, block_chars))
-    learnt = F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y)
-    n, ends, words = blocks.agg(
-        F.coalesce(F.sum(learnt), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0)),
-        F.coalesce(F.sum(F.element_at("ends", -1)), F.lit(0)),
+    # a text has its words and an end; distinct words are a block's own
+    number, words, places, total, ends = blocks.agg(
+        F.count(F.lit(1)),
+        *[F.coalesce(F.sum(x), F.lit(0)) for x in (F.size("words") + 2, F.element_at("ends", -1) + F.size("ends"), "tokens", F.size(F.filter("train", lambda t: t)))],
     ).first()
-    total = n + ends
-    buckets = max(1, math.ceil(words / BUCKET_WORDS))
-    # words whose n-grams are dealt to many buckets: at most twice as many as there are buckets, and each is so frequent in some block
-    often = blocks.select("words", "counts").mapInPandas(_often(2 * buckets), "words bigint, n bigint").groupBy("words").agg(F.sum("n").alias("n"))
-    hot = np.array(sorted([START] + [r[0] for r in often.where(F.col("n") * (2 * buckets) >= n).select("words").collect()]), np.int64)
-    states = None
-    if floor > 0:  # by their share these are at most 1 / floor words
-        word = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("_w")).select("_w.words", "_w.counts")
-        kept = word.groupBy("words").agg(F.sum("counts").alias("n")).where(F.col("n") >= max(1.0, floor * total))
-        states = np.array([r[0] for r in kept.select("words").collect()], np.int64)
-
-    sent = blocks.select("block", "train", "ends", "ids", "words", "counts").mapInPandas(_sent(order, buckets, hot, states), SENT)
-    said = materialize(sent.groupBy("bucket").applyInPandas(_said(hot), SAID))
-    kinds, once, twice = said.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "once", "twice")]).first()
-    figures = {"total": total, "kinds": kinds + (ends > 0), "ends": ends, "discount": once / (once + 2 * twice) if once and twice else 0.5}
-    after = {
-        r[0]: (r[1], r[2])
-        for r in said.where("block IS NULL").select(F.explode(F.arrays_zip("hot", "types", "led")).alias("_h"))
-        .groupBy("_h.hot").agg(F.sum("_h.types"), F.sum("_h.led")).collect()
-    }
-    types, led = np.array([after.get(h, (0, 0)) for h in hot.tolist()], np.int64).T
-    answers = said.where("block IS NOT NULL").select(F.col("block").alias("of_block"), "bucket", "n1", "t1", "l1", "n2", "t2", "l2", "n3")
-    walked = blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(
-        _walked(order, buckets, hot, types, led, states, figures), "_id bigint, _train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    )
+    buckets = [0, *[max(1, math.ceil(n / bucket_keys)) for n in (words, *[places] * (order - 1))]]
+    tasks = max(1, math.ceil(number / BLOCKS_A_TASK))
+
+    def answered(sent: DataFrame) -> DataFrame:
+        return materialize(sent.groupBy("level", "bucket").applyInPandas(_summed, SAID))
+
+    def by_block(said: DataFrame, of: Callable, schema: str) -> DataFrame:
+        """Each block with its answers, few blocks a task whatever the session's number of partitions."""
+        left, right = blocks.repartition(tasks, "block"), said.drop("kinds").withColumnRenamed("block", "of_block").repartition(tasks, "of_block")
+        return left.groupBy("block").cogroup(right.groupBy("of_block")).applyInPandas(of, schema)
+
+    counts = answered(blocks.mapInPandas(_first_round(order, buckets), SENT))
+    kinds, once, twice = (x or 0 for x in counts.where("level = 1").agg(*[F.sum(F.element_at("kinds", k)) for k in (1, 2, 3)]).first())
+    figures = {"total": total, "kinds": kinds + (ends > 0), "discount": once / (once + 2 * twice) if once and twice else 0.5}
+    types = answered(by_block(counts, _second_round(order, buckets), SENT))
+    walked = by_block(counts.union(types), _walked(order, figures), SCORES)
     return walked.select(
         F.col("_id").alias(id_col), F.col("_train").alias("learnt"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
