@@ -4,12 +4,12 @@ States are histories of n-grams; an arc leads on by a word and carries its disco
 the shorter history and carries the backoff weight. Every word of the training texts makes states, and so does every
 n-gram. Texts are encoded once, in blocks: the hashes of a block's distinct words and its texts as numbers into them.
 
-What a block has to learn about the corpus is always a sum by key, so two exchanges of the same kind do it. In the first a
-block sends the keys of its distinct n-grams with their counts in training texts; buckets of keys sum them and answer each
-block, marking for one block of all that it is the one that counts this n-gram as a kind. In the second it sends its
-histories with the kinds that it counts after them, and gets how many kinds follow each in the whole corpus. A key comes from a
-block at most once, however often it occurs, so no word, pair or passage fills a bucket. Each block's texts are then walked from
-left to right over its part of the automaton.
+What a block has to learn about the corpus is always a sum by key, so one kind of exchange does it, in rounds. A block sends
+the keys of its distinct n-grams with their counts in training texts; buckets of keys sum them and answer each block, and
+say whether no other block has the key, and which block of all is the one that counts this n-gram as a kind. So the next round
+can send histories with the kinds that a block counts after them, and n-grams one longer. What follows a history that no other
+block has needs no asking, since the block has all of it. A key comes from a block at most once, however often it occurs,
+so no word, pair or passage fills a bucket. Each block's texts are then walked from left to right over its part of the automaton.
 """
 
 from __future__ import annotations
@@ -184,14 +184,45 @@ def _frames(rows: list[tuple], most: int = 256) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows[a : a + most], columns=[x.split()[0] for x in SENT.split(", ")])
 
 
-def _of(said: pd.DataFrame, level: int) -> np.ndarray:
-    """A block's answers at a level, in the order of its sorted keys."""
-    mine = said[said["level"] == level].sort_values("bucket")
-    return np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, mine["sums"])]).astype(np.int64)
+class Known:
+    """What a block knows after some rounds: n[k] sums of its k-grams in the corpus, types[k] kinds of words after them.
+
+    alone[k]: no other block has the k-gram; mine[k]: this block is the one that counts it.
+    """
+
+    def __init__(self, grams: Grams, said: pd.DataFrame, levels: int, histories: int):
+        self.grams, self.said = grams, said
+        self.n, self.alone, self.mine, self.types = {}, {}, {}, {}
+        for k in range(1, levels + 1):
+            local = grams.counts(k)
+            value, asked = 4 * local + 2 + (local > 0), self.asked(k)
+            value[asked] = self.answers(k)
+            self.n[k], self.alone[k], self.mine[k] = value >> 2, value & 2 > 0, value & 1
+        for k in range(1, histories + 1):
+            types, asked = np.where(self.alone[k], self.counted(k), self.n[k]), self.unsure(k)
+            types[asked] = self.answers(-k) >> 2
+            self.types[k] = types
+
+    def answers(self, level: int) -> np.ndarray:
+        """In the order of the sorted keys that were sent."""
+        mine = self.said[self.said["level"] == level].sort_values("bucket")
+        return np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, mine["sums"])]).astype(np.int64)
+
+    def asked(self, k: int) -> np.ndarray:
+        """The k-grams to ask for: from the third order on, those whose history other blocks have too."""
+        return np.ones(len(self.grams.keys[k]), bool) if k < 3 else ~self.alone[k - 1][self.grams.parents(k)]
+
+    def counted(self, k: int) -> np.ndarray:
+        """The kinds of words after each k-gram that this block counts."""
+        return np.bincount(self.grams.parents(k + 1), self.mine[k + 1], len(self.grams.keys[k])).astype(np.int64)
+
+    def unsure(self, k: int) -> np.ndarray:
+        """The histories of which this block can't know what follows: a history seen once has one kind of word after it."""
+        return self.grams.met(k) & ~self.alone[k] & (self.n[k] > 1)
 
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's answers: twice the sum of each key, and 1 for the first block of those that count it."""
+    """A bucket's answers: four times the sum of each key, 2 if one block has it only, 1 for the first block of those that count it."""
     group = group.sort_values("block", kind="stable")
     each = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in group["keys"]]
     keys, n = np.concatenate(each), np.concatenate([_unpacked(x) for x in group["counts"]]).astype(np.int64)
@@ -200,7 +231,8 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sums = np.add.reduceat(n, new)
     first = np.minimum.reduceat(np.where(n > 0, np.arange(len(n)), len(n)), new)
-    answer = np.repeat(2 * sums, np.diff(np.r_[new, len(n)]))
+    blocks = np.diff(np.r_[new, len(n)])
+    answer = np.repeat(4 * sums + 2 * (blocks == 1), blocks)
     answer[first[first < len(n)]] += 1
     out = np.empty_like(answer)
     out[order] = answer
@@ -212,28 +244,32 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def _first_round(order: int, buckets: list[int]):
+def _first_round(buckets: list[int]):
+    """Words and pairs with their counts."""
+
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                grams = Grams(row, order)
-                for n in range(1, order + 1):
+                grams = Grams(row, 2)
+                for n in (1, 2):
                     yield from _frames(_rows(n, row.block, grams.keys[n], grams.counts(n), buckets[n]))
 
     return batch
 
 
-def _second_round(order: int, buckets: list[int]):
-    """Levels below zero: histories, with the kinds of words after them that this block counts."""
+def _next_round(r: int, order: int, buckets: list[int]):
+    """(r + 1)-grams with their counts, and at the level 1 - r the histories of r-grams with the kinds counted after them."""
 
     def of(key, blocks: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.itertuples():
-            grams = Grams(row, order)
-            for n in range(2, order + 1):
-                counted = np.bincount(grams.parents(n), _of(said, n) & 1, len(grams.keys[n - 1])).astype(np.int64)
-                met = grams.met(n - 1)
-                out += _rows(1 - n, row.block, grams.keys[n - 1][met], counted[met], buckets[n - 1])
+            grams = Grams(row, min(r + 1, order))
+            known = Known(grams, said, r, 0)
+            if r < order:
+                some = known.asked(r + 1)
+                out += _rows(r + 1, row.block, grams.keys[r + 1][some], grams.counts(r + 1)[some], buckets[r + 1])
+            some = known.unsure(r - 1)
+            out += _rows(1 - r, row.block, grams.keys[r - 1][some], known.counted(r - 1)[some], buckets[r - 1])
         return pd.DataFrame(out, columns=[x.split()[0] for x in SENT.split(", ")])
 
     return of
@@ -246,16 +282,15 @@ def _walked(order: int, figures: dict[str, float]):
         out = []
         for row in blocks.itertuples():
             grams = Grams(row, order)
-            n = {k: _of(said, k) >> 1 for k in range(1, order + 1)}
-            c = n[1][grams.at[1]]
+            known = Known(grams, said, order, order - 1)
+            c = known.n[1][grams.at[1]]
             base = np.log10((c + 1) / (total + kinds + 1))
             # the root's arcs; what it has no arc for shares the discounts of all words
             p = np.where(c > 0, (c - discount) / max(total, 1), discount * kinds / total if total else 1.0)
             for k in range(2, order + 1):
-                types = np.zeros(len(grams.keys[k - 1]), np.int64)
-                types[grams.met(k - 1)] = _of(said, 1 - k) >> 1
-                of, place, history = n[k - 1][grams.history[k]], grams.place[k], grams.history[k]
-                own = np.maximum(n[k][grams.at[k]] - DISCOUNT, 0) + DISCOUNT * types[history] * p[place]
+                place, history = grams.place[k], grams.history[k]
+                of = known.n[k - 1][history]
+                own = np.maximum(known.n[k][grams.at[k]] - DISCOUNT, 0) + DISCOUNT * known.types[k - 1][history] * p[place]
                 p[place] = np.where(of > 0, own / np.maximum(of, 1), p[place])
             sums = [np.bincount(grams.text, x, grams.texts) for x in (c > 0, base, np.log10(p))]
             out.append(
@@ -303,11 +338,12 @@ def score(
         left, right = blocks.repartition(tasks, "block"), said.drop("kinds").withColumnRenamed("block", "of_block").repartition(tasks, "of_block")
         return left.groupBy("block").cogroup(right.groupBy("of_block")).applyInPandas(of, schema)
 
-    counts = answered(blocks.mapInPandas(_first_round(order, buckets), SENT))
-    kinds, once, twice = (x or 0 for x in counts.where("level = 1").agg(*[F.sum(F.element_at("kinds", k)) for k in (1, 2, 3)]).first())
+    said = answered(blocks.mapInPandas(_first_round(buckets), SENT))
+    kinds, once, twice = (x or 0 for x in said.where("level = 1").agg(*[F.sum(F.element_at("kinds", k)) for k in (1, 2, 3)]).first())
     figures = {"total": total, "kinds": kinds + (ends > 0), "discount": once / (once + 2 * twice) if once and twice else 0.5}
-    types = answered(by_block(counts, _second_round(order, buckets), SENT))
-    walked = by_block(counts.union(types), _walked(order, figures), SCORES)
+    for r in range(2, order + 1):
+        said = said.union(answered(by_block(said, _next_round(r, order, buckets), SENT)))
+    walked = by_block(said, _walked(order, figures), SCORES)
     return walked.select(
         F.col("_id").alias(id_col), F.col("_train").alias("learnt"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
