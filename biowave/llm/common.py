@@ -32,6 +32,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df in a reliable checkpoint in the shared folder: unlike a written table it keeps how its rows are partitioned.
+
+    An adaptive plan doesn't say how it will be partitioned, so this one plan is made without.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column."""
     taken = {c.lower() for c in df.columns}

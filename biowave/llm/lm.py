@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biowave.llm.common import materialize
+from biowave.llm.common import checkpointed, materialize
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK_CHARS = 8_000_000  # of a block's texts, about
 BUCKET_KEYS = 1_000_000  # keys that one bucket gets, about
-BLOCKS_A_TASK = 2
+TASK_BYTES = 2 * BLOCK_CHARS  # of the texts that one task scores, about
 ORDER = 3  # words of the longest n-gram
 DISCOUNT = 0.75
 
@@ -321,22 +321,23 @@ def score(
     if order < 2:
         raise ValueError("order is 2 or more")
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    blocks = materialize(encoded(rows, block_chars))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    tasks = max(1, math.ceil(size / TASK_BYTES))
+    # dealt once and for all: answers come to the blocks in each round, blocks don't move again
+    blocks = checkpointed(encoded(rows, block_chars).repartition(tasks, "block"))
     # a text has its words and an end; distinct words are a block's own
-    number, words, places, total, ends = blocks.agg(
-        F.count(F.lit(1)),
+    words, places, total, ends = blocks.agg(
         *[F.coalesce(F.sum(x), F.lit(0)) for x in (F.size("words") + 2, F.element_at("ends", -1) + F.size("ends"), "tokens", F.size(F.filter("train", lambda t: t)))],
     ).first()
     buckets = [0, *[max(1, math.ceil(n / bucket_keys)) for n in (words, *[places] * (order - 1))]]
-    tasks = max(1, math.ceil(number / BLOCKS_A_TASK))
 
     def answered(sent: DataFrame) -> DataFrame:
         return materialize(sent.groupBy("level", "bucket").applyInPandas(_summed, SAID))
 
     def by_block(said: DataFrame, of: Callable, schema: str) -> DataFrame:
         """Each block with its answers, few blocks a task whatever the session's number of partitions."""
-        left, right = blocks.repartition(tasks, "block"), said.drop("kinds").withColumnRenamed("block", "of_block").repartition(tasks, "of_block")
-        return left.groupBy("block").cogroup(right.groupBy("of_block")).applyInPandas(of, schema)
+        right = said.drop("kinds").withColumnRenamed("block", "of_block").repartition(tasks, "of_block")
+        return blocks.groupBy("block").cogroup(right.groupBy("of_block")).applyInPandas(of, schema)
 
     said = answered(blocks.mapInPandas(_first_round(buckets), SENT))
     kinds, once, twice = (x or 0 for x in said.where("level = 1").agg(*[F.sum(F.element_at("kinds", k)) for k in (1, 2, 3)]).first())
