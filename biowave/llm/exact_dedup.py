@@ -75,27 +75,37 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z; of equal texts the row with the largest id stays. Null texts
     count as empty and so form one group. Rows that repeat an id each count and each come back; rows with a null id
     group like the others, stay when nothing in the group has an id, and an empty input gives an empty result. Other
-    columns of docs, whatever their names, are ignored.
+    columns of docs, whatever their names, are ignored. Of rows alike in text and id one stays, the last one read.
 
     The groups are counted with map-side combine and written, so that both sides of the join back are plain exchanges
     whose overfull partitions adaptive execution splits: one text in a third of all rows is not one task.
     """
-    parts = materialize(recipes(docs, id_col, text_col, bits))
+    parts = materialize(recipes(docs, id_col, text_col, bits).withColumn("_row", F.monotonically_increasing_id()))
     groups = materialize(
-        parts.groupBy("recipe").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        parts.groupBy("recipe").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
     )
     return parts.join(groups, "recipe").select(
         F.col("_id").alias(id_col),
-        "keep_id",
+        F.col("_keep._id").alias("keep_id"),
         "group_size",
-        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("_row") == F.col("_keep._row")).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that exact_groups() keeps; id and text together tell them."""
-    key, digest = fresh(docs, "_kept_id"), fresh(docs, "_kept_sha256")
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest))
-    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256) == F.col(digest))
-    return docs.join(kept, same, "left_semi")
+    """The rows of docs, all columns, that exact_groups() keeps; id and text together tell them.
+
+    Of rows alike in both the one stays whose columns come first as JSON.
+    """
+    key, digest, alike, place = (fresh(docs, c) for c in ("_kept_id", "_kept_sha256", "_alike", "_place"))
+    mine = F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)
+    found = exact_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("keep_id")))
+    kept = materialize(found.groupBy(F.col(id_col).alias(key), F.col("text_sha256").alias(digest)).agg(F.count(F.lit(1)).alias(alike)))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (mine == F.col(digest))
+    if kept.where(F.col(alike) > 1).isEmpty():
+        return docs.join(kept, same, "left_semi")
+    one = docs.join(kept.where(F.col(alike) == 1), same, "left_semi")
+    order = Window.partitionBy(id_col, mine).orderBy(F.to_json(F.struct(*docs.columns)))
+    some = docs.join(kept.where(F.col(alike) > 1), same, "left_semi").withColumn(place, F.row_number().over(order))
+    return one.union(some.where(F.col(place) == 1).drop(place))

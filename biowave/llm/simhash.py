@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biowave.llm.common import discard, fresh, materialize
@@ -28,21 +28,19 @@ GROUP_ROWS = 1 << 16  # rows of one task's group, about
 KEYED_ROWS = 1 << 20  # keys of blocks that one task works out, about
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64-bit hash from one: lane 0 is the hash itself, others go through the splitmix64 finalizer."""
-    if not lane:
-        return h
-    z = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
+    """`lanes` 64-bit hashes from each: lane 0 is the hash itself, others go through the splitmix64 finalizer."""
+    z = h[:, None] + np.array([lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for lane in range(1, lanes)], np.uint64)[None]
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    return np.concatenate([h[:, None], z ^ (z >> np.uint64(31))], axis=1)
 
 
-def wide_fingerprint(text: str | None, words: int, lanes: int) -> list[int]:
+def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
     """SimHash of a text's word shingles in `lanes` signed 64-bit numbers; zeros without words."""
     found = WORD.findall((text or "").encode("utf-8").lower())
     if not found:
-        return [0] * lanes
+        return np.zeros(lanes, np.int64)
     joined = b" ".join(found)
     if len(found) < words:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -51,18 +49,18 @@ def wide_fingerprint(text: str | None, words: int, lanes: int) -> list[int]:
         ends = np.cumsum(lengths + 1) - 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[words - 1 :].tolist(), strict=False)]
-    bits = np.zeros((lanes, 64), np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], np.uint64)
-        for lane in range(lanes):
-            of = _mixed(part, lane).astype("<u8").view(np.uint8).reshape(-1, 8)
-            bits[lane] += np.unpackbits(of, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * bits > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    bits = np.zeros(64 * lanes, np.int64)
+    for k in range(0, len(hashes), 255 * 32):
+        of = _lanes(np.array(hashes[k : k + 255 * 32], np.uint64), lanes).astype("<u8").view(np.uint8)
+        rows = np.unpackbits(of, axis=1, bitorder="little")
+        for j in range(0, len(rows), 255):  # as many as a byte can count
+            bits += rows[j : j + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The signed 64-bit SimHash of a text's word shingles; 0 without words."""
-    return wide_fingerprint(text, words, 1)[0]
+    return int(wide_fingerprint(text, words, 1)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -134,8 +132,8 @@ def links(distinct: DataFrame, bits: int = 4, blocks: int | None = None, chunk:
         F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for k, x in enumerate(masks)])).alias("_k"),
     ).select("fp", "rep", "_k.mask", "_k.key")
     shared = materialize(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = F.ceil(F.col("n") / chunk).cast("int")
+    rows = shared.agg(F.coalesce(F.sum(F.col("n") * parts), F.lit(0))).first()[0]
     members = (
         keyed.join(shared, ["mask", "key"])
         .withColumn("_p", F.pmod(F.xxhash64("fp"), parts).cast("int"))
@@ -172,17 +170,19 @@ def near_groups(
     )
 
 
-LANES = 4  # of a wide fingerprint, 64 bits each
+LANES = 16  # of a wide fingerprint, 64 bits each
 RECALL = 0.9  # of pairs just at the similarity, that share a block
 
 
-def bits_apart(similarity: float, lanes: int = LANES) -> int:
-    """Bits in which wide fingerprints may differ: what the similarity leads to expect, and half a standard deviation.
+def _differs(similarity: float) -> float:
+    """The chance that a bit differs: shingle sets of resemblance s have cosine 2s / (1 + s), and this is angle / pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    Shingle sets of resemblance s have cosine 2s / (1 + s), and a bit differs with the probability angle / pi.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * lanes * p + math.sqrt(64 * lanes * p * (1 - p)) / 2)
+
+def bits_apart(similarity: float, lanes: int = LANES) -> int:
+    """Bits in which wide fingerprints may differ: what the similarity leads to expect, and a standard deviation."""
+    p = _differs(similarity)
+    return round(64 * lanes * p + math.sqrt(64 * lanes * p * (1 - p)))
 
 
 def block_chance(count: int, size: int, similarity: float, lanes: int = LANES) -> float:
@@ -190,18 +190,18 @@ def block_chance(count: int, size: int, similarity: float, lanes: int = LANES) -
 
     The bits of a block are drawn without replacement, and all blocks of a pair see the same distance, which is binomial.
     """
-    p, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * lanes
+    p, bits = _differs(similarity), 64 * lanes
     return sum(
         math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - (1 - math.comb(bits - d, size) / math.comb(bits, size)) ** count)
         for d in range(bits + 1)
     )
 
 
-def sampled_blocks(n: int, similarity: float, lanes: int = LANES, recall: float = RECALL) -> list[list[int]]:
-    """Masks of blocks of bits, drawn once and for all; a block has so many bits that chance gives few partners.
+def sampled_blocks(n: int, similarity: float, lanes: int = LANES, recall: float = RECALL) -> np.ndarray:
+    """A row of places of bits for each block, drawn once and for all.
 
-    As many blocks as make a pair just at the similarity share one with the probability `recall`, at every size. A block is five bits longer
-    than the number of fingerprints is, so whatever that number is, chance shares about one block in forty.
+    As many blocks as make a pair just at the similarity share one with the probability `recall`, at every size. A block is five
+    bits longer than the number of fingerprints is, so whatever that number is, chance shares about one block in forty.
     """
     size = max(12, math.ceil(math.log2(max(n, 1))) + 5)
     most = 1
@@ -209,18 +209,29 @@ def sampled_blocks(n: int, similarity: float, lanes: int = LANES, recall: float
         most *= 2
     count = bisect.bisect_left(range(most + 1), recall, lo=most // 2, key=lambda k: block_chance(k, size, similarity, lanes))
     rng = np.random.default_rng(64)
-    out = []
-    for _ in range(count):
-        mask = np.zeros(64 * lanes, np.uint8)
-        mask[rng.choice(64 * lanes, size, replace=False)] = 1
-        out.append(np.packbits(mask.reshape(lanes, 64), axis=1, bitorder="little").view("<i8")[:, 0].tolist())
-    return out
+    return np.stack([rng.choice(64 * lanes, size, replace=False) for _ in range(count)])
+
+
+def _keys_of(blocks: np.ndarray):
+    """For each fingerprint its bits in each block, as numbers."""
+
+    def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for a in range(0, len(part), 4096):
+                some = part.iloc[a : a + 4096]
+                bits = np.unpackbits(np.frombuffer(b"".join(some["fp"]), np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+                keys = np.zeros((len(some), len(blocks)), np.int64)
+                for k in range(blocks.shape[1]):
+                    keys |= bits[:, blocks[:, k]].astype(np.int64) << k
+                yield pd.DataFrame({"rep": some["rep"], "keys": list(keys)})
+
+    return batch
 
 
 def _wide_links_in(limit: int):
     def of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["unit", "key", "mask", "rep"], kind="stable")
-        fps = np.stack([group[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(LANES)])
+        fps = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)
         rep = group["rep"].to_numpy(np.int64)
         same = np.ones(len(rep), bool)
         for c in ("unit", "key", "mask"):
@@ -235,9 +246,11 @@ def _wide_links_in(limit: int):
             left = left[run[left] == run[left + lag]]
             if not len(left):
                 break
-            hit = left[np.bitwise_count(fps[:, left] ^ fps[:, left + lag]).sum(axis=0, dtype=np.int64) <= limit]
-            if len(hit):
-                forest(parent, hit, hit + lag)
+            for a in range(0, len(left), 1 << 16):
+                some = left[a : a + (1 << 16)]
+                hit = some[np.bitwise_count(fps[some] ^ fps[some + lag]).sum(axis=1, dtype=np.int64) <= limit]
+                if len(hit):
+                    forest(parent, hit, hit + lag)
             lag += 1
         while not np.array_equal(up := parent[parent], parent):
             parent = up
@@ -248,56 +261,67 @@ def _wide_links_in(limit: int):
     return of
 
 
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: id, component_id, by shingles of `words` words with a resemblance of `similarity` or more.
+    """One row per document: id, text_sha256, component_id, by shingles of `words` words with a resemblance of `similarity` or more.
 
-    A radius that wide can't be searched with whole blocks of 64 bits. So fingerprints have 256 bits here, blocks are sampled
+    A radius that wide can't be searched with whole blocks of 64 bits. So fingerprints have 1024 bits here, blocks are sampled
     sets of bits, those that share a block are compared, and pairs link within bits_apart() bits. That is an estimate of the
-    resemblance: most pairs above it link, few of those clearly below do. Nulls, ids, repeated rows and empty inputs are
-    treated as in near_groups().
+    resemblance with a standard deviation of about 0.03: most pairs above it link, few of those clearly below do. Nulls, ids,
+    repeated rows and empty inputs are treated as in near_groups().
     """
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            fps = np.array([wide_fingerprint(t, words, LANES) for t in part["_text"]], np.int64).reshape(-1, LANES)
-            yield pd.DataFrame({"_id": part["_id"], **{f"f{k}": fps[:, k] for k in range(LANES)}})
+            fps = [wide_fingerprint(t, words, LANES).tobytes() for t in part["_text"]]
+            yield part.drop(columns="_text").assign(fp=fps)
 
-    fp = [f"f{k}" for k in range(LANES)]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    prints = materialize(rows.mapInPandas(batch, "_id bigint, " + ", ".join(f"{c} bigint" for c in fp)))
-    distinct = materialize(prints.groupBy(*fp).agg(F.min("_id").alias("rep")))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), _digest(text_col).alias("text_sha256"), F.col(text_col).alias("_text"))
+    prints = materialize(rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("_id").alias("rep")))
     known = distinct.where("rep IS NOT NULL")
-    size = known.count()
+    # an id on several texts stands for several fingerprints, so links are between numbers of these
+    numbered = materialize(known.select("fp", "rep", F.xxhash64("fp").alias("_at")))
+    size = numbered.count()
     drawn = sampled_blocks(size, similarity)
-    masks = F.array(*[F.struct(F.lit(k).alias("mask"), *[F.lit(m[j]).cast("bigint").alias(fp[j]) for j in range(LANES)]) for k, m in enumerate(drawn)])
-    blocks = F.transform(masks, lambda m: F.struct(m["mask"].alias("mask"), F.xxhash64(*[F.col(c).bitwiseAND(m[c]) for c in fp]).alias("key")))
     # few fingerprints fill a file and each gives a row a block, so they are dealt to tasks by the rows that they give
     dealt_to = 1 + size * len(drawn) // KEYED_ROWS
-    keyed = known.repartition(dealt_to, "rep").select("rep", F.explode(blocks).alias("_b")).select("rep", "_b.mask", "_b.key")
+    own = numbered.select("fp", F.col("_at").alias("rep"))
+    keyed = own.repartition(dealt_to, "rep").mapInPandas(_keys_of(drawn), "rep bigint, keys array<bigint>")
+    keyed = keyed.select("rep", F.posexplode("keys").alias("mask", "key"))
     shared = materialize(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = materialize(keyed.join(shared, ["mask", "key"]))  # without fingerprints, which most rows don't need
-    n = members.count()
     parts = F.ceil(F.col("n") / chunk).cast("int")
+    copied = members.agg(F.coalesce(F.sum(parts), F.lit(0))).first()[0]
     dealt = (
-        members.join(known, "rep")
+        members.join(own, "rep")
         .withColumn("_p", F.pmod(F.xxhash64("rep"), parts).cast("int"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
         .withColumn("unit", F.least("_p", "_q").cast("bigint") * (1 << 31) + F.greatest("_p", "_q"))
-        .withColumn("_bin", F.pmod(F.xxhash64("mask", "key", "unit"), F.lit(max(1, n // GROUP_ROWS) * 8)))
-        .select("_bin", "unit", "mask", "key", "rep", *fp)
+        .withColumn("_bin", F.pmod(F.xxhash64("mask", "key", "unit"), F.lit(max(1, copied // GROUP_ROWS) * 8)))
+        .select("_bin", "unit", "mask", "key", "rep", "fp")
     )
     found = materialize(dealt.groupBy("_bin").applyInPandas(_wide_links_in(bits_apart(similarity)), "src bigint, dst bigint").distinct())
     discard(members, shared)
     component = connected_components(found)
-    classes = materialize(
-        distinct.join(component, distinct["rep"] == component["node"], "left").select(*fp, F.coalesce("component", "rep").alias("component_id"))
-    )
-    return prints.join(classes, fp).select(F.col("_id").alias(id_col), "component_id")
+    placed = numbered.join(component, numbered["_at"] == component["node"], "left").select("fp", "rep", F.coalesce("component", "_at").alias("_of"))
+    least = materialize(placed.groupBy("_of").agg(F.min("rep").alias("component_id")))
+    classes = materialize(placed.join(least, "_of").select("fp", "component_id"))
+    return prints.join(classes, "fp", "left").select(F.col("_id").alias(id_col), "text_sha256", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, that have the smallest id of their component; rows without an id stay."""
-    name = fresh(docs, "_gone_id")
-    groups = similar_groups(docs, id_col, text_col, words, similarity)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name))
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    """The rows of docs, all columns, that come first of their component by id and then by the digest of their text.
+
+    Rows without an id stay. Rows alike in id and text stay or go together.
+    """
+    key, digest = fresh(docs, "_gone_id"), fresh(docs, "_gone_sha256")
+    groups = materialize(similar_groups(docs, id_col, text_col, words, similarity).where(F.col(id_col).isNotNull()))
+    first = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(id_col).alias("i"), "text_sha256")).alias("_first")).where("_n > 1")
+    mine = F.struct(F.col(id_col).alias("i"), "text_sha256")
+    gone = groups.join(first, "component_id").where(mine != F.col("_first")).select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest))
+    same = (F.col(id_col) == F.col(key)) & (_digest(text_col) == F.col(digest))
+    return docs.join(gone, same, "left_anti")

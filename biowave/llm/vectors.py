@@ -1,7 +1,8 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-Equal vectors are one row. A label with many vectors is split by the tree's upper level, centres drawn from the label, and
-pairs of cells whose covering radii keep them apart are never met. What remains are pairs of bounded parts, each its own
+Equal vectors are one row. A label with many vectors is split by the tree's upper level, centres drawn from the label: a vector
+lives in the cell of the nearest one, and visits another cell only where it is no further than the threshold from the
+plane midway between the two centres, which a link across would have to cross. What remains are pairs of bounded parts, each its own
 group: a group builds a tree over each part, nested levels whose radii halve, and walks both at once. A pair of nodes
 is pruned when their centres are further apart than both radii and the threshold together, and counted whole when
 nothing in it can be further apart than the threshold; only what is between is compared vector by vector.
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biowave.llm.common import materialize
@@ -128,7 +129,7 @@ def _walk(cosine: float):
         out = []
         for _, unit in group.groupby("unit", sort=True):
             unit = unit.sort_values(["side", "rep"], kind="stable")
-            raw = np.stack(unit["embedding"].to_numpy()).astype(np.float64)
+            raw = _scaled(np.stack(unit["embedding"].to_numpy()).astype(np.float64))
             x = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
             side, rep = unit["side"].to_numpy(), unit["rep"].to_numpy(np.int64)
             walk = Walk(raw, x, unit["copies"].to_numpy(np.int64), cosine)
@@ -148,8 +149,18 @@ def _walk(cosine: float):
     return of
 
 
-def _cells(distinct: DataFrame, part: int, cosine: float) -> tuple[DataFrame, list[tuple]]:
-    """distinct with its cell, and (space, cell, other cell) of the cells that may hold links between them, each way.
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; cosines stay as they are."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    raw = _scaled(raw)
+    return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+
+
+def _cells(distinct: DataFrame, part: int, cosine: float) -> DataFrame:
+    """distinct with the cell of each vector and the cells with higher numbers that it visits.
 
     space is a label and dimension. The largest SPLIT_LABELS spaces with over two parts get up to CELLS centres each; the
     others are one cell.
@@ -157,39 +168,36 @@ def _cells(distinct: DataFrame, part: int, cosine: float) -> tuple[DataFrame, li
     sizes = distinct.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * part)
     large = {r["space"]: r["n"] for r in sizes.orderBy(F.desc("n"), "space").limit(SPLIT_LABELS).collect()}
     if not large:
-        return distinct.withColumn("cell", F.lit(0)), []
+        return distinct.withColumn("cell", F.lit(0)).withColumn("visits", F.array().cast("array<int>"))
     rate = F.lit(0.0)
     for s, n in large.items():
         rate = F.when(F.col("space") == s, F.lit(min(CELLS, math.ceil(n / part)) / n)).otherwise(rate)
-    draw = F.shiftrightunsigned(F.xxhash64("rep", F.lit("centre")), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64("embedding", F.lit("centre")), 11) / F.lit(float(1 << 53))
     drawn: dict[str, list] = {}
-    for r in distinct.where(draw < rate).select("space", "rep", "embedding").orderBy("space", "rep").collect():
+    for r in distinct.where(draw < rate).select("space", "embedding").orderBy("space", "embedding").collect():
         drawn.setdefault(r["space"], []).append(r["embedding"])
-    units = {s: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(np.array(v, float)) for s, v in drawn.items()}
-    shared = distinct.sparkSession.sparkContext.broadcast(units)  # at most SPLIT_LABELS * CELLS vectors, about
+    # at most SPLIT_LABELS * CELLS vectors, about
+    shared = distinct.sparkSession.sparkContext.broadcast({s: _units(np.array(v, float)) for s, v in drawn.items()})
+    reach = math.sqrt(2 - 2 * cosine) + SAFE
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            cell, away = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+            cell, visits = np.zeros(len(rows), np.int32), [np.zeros(0, np.int32)] * len(rows)
             for s, at in rows.groupby("space").indices.items():
-                if s in shared.value:
-                    v = np.stack(rows["embedding"].to_numpy()[at]).astype(float)
-                    d = _apart(v / np.linalg.norm(v, axis=1, keepdims=True), shared.value[s])
-                    cell[at], away[at] = d.argmin(axis=1), d.min(axis=1)
-            yield rows.assign(cell=cell, away=away)
-
-    placed = materialize(distinct.mapInPandas(assign, "space string, embedding array<float>, rep bigint, copies bigint, cell int, away double"))
-    radius = {
-        (r["space"], r["cell"]): r["r"]
-        for r in placed.where(F.col("space").isin(list(units))).groupBy("space", "cell").agg(F.max("away").alias("r")).collect()
-    }
-    reach = math.sqrt(2 - 2 * cosine)
-    meet = []
-    for s, c in units.items():
-        d = _apart(c, c)
-        here = [k for k in range(len(c)) if (s, k) in radius]
-        meet += [(s, i, j) for i in here for j in here if i != j and d[i, j] <= radius[s, i] + radius[s, j] + reach + SAFE]
-    return placed.drop("away"), meet
+                centres = shared.value.get(s)
+                if centres is None or len(centres) < 2:
+                    continue
+                squares = _apart(_units(np.stack(rows["embedding"].to_numpy()[at]).astype(float)), centres) ** 2
+                cell[at] = own = squares.argmin(axis=1)
+                across = _apart(centres[own], centres)
+                near = squares - squares[np.arange(len(at)), own][:, None] <= 2 * reach * across + SAFE
+                near &= np.arange(len(centres))[None] > own[:, None]
+                for k, to in zip(at.tolist(), near, strict=True):
+                    visits[k] = np.flatnonzero(to).astype(np.int32)
+            yield rows.assign(cell=cell, visits=visits)
+
+    kind = dict(distinct.dtypes)["embedding"]
+    return materialize(distinct.mapInPandas(assign, f"space string, embedding {kind}, rep bigint, copies bigint, least bigint, cell int, visits array<int>"))
 
 
 def near_vectors(
@@ -200,10 +208,11 @@ def near_vectors(
     Vectors with equal labels and dimensions link when their cosine in double precision is at least `cosine`. A vector links
     with nothing when it or its label is null, when it is empty or zero or holds a null or a non-finite number, or when its
     id is null: then n_links is 0, component_id its id, and it is kept. Rows that repeat an id or a vector are vectors each,
-    and copies count as links. Other columns are ignored; an empty input gives an empty result.
+    copies count as links, and an id's vectors may be in several components. Other columns are ignored; an empty input gives an empty result.
     """
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = vectors.select(
-        F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vector_col).cast("array<float>").alias("embedding")
+        F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vector_col).cast(kind).alias("embedding")
     )
     big = F.lit(float("inf"))
     sound = (
@@ -212,39 +221,46 @@ def near_vectors(
         & F.exists("embedding", lambda v: v != 0)
     )
     rows = rows.withColumn("space", F.when(F.coalesce(sound, F.lit(False)), F.concat_ws(":", F.size("embedding").cast("string"), "_label")))
+    # an id may stand for several vectors, so links are between numbers of distinct vectors
     distinct = materialize(
-        rows.where("space IS NOT NULL").groupBy("space", "embedding").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    )
-    placed, meet = _cells(distinct, part, cosine)
-    sizes = placed.groupBy("space", "cell").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    sizes = materialize(sizes)
-    partners = distinct.sparkSession.createDataFrame(meet, "space string, cell int, other int")
-    partners = sizes.select("space", "cell", F.col("cell").alias("other")).union(partners)
-    partners = partners.join(sizes.select("space", F.col("cell").alias("other"), F.col("parts").alias("other_parts")), ["space", "other"])
-    partners = materialize(partners.join(sizes, ["space", "cell"]))
-    me = F.struct("cell", "mine")
-    it = F.struct(F.col("other").alias("cell"), F.col("its").alias("mine"))
-    # every vector goes to the group of its part with each part of each cell that its cell may meet
-    dealt = (
-        placed.join(partners, ["space", "cell"])
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .withColumn("its", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-        .withColumn("cross", me != it)
-        .withColumn("side", F.when(me <= it, 0).otherwise(1))
-        .withColumn("unit", F.xxhash64("space", F.least(me, it), F.greatest(me, it)))
-        .select("unit", "cross", "side", "rep", "copies", "embedding")
-    )
+        rows.where("space IS NOT NULL").groupBy("space", "embedding").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        .select("space", "embedding", F.monotonically_increasing_id().alias("rep"), "copies", "least")
+    )
+    placed = _cells(distinct, part, cosine)
+    visiting = placed.select("space", F.explode("visits").alias("cell"), "rep", "copies", "embedding")
+    living = placed.groupBy("space", "cell").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    guests = visiting.groupBy("space", "cell").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("guest_parts"))
+    sizes = materialize(living.join(guests, ["space", "cell"], "left").na.fill(0, ["guest_parts"]))
+
+    def mine(parts: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
+
+    def unit(guest: bool, a: Column, b: Column, side: Column, cross: Column) -> Column:
+        return F.struct(F.xxhash64("space", "cell", F.lit(guest), a, b).alias("unit"), cross.alias("cross"), side.cast("int").alias("side"))
+
+    # a part meets each part of its own cell and of the cell's visitors, in a group of the two
+    own, none = mine("parts"), F.array().cast("array<int>")
+    at_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: unit(False, F.least(own, q), F.greatest(own, q), own > q, own != q))
+    guest_parts = F.when(F.col("guest_parts") > 0, F.sequence(F.lit(0), F.col("guest_parts") - 1)).otherwise(none)
+    with_guests = F.transform(guest_parts, lambda q: unit(True, own, q, F.lit(0), F.lit(True)))
+    as_guest = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: unit(True, p, mine("guest_parts"), F.lit(1), F.lit(True)))
+    hosts = placed.join(sizes, ["space", "cell"]).select(F.explode(F.concat(at_home, with_guests)).alias("_u"), "rep", "copies", "embedding")
+    visitors = visiting.join(sizes, ["space", "cell"]).select(F.explode(as_guest).alias("_u"), "rep", "copies", "embedding")
+    dealt = hosts.union(visitors).select("_u.*", "rep", "copies", "embedding")
     met = materialize(dealt.groupBy("unit").applyInPandas(_walk(cosine), "src bigint, dst bigint, links bigint"))
     counts = met.where("links IS NOT NULL").groupBy(F.col("src").alias("_of")).agg(F.sum("links").alias("_links"))
     parts = connected_components(met.where("dst IS NOT NULL").select("src", "dst"))
-    classes = materialize(
+    classes = (
         distinct.join(counts, distinct["rep"] == F.col("_of"), "left")
         .join(parts, distinct["rep"] == F.col("node"), "left")
         .select(
-            F.col("space").alias("_space"), F.col("embedding").alias("_embedding"),
-            (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
+            F.col("space").alias("_space"), F.col("embedding").alias("_embedding"), "least",
+            (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("_class"),
         )
     )
+    classes = materialize(classes)
+    least = materialize(classes.groupBy("_class").agg(F.min("least").alias("component_id")))
+    classes = materialize(classes.drop("least").join(least, "_class").drop("_class"))
     out = rows.join(classes, (F.col("space") == F.col("_space")) & (F.col("embedding") == F.col("_embedding")), "left")
     component = F.coalesce("component_id", "_id")
     return out.select(
