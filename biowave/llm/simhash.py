@@ -36,19 +36,24 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.concatenate([h[:, None], z ^ (z >> np.uint64(31))], axis=1)
 
 
-def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
-    """SimHash of a text's word shingles in `lanes` signed 64-bit numbers; zeros without words."""
+def _shingles(text: str | None, words: int) -> list[int]:
+    """The hash of each shingle, repeats included; fewer words are one shingle."""
     found = WORD.findall((text or "").encode("utf-8").lower())
     if not found:
-        return np.zeros(lanes, np.int64)
-    joined = b" ".join(found)
+        return []
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) < words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[words - 1 :].tolist(), strict=False)]
+        return [digest(joined, 42)]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    return [digest(joined[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[words - 1 :].tolist(), strict=False)]
+
+
+def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
+    """SimHash of a text's word shingles in `lanes` signed 64-bit numbers; zeros without words."""
+    hashes = _shingles(text, words)
+    if not hashes:
+        return np.zeros(lanes, np.int64)
     bits = np.zeros(64 * lanes, np.int64)
     for k in range(0, len(hashes), 255 * 32):
         of = _lanes(np.array(hashes[k : k + 255 * 32], np.uint64), lanes).astype("<u8").view(np.uint8)
@@ -172,6 +177,8 @@ def near_groups(
 
 LANES = 16  # of a wide fingerprint, 64 bits each
 RECALL = 0.9  # of pairs just at the similarity, that share a block
+SURE, DOUBTFUL = -2.5, 2.5  # standard deviations of the distance: links below, no links above, between them sets decide
+PENDING = 1 << 20  # doubtful pairs that a group holds before it keeps a spanning forest of them
 
 
 def _differs(similarity: float) -> float:
@@ -179,10 +186,10 @@ def _differs(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def bits_apart(similarity: float, lanes: int = LANES) -> int:
-    """Bits in which wide fingerprints may differ: what the similarity leads to expect, and a standard deviation."""
+def bits_apart(similarity: float, deviations: float, lanes: int = LANES) -> int:
+    """Bits in which wide fingerprints differ: what the similarity leads to expect, and some standard deviations."""
     p = _differs(similarity)
-    return round(64 * lanes * p + math.sqrt(64 * lanes * p * (1 - p)))
+    return round(64 * lanes * p + deviations * math.sqrt(64 * lanes * p * (1 - p)))
 
 
 def block_chance(count: int, size: int, similarity: float, lanes: int = LANES) -> float:
@@ -228,7 +235,9 @@ def _keys_of(blocks: np.ndarray):
     return batch
 
 
-def _wide_links_in(limit: int):
+def _wide_links_in(sure: int, limit: int):
+    """Links within `sure` bits, and of the pairs within `limit` bits a least spanning forest between what these join."""
+
     def of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["unit", "key", "mask", "rep"], kind="stable")
         fps = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)
@@ -239,28 +248,63 @@ def _wide_links_in(limit: int):
             same[1:] &= v[1:] == v[:-1]
         same[:1] = False
         run = np.cumsum(~same)
-        parent = np.arange(len(rep))
+        parent, pending = np.arange(len(rep)), [np.zeros((3, 0), np.int64)]
+
+        def least_forest() -> np.ndarray:
+            d, a, b = both = np.concatenate(pending, axis=1)
+            order = np.lexsort((rep[b], rep[a], d))
+            used = set(forest(parent.copy(), a[order], b[order]))
+            return both[:, [x in used for x in zip(a.tolist(), b.tolist(), strict=True)]]
+
         left, lag = np.arange(len(rep)), 1
         while True:
             left = left[left + lag < len(rep)]
             left = left[run[left] == run[left + lag]]
             if not len(left):
                 break
-            for a in range(0, len(left), 1 << 16):
-                some = left[a : a + (1 << 16)]
-                hit = some[np.bitwise_count(fps[some] ^ fps[some + lag]).sum(axis=1, dtype=np.int64) <= limit]
+            for k in range(0, len(left), 1 << 16):
+                some = left[k : k + (1 << 16)]
+                d = np.bitwise_count(fps[some] ^ fps[some + lag]).sum(axis=1, dtype=np.int64)
+                hit = some[d <= sure]
                 if len(hit):
                     forest(parent, hit, hit + lag)
+                at = (d > sure) & (d <= limit)
+                pending.append(np.stack([d[at], some[at], some[at] + lag]))
+            if sum(x.shape[1] for x in pending) > PENDING:
+                pending = [least_forest()]
             lag += 1
+        d, a, b = least_forest()
         while not np.array_equal(up := parent[parent], parent):
             parent = up
         # to the smallest of the linked ones: groups that share members then tend to give the same pairs
         member = np.flatnonzero(parent != np.arange(len(rep)))
-        return pd.DataFrame({"src": rep[parent[member]], "dst": rep[member]}).drop_duplicates()
+        src, dst = np.r_[rep[parent[member]], rep[a]], np.r_[rep[member], rep[b]]
+        return pd.DataFrame({"src": np.minimum(src, dst), "dst": np.maximum(src, dst), "d": np.r_[np.zeros(len(member), np.int64), d]}).drop_duplicates()
 
     return of
 
 
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(_at, shingles) of docs (_at, _text): the sorted distinct hashes of a text's word shingles."""
+
+    def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sets = [np.unique(np.array(_shingles(t, words), np.uint64)).view(np.int64) for t in part["_text"]]
+            yield pd.DataFrame({"_at": part["_at"], "shingles": sets})
+
+    return docs.mapInPandas(batch, "_at bigint, shingles array<bigint>")
+
+
+def _resembling(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets have a resemblance of `similarity` or more; texts are (_at, _text)."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("_at")).distinct()
+    sets = materialize(shingle_sets(texts.join(ends, "_at", "left_semi"), words))
+    left, right = sets.toDF("src", "_left"), sets.toDF("dst", "_right")
+    common = F.size(F.array_intersect("_left", "_right"))
+    met = pairs.join(left, "src").join(right, "dst").select("src", "dst", common.alias("c"), (F.size("_left") + F.size("_right") - common).alias("u"))
+    return met.where(F.col("c") >= F.lit(similarity) * F.col("u")).select("src", "dst")
+
+
 def _digest(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
@@ -269,9 +313,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, text_sha256, component_id, by shingles of `words` words with a resemblance of `similarity` or more.
 
     A radius that wide can't be searched with whole blocks of 64 bits. So fingerprints have 1024 bits here, blocks are sampled
-    sets of bits, those that share a block are compared, and pairs link within bits_apart() bits. That is an estimate of the
-    resemblance with a standard deviation of about 0.03: most pairs above it link, few of those clearly below do. Nulls, ids,
-    repeated rows and empty inputs are treated as in near_groups().
+    sets of bits, and those that share a block are compared. Hamming distance estimates the resemblance with a standard
+    deviation of about 0.03. So pairs that are far nearer than the similarity asks for link, those far beyond it don't, and
+    between groups of linked texts the shingle sets of the closest pair decide. Nulls, ids, repeated rows and empty
+    inputs are treated as in near_groups().
     """
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,10 +326,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), _digest(text_col).alias("text_sha256"), F.col(text_col).alias("_text"))
     prints = materialize(rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary"))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("_id").alias("rep")))
-    known = distinct.where("rep IS NOT NULL")
     # an id on several texts stands for several fingerprints, so links are between numbers of these
-    numbered = materialize(known.select("fp", "rep", F.xxhash64("fp").alias("_at")))
+    first = prints.where("_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("_id", "text_sha256")).alias("_m"))
+    numbered = materialize(first.select("fp", F.col("_m._id").alias("rep"), "_m.text_sha256", F.xxhash64("fp").alias("_at")))
     size = numbered.count()
     drawn = sampled_blocks(size, similarity)
     # few fingerprints fill a file and each gives a row a block, so they are dealt to tasks by the rows that they give
@@ -304,9 +348,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .withColumn("_bin", F.pmod(F.xxhash64("mask", "key", "unit"), F.lit(max(1, copied // GROUP_ROWS) * 8)))
         .select("_bin", "unit", "mask", "key", "rep", "fp")
     )
-    found = materialize(dealt.groupBy("_bin").applyInPandas(_wide_links_in(bits_apart(similarity)), "src bigint, dst bigint").distinct())
+    links_in = _wide_links_in(bits_apart(similarity, SURE), bits_apart(similarity, DOUBTFUL))
+    found = materialize(dealt.groupBy("_bin").applyInPandas(links_in, "src bigint, dst bigint, d bigint").distinct())
     discard(members, shared)
-    component = connected_components(found)
+    sure = found.where("d = 0").select("src", "dst")
+    joined = connected_components(sure).select("node", "component")
+    # between two groups of sure links the closest pair decides
+    ends = found.where("d > 0").join(joined.toDF("src", "_a"), "src", "left").join(joined.toDF("dst", "_b"), "dst", "left")
+    ends = ends.select("src", "dst", "d", F.coalesce("_a", "src").alias("_a"), F.coalesce("_b", "dst").alias("_b")).where("_a <> _b")
+    closest = ends.groupBy(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).agg(F.min(F.struct("d", "src", "dst")).alias("_m"))
+    pairs = materialize(closest.select("_m.src", "_m.dst"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(
+        numbered.join(pairs.select(F.explode(F.array("src", "dst")).alias("_at")).distinct(), "_at", "left_semi").select(F.col("rep").alias("_id"), "_at", "text_sha256"), "_id"
+    )
+    texts = texts.where(_digest("_text") == F.col("text_sha256")).select("_at", "_text").dropDuplicates(["_at"])
+    component = connected_components(sure.union(_resembling(pairs, texts, words, similarity)))
     placed = numbered.join(component, numbered["_at"] == component["node"], "left").select("fp", "rep", F.coalesce("component", "_at").alias("_of"))
     least = materialize(placed.groupBy("_of").agg(F.min("rep").alias("component_id")))
     classes = materialize(placed.join(least, "_of").select("fp", "component_id"))

@@ -227,9 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
     apart = F.pmod(F.xxhash64("_id", F.lit("curve")), F.lit(4)) == 0
     grams = sample.where(~apart).mapInPandas(_counted, "gram bigint, ordinary bigint, toxic bigint")
     grams = grams.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    # long n-grams seen once say little and are most of all; the driver gets the others, whose number the sample bounds
-    often = (F.shiftright("gram", 56) <= 3) | (F.col("ordinary") + F.col("toxic") >= 2)
-    models = count(grams.where(often).toPandas())
+    models = count(grams.toPandas())  # all of them, seen once or often; their number is bounded by the sample
     shared = spark.sparkContext.broadcast(models)
     measured = sample.where(apart).mapInPandas(_measured(shared), f"_id bigint, _y int, _x array<double>").toPandas()
     measured = measured.sort_values("_id", kind="stable")

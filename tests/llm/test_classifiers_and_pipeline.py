@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,16 +74,51 @@ def test_trees_walk_like_nested_ifs():
         assert score[k] == pytest.approx(1 / (1 + math.exp(-total)))
 
 
+def brute_kneser_ney(words, order, discount=toxicity.DISCOUNT):
+    """p(k, byte, context before it) in plain Python: of the shared chain (k 0), or of the ordinary (1) or toxic model (2)."""
+    raw = Counter()
+    for w, *n in words:
+        w = b"\x02" + w + b"\x03"
+        for i in range(1, len(w)):
+            for m in range(1, min(order, i + 1) + 1):
+                for k in (1, 2):
+                    raw[w[i - m + 1 : i + 1], k] += n[k - 1]
+    grams = {g for g, _ in raw}
+
+    def n(g, k):
+        if k:
+            return raw[g, k]
+        if len(g) == order or len(g) > 1 and g[:1] == b"\x02":
+            return raw[g, 1] + raw[g, 2]
+        return len({h for h in grams if len(h) == len(g) + 1 and h[1:] == g})
+
+    def p(k, byte, context):
+        after = [(n(g, k), g) for g in grams if g[:-1] == context and len(g) == len(context) + 1]
+        total, kinds = sum(c for c, _ in after), sum(c > 0 for c, _ in after)
+        lower = p(0, byte, context) if k else p(0, byte, context[1:]) if context else 1 / 256
+        if not total:
+            return lower
+        return max(n(context + bytes([byte]), k) - discount, 0) / total + discount * kinds / total * lower
+
+    return p
+
+
 def test_kneser_ney_by_brute_force():
-    """The shared model's probabilities of the next byte sum to one, with the uniform floor."""
-    words = [b"aba", b"abc", b"bc", b"cab"]
-    grams = toxicity.grams_of(words, np.array([3.0, 1.0, 2.0, 0.0]), np.array([0.0, 2.0, 0.0, 1.0]), order=3)
-    models = toxicity.count(grams, order=3)
-    # ratios are differences of logs of proper distributions: a class that equals the other gives 0
-    same = toxicity.count(grams.assign(toxic=grams["ordinary"]), order=3)
-    assert np.allclose(same.ratios(words), 0)
-    assert models.ratios([b"abc"])[0] > models.ratios([b"aba"])[0]
-    assert models.ratios([b"zzz"])[0] == pytest.approx(models.ratios([b"zzy"])[0], abs=1)
+    """Ratios are those of models in plain Python, whose probabilities of the next byte sum to one after every context."""
+    words = [(b"aba", 3, 0), (b"abc", 1, 2), (b"bc", 2, 0), (b"cab", 0, 1), (b"abca", 0, 1), (b"rare", 1, 0)]
+    order = 3
+    p = brute_kneser_ney(words, order)
+    for context in (b"\x02", b"ab", b"\x02a", b"bc", b"zz", b"ra"):
+        for k in range(3):
+            assert sum(p(k, byte, context) for byte in range(256)) == pytest.approx(1)
+    names, counts = [w for w, *_ in words], np.array([n for _, *n in words], float).T
+    models = toxicity.count(toxicity.grams_of(names, *counts, order=order), order=order)
+    for word in [*names, b"zzz", b"abcab", b"", b"a", b"rar"]:
+        w = b"\x02" + word + b"\x03"
+        want = sum(
+            math.log(p(2, w[i], w[max(0, i - order + 1) : i])) - math.log(p(1, w[i], w[max(0, i - order + 1) : i])) for i in range(1, len(w))
+        )
+        assert models.ratios([word])[0] == pytest.approx(want, abs=1e-5), word
 
 
 def test_drop_toxic_keeps_columns(spark, messy, labels):
