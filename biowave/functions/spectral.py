@@ -62,6 +62,16 @@ def spectral_errors(clean: Column, other: Column, rate: float, size: int, nfft:
     return features(["lsd", "rmse_mnf", "rmse_mdf"], of, clean, other)
 
 
+def interval_shrunk(signal: Column, by: float) -> Column:
+    """Sum, power and runs of segments whose runs between sign changes are shrunk by a part of the universal threshold."""
+
+    def of(x):
+        out = np.stack([K.interval_soft(v, K.threshold_of(v) / by) for v in x])
+        return {"total": out.sum(axis=1), "power": (out**2).sum(axis=1), "runs": 1.0 + (np.diff(x < 0, axis=1) != 0).sum(axis=1)}
+
+    return features(["total", "power", "runs"], of, signal)
+
+
 def mapped(signal: Column, of) -> Column:
     """An array column from a function of a matrix of segments."""
 

@@ -19,6 +19,8 @@ from biowave.functions import kernels as K
 WHITE_EMD = (1.0, 0.4751015, 0.29994139, 0.21576524, 0.13714082, 0.09261460, 0.05600730, 0.05497522)
 WHITE_CEEMDAN = (1.0, 0.45871, 0.309190, 0.19652, 0.14093, 0.084863, 0.06222, 0.05597)
 
+LEAST_SAMPLES = 64  # of a signal that is decomposed
+
 DEFAULTS = {
     "hp": {"order": 4, "drift_hz": 10.0, "line_hz": 60.0, "line_q": 5.0, "ecg_hz": 40.0, "motion_hz": 40.0, "motion_nstdb_hz": 20.0, "low_hz": 20.0, "high_hz": 500.0, "colour_is_white": True},
     "highpass": {"cutoff_hz": 20.0, "order": 4},
@@ -79,14 +81,16 @@ def template_subtraction(x: np.ndarray, rate: float, p: dict) -> tuple[np.ndarra
     return out, True
 
 
-def _cleaned_modes(modes: np.ndarray, centre: np.ndarray, x: np.ndarray, rate: float, noise: Noise, p: dict, white) -> np.ndarray:
-    """Modes after tone, motion, drift, broadband and ECG rules; white gives a mode's broadband treatment."""
+def _cleaned_modes(modes: np.ndarray, centre: np.ndarray, x: np.ndarray, rate: float, noise: Noise, p: dict, white, baseline: bool = True) -> np.ndarray:
+    """Modes after tone, motion, drift and broadband rules; white gives a mode's broadband treatment."""
     out = modes.copy()
     for k, f in enumerate(centre):
         one = out[k : k + 1]
         if noise.line and 50 < f < 70:
             one = K.without_tone(one, rate, f, 20.0)
-        if noise.motion:
+        if not baseline:
+            pass
+        elif noise.motion:
             one = one * 0 if f < p["f_min"] else K.high_pass(one, rate, p["f_min"])
         elif noise.drift:
             one = one * 0 if f < 10 else one - K.low_pass(one, rate, 10.0)
@@ -117,6 +121,17 @@ def _by_spread(expected: tuple[float, ...], modes: np.ndarray, keep_last: bool):
 
 
 def decomposed(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict) -> tuple[np.ndarray, bool]:
+    """The signal from its cleaned modes; false for one that is short or not finite, or that doesn't come apart."""
+    if len(x) < LEAST_SAMPLES or not np.isfinite(x).all():
+        return x, False
+    try:
+        out = _from_modes(method, K.high_pass(x[None], rate, p["f_min"])[0] if noise.colour else x, rate, noise, p)
+    except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
+        return x, False
+    return (out, True) if np.isfinite(out).all() else (x, False)
+
+
+def _from_modes(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict) -> np.ndarray:
     if method == "vmd":
         modes, centre = K.vmd(x, p["modes"], p["alpha"], p["tau"], p["tol"])
         centre = centre * rate
@@ -126,18 +141,20 @@ def decomposed(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict) -
                 out[k] = K.interval_soft(out[k], K.threshold_of(out[k]) / 4) if p["f_min"] <= f <= p["f_max"] else 0
             return out
 
-        return _cleaned_modes(modes, centre, x, rate, noise, p, white).sum(axis=0), True
+        # beats aren't for these modes, and what would take motion or drift takes them for it
+        return _cleaned_modes(modes, centre, x, rate, noise, p, white, baseline=not noise.ecg).sum(axis=0)
     ceemdan = method == "ceemdan"
     modes = K.ceemdan(x, p["trials"], most=p["modes"]) if ceemdan else K.emd(x, p["modes"])
     power = np.abs(np.fft.rfft(modes))[:, : len(x) // 2]
     centre = power.argmax(axis=1) * rate / len(x)
     out = _cleaned_modes(modes, centre, x, rate, noise, p, _by_spread(WHITE_CEEMDAN if ceemdan else WHITE_EMD, modes, ceemdan))
-    return (_without_beats(out, x, rate) if noise.ecg else out).sum(axis=0), True
+    return (_without_beats(out, x, rate) if noise.ecg else out).sum(axis=0)
 
 
 def run(method: str, x: np.ndarray, rate: float, types: str | None, paths: str | None, params: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Cleaned signals (rows of x) and whether each worked."""
     p = DEFAULTS[method] | ((params or {}).get(method) or {})
+    p["modes"] = int(p.get("modes", 0))
     noise = Noise(types, paths)
     if method == "hp":
         return iir_chain(x, rate, noise, p), np.ones(len(x), bool)
@@ -151,18 +168,23 @@ def run(method: str, x: np.ndarray, rate: float, types: str | None, paths: str |
     return out, ok
 
 
-def denoise(rows: DataFrame, method: str, rate: float, signal: str = "noisy", types: str = "noise_types", paths: str = "noise_paths", params: dict | None = None) -> DataFrame:
-    """rows with `denoised` and `ok`. Filter and select rows before: nothing is pushed below this."""
+def denoise(rows: DataFrame, method: str, rate: float, signal: str = "noisy", types: str = "noise_types", paths: str = "noise_paths", params: dict | None = None, vary: tuple[str, str] | None = None) -> DataFrame:
+    """rows with `denoised` and `ok`. Filter and select rows before: nothing is pushed below this.
+
+    vary names a parameter of the method and the column that holds its value in each row.
+    """
     schema = T.StructType([*rows.schema.fields, T.StructField("denoised", T.ArrayType(T.DoubleType())), T.StructField("ok", T.BooleanType())])
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            kinds = pd.Series(list(zip(part[types], part[paths], part[signal].map(lambda v: -1 if v is None else len(v)), strict=True)), index=part.index)
+            value = part[vary[1]] if vary else pd.Series(0.0, index=part.index)
+            kinds = pd.Series(list(zip(part[types], part[paths], part[signal].map(lambda v: -1 if v is None else len(v)), value, strict=True)), index=part.index)
             denoised, ok = pd.Series([None] * len(part), index=part.index, dtype=object), pd.Series(False, index=part.index)
-            for (t, p, n), at in kinds.groupby(kinds, dropna=False).groups.items():
+            for (t, p, n, v), at in kinds.groupby(kinds, dropna=False).groups.items():
                 if n > 0:
                     x = np.stack(part.loc[at, signal].to_numpy()).astype(float)
-                    y, good = run(method, x, rate, t, p, params)
+                    own = (params or {}).get(method) or {}
+                    y, good = run(method, x, rate, t, p, (params or {}) | {method: own | {vary[0]: v}} if vary else params)
                     for k, row, g in zip(at, y, good, strict=True):
                         denoised[k], ok[k] = row, bool(g)
             yield part.assign(denoised=denoised, ok=ok)

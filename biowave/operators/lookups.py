@@ -25,10 +25,11 @@ def coverage(wanted: DataFrame, have: DataFrame, keys: list[str], by: str) -> Da
 
 
 def without_pairs(rows: DataFrame, pairs: list[tuple[int, int]], first: str, second: str) -> DataFrame:
-    """rows whose (first, second) isn't one of the listed pairs, a handful of constants."""
+    """rows whose (first, second) isn't one of the listed pairs, a handful of constants; a null is in no pair."""
+    listed = F.lit(False)
     for a, b in pairs:
-        rows = rows.where(~((F.col(first) == a) & (F.col(second) == b)))
-    return rows
+        listed = listed | ((F.col(first) == a) & (F.col(second) == b))
+    return rows.where(~F.coalesce(listed, F.lit(False)))
 
 
 def nearest_choice(rows: DataFrame, items: DataFrame, group: str, index: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+RANGES = 256  # by which all keys are numbered
 
 
 def islands(track: DataFrame, least: int = 2) -> DataFrame:
@@ -145,6 +146,12 @@ def normalised_by_rest(track: DataFrame, least: int) -> DataFrame:
 
 
 def numbered_by_appearance(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Each key with a number from 0 by its first appearance: one row a key, ranked over all keys."""
+    """Each key with a number from 0 by its first appearance: numbered within RANGES ranges of it, and moved by the ranges before."""
     first = rows.groupBy(key).agg(F.min(order).alias("first"))
-    return first.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first", key)) - 1)
+    cuts = first.agg(F.percentile_approx("first", [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+    ranged = first.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("first"))) if cuts else F.lit(0))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    sizes = ranged.groupBy(F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    row = F.row_number().over(Window.partitionBy("_range").orderBy("first", key)) - 1
+    return ranged.withColumn("_row", row).join(F.broadcast(starts), F.col("_range") == F.col("_of")).select(key, "first", (F.col("_start") + F.col("_row")).alias("index"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGE_BITS = 12  # of the hash, by which a label is cut into ranges
+
 
 def key_number(*keys: Column, salt: str = "", digits: int = 8) -> Column:
     """A number of the keys' MD5, the same on every engine."""
@@ -29,8 +31,18 @@ def subject_split(subjects: DataFrame, test_dataset: str, train_ratio: float = 0
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, salt: str = "fold") -> DataFrame:
-    order = Window.partitionBy(label).orderBy(key_number(F.col(key), salt=salt), key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    """rows with a fold each: every label's rows are dealt in turn, in the order of a hash of the key.
+
+    A label is numbered in ranges of the hash, moved by the sizes of the ranges before, so that no label is one task.
+    """
+    parted = rows.withColumn("_number", key_number(F.col(key), salt=salt)).withColumn("_range", F.shiftright("_number", 32 - RANGE_BITS))
+    before = Window.partitionBy("_label").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** RANGE_BITS rows a label
+    sizes = parted.groupBy(F.col(label).alias("_label"), F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_label", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(label, "_range").orderBy("_number", key)
+    numbered = parted.withColumn("_row", F.row_number().over(own) - 1)
+    numbered = numbered.join(starts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_of")))
+    return numbered.withColumn("fold", ((F.col("_start") + F.col("_row")) % folds).cast("int")).drop("_number", "_range", "_row", "_label", "_of", "_start")
 
 
 def keyed_sample(rows: DataFrame, by: list[str], key: str, n: int, salt: str = "sample") -> DataFrame:

@@ -143,10 +143,10 @@ def inter_subject(spark, sf):
 
 
 def topk_accuracy(spark, sf):
-    """Each segment's class scores are the sums of its tenths."""
+    """Each segment's score of a class is the sum of every tenth sample from the class's number on."""
     e = table(spark, sf, "embeddings")
     s = e.select(F.col("vec_id").alias("id"), "label", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("class"), "embedding")
-    s = s.withColumn("score", F.round(F.aggregate(F.slice("embedding", F.col("class") * 6 + 1, 6), F.lit(0.0), lambda a, v: a + v), 6))
+    s = s.withColumn("score", F.round(F.aggregate(F.filter("embedding", lambda v, i: i % 10 == F.col("class")), F.lit(0.0), lambda a, v: a + v), 6))
     out = scoring.top_k(s, 1).union(scoring.top_k(s, 3)).union(scoring.top_k(s, 5))
     return out.select("k", r(F.col("accuracy"), "accuracy"), "n")
 
@@ -421,7 +421,7 @@ ORACLE_SQL = {
     "inter_subject": f"""WITH {PRED_SQL}, a AS (SELECT subject, avg((label = pred)::INT) AS a FROM p GROUP BY subject)
         SELECT round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS inter_subject_score, count(*) AS subjects FROM a""",
     "topk_accuracy": """WITH s AS (
-            SELECT vec_id AS id, label, c::INT AS class, round(list_sum(list_transform(embedding[c * 6 + 1 : c * 6 + 6], lambda v: v::DOUBLE)), 6) AS score FROM embeddings, range(0, 10) r(c)),
+            SELECT vec_id AS id, label, c::INT AS class, round(list_sum(list_transform(embedding[c + 1 : 64 : 10], lambda v: v::DOUBLE)), 6) AS score FROM embeddings, range(0, 10) r(c)),
         b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class) AS p FROM s),
         h AS (SELECT k, id, max((label = class)::INT) AS hit FROM b, (VALUES (1), (3), (5)) v(k) WHERE p <= k GROUP BY k, id)
         SELECT k, round(avg(hit), 6) AS accuracy, count(*) AS n FROM h GROUP BY k""",

@@ -21,20 +21,24 @@ def mixed(spark, sf, snrs=GRID, most: int = 3):
     """Each segment mixed with k others at a total SNR: partner j of segment s is (31 s + 17 j + 7) modulo their number."""
     seg = segments(spark, sf)
     n = seg.count()
-    jobs = mixing.grid(seg.select("seg", "dataset"), snrs, most)
-    parts = jobs.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumn("other", (F.col("seg") * 31 + F.col("j") * 17 + 7) % n)
-    powers = seg.select("seg", "signal", A.power(F.col("signal")).alias("p"))
+    powers = seg.select("seg", "dataset", "signal", A.power(F.col("signal")).alias("p"))
+    partners = seg.select("seg", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("j")).withColumn("other", (F.col("seg") * 31 + F.col("j") * 17 + 7) % n)
     other = powers.select(F.col("seg").alias("other"), F.col("signal").alias("noise"), F.col("p").alias("noise_power"))
-    clean = powers.select("seg", F.col("signal").alias("clean"), F.col("p").alias("clean_power"))
-    joined = parts.join(other, "other").join(clean.select("seg", "clean_power"), "seg")
-    target = mixing.component_power(F.col("clean_power"), F.col("snr"), F.col("k"), F.lit(False), F.lit(False))
-    by = F.when(F.col("noise_power") > mixing.TINY, F.sqrt(target / F.col("noise_power"))).otherwise(0.0)
-    scaled = joined.select("seg", "dataset", "snr", "k", "j", A.let(by, lambda f: F.transform("noise", lambda v: v * f)).alias("noise"))
-    # at most `most` components meet in one row
-    sums = scaled.groupBy("seg", "dataset", "snr", "k").agg(F.sort_array(F.collect_list(F.struct("j", "noise"))).alias("_parts"))
-    first = F.transform(F.col("_parts")[0]["noise"], lambda v: v * 0.0)
-    total = F.aggregate("_parts", first, lambda s, p: F.zip_with(s, p["noise"], lambda a, b: a + b))
-    return sums.withColumn("noise", total).drop("_parts").join(clean, "seg").withColumn("noisy", F.zip_with("clean", "noise", lambda a, b: a + b))
+    # a segment meets its `most` partners once; every SNR and number of them is worked out in place
+    met = partners.join(other, "other").groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("j", "noise", "noise_power"))).alias("_parts"))
+    clean = powers.select("seg", "dataset", F.col("signal").alias("clean"), F.col("p").alias("clean_power"))
+    jobs = F.array(*[F.struct(F.lit(s).alias("snr"), F.lit(k).alias("k")) for s in snrs for k in range(1, most + 1)])
+
+    def noise(job):
+        target = mixing.component_power(F.col("clean_power"), job["snr"], job["k"], F.lit(False), F.lit(False))
+        factor = lambda part: F.when(part["noise_power"] > mixing.TINY, F.sqrt(target / part["noise_power"])).otherwise(0.0)
+        none = F.transform(F.col("_parts")[0]["noise"], lambda v: v * 0.0)
+        added = lambda s, part: A.let(factor(part), lambda f: F.zip_with(s, part["noise"], lambda a, b: a + b * f))
+        return F.aggregate(F.slice("_parts", 1, job["k"]), none, added)
+
+    mix = F.transform(jobs, lambda job: F.struct(job["snr"].alias("snr"), job["k"].alias("k"), noise(job).alias("noise")))
+    out = met.join(clean, "seg").select("seg", "dataset", "clean", "clean_power", F.explode(mix).alias("_m"))
+    return out.select("seg", "dataset", "clean", "clean_power", "_m.*").withColumn("noisy", F.zip_with("clean", "noise", lambda a, b: a + b))
 
 
 def mix_metric_margin(spark, sf):
@@ -108,8 +112,8 @@ def spectral_features(spark, sf):
 
 
 def welch_quality(spark, sf):
-    q = segments(spark, sf).select("seg", X.quality(F.col("signal"), 64.0, 32, 32).alias("q"))
-    return q.select("seg", r(F.col("q.smr_db"), "smr_db", 5), r(F.col("q.shr_db"), "shr_db", 5), r(F.col("q.ohm"), "ohm", 5))
+    q = segments(spark, sf).select("seg", X.quality(F.col("signal"), 256.0, 64, 64).alias("q"))
+    return q.select("seg", *[r(F.col(f"q.{c}"), c, 5) for c in ("smr_db", "spr_db", "shr_db", "ohm", "dpr_db")])
 
 
 def lsd_frames(spark, sf):
@@ -144,15 +148,8 @@ def soft_threshold(spark, sf):
 
 
 def interval_threshold(spark, sf):
-    from pyspark.sql import Window
-
-    s = segments(spark, sf).select("seg", (A.universal_threshold(F.col("signal")) / 4.0).alias("by"), F.posexplode("signal").alias("i", "x"))
-    order = Window.partitionBy("seg").orderBy("i")
-    cut = F.when((F.col("x") < 0) != (F.lag("x").over(order) < 0), 1).otherwise(0)
-    s = s.withColumn("_cut", cut).withColumn("run", F.sum("_cut").over(order))
-    top = F.max(F.abs("x")).over(Window.partitionBy("seg", "run"))
-    shrunk = F.when(top == 0, F.col("x")).otherwise(F.col("x") * F.greatest((top - F.col("by")) / top, F.lit(0.0)))
-    return s.withColumn("y", shrunk).groupBy("seg").agg(r(F.sum("y"), "total"), r(F.sum(F.col("y") * F.col("y")), "power"), (F.max("run") + 1).alias("runs"))
+    s = segments(spark, sf).select("seg", X.interval_shrunk(F.col("signal"), 4.0).alias("f"))
+    return s.select("seg", r(F.col("f.total"), "total"), r(F.col("f.power"), "power"), F.col("f.runs").cast("bigint").alias("runs"))
 
 
 def moving_average(spark, sf):
@@ -272,20 +269,22 @@ ORACLE_SQL = {
         SELECT a.seg, round(mnf, 5) AS mnf, round(mdf::DOUBLE, 5) AS mdf, round(tp, 5) AS tp, round(mp, 5) AS mp, round(f::DOUBLE, 5) AS dominant
         FROM a JOIN d ON a.seg = d.seg AND r = 1""",
     "welch_quality": f"""WITH {SAMPLES_SQL},
-        fr AS (SELECT seg, s, i - s AS j, x - avg(x) OVER (PARTITION BY seg, s) AS x FROM smp, (VALUES (0), (16), (32)) v(s) WHERE i >= s AND i < s + 32),
-        wi AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / 32) AS h FROM fr),
-        ft AS (
-            SELECT seg, s, f, (power(sum(x * h * cos(2 * pi() * f * j / 32)), 2) + power(sum(x * h * sin(2 * pi() * f * j / 32)), 2)) / (64.0 * 12.0)
-                   * CASE WHEN f BETWEEN 1 AND 15 THEN 2 ELSE 1 END AS p
-            FROM wi, range(0, 17) q(f) GROUP BY seg, s, f),
-        ps AS (SELECT seg, 2.0 * f AS f, avg(p) AS p FROM ft GROUP BY seg, f),
-        tz AS (SELECT *, lag(f) OVER (PARTITION BY seg ORDER BY f) AS g, lag(p) OVER (PARTITION BY seg ORDER BY f) AS q FROM ps),
+        wi AS (SELECT seg, i AS j, x - avg(x) OVER (PARTITION BY seg) AS x, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS h FROM smp),
+        ps AS (
+            SELECT seg, k, 4.0 * k AS f, (power(sum(x * h * cos(2 * pi() * k * j / 64)), 2) + power(sum(x * h * sin(2 * pi() * k * j / 64)), 2)) / (256.0 * 24.0)
+                   * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS p
+            FROM wi, range(0, 33) q(k) GROUP BY seg, k),
+        tz AS (SELECT *, lag(f) OVER (PARTITION BY seg ORDER BY k) AS g, lag(p) OVER (PARTITION BY seg ORDER BY k) AS q FROM ps),
         ar AS (
             SELECT seg, sum((p + q) / 2 * (f - g)) AS m0, sum((p * f + q * g) / 2 * (f - g)) AS m1, sum((p * f * f + q * g * g) / 2 * (f - g)) AS m2,
-                   sum(CASE WHEN f <= 20 THEN (p + q) / 2 * (f - g) ELSE 0 END) AS lo, sum(CASE WHEN g >= 25.6 THEN (p + q) / 2 * (f - g) ELSE 0 END) AS hi
-            FROM tz WHERE g IS NOT NULL GROUP BY seg)
-        SELECT seg, round(10 * log10((m0 + 1e-12) / (lo + 1e-12)), 5) AS smr_db, round(10 * log10((m0 + 1e-12) / (hi + 1e-12)), 5) AS shr_db,
-               round(sqrt(m2 / (m0 + 1e-12)) / (m1 / (m0 + 1e-12) + 1e-12), 5) AS ohm FROM ar""",
+                   sum(CASE WHEN f <= 20 THEN (p + q) / 2 * (f - g) ELSE 0 END) AS lo, sum(CASE WHEN g >= 102.4 THEN (p + q) / 2 * (f - g) ELSE 0 END) AS hi,
+                   sum(CASE WHEN k IN (12, 25) THEN p * 4.0 ELSE 0 END) AS li
+            FROM tz WHERE g IS NOT NULL GROUP BY seg),
+        sm AS (SELECT seg, k, avg(p) OVER (PARTITION BY seg ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS v FROM ps),
+        dp AS (SELECT seg, max(v) AS top, min(CASE WHEN (k + 6.5) * 4.0 >= 102.4 THEN v END) AS bottom FROM sm WHERE k <= 20 GROUP BY seg)
+        SELECT seg, round(10 * log10((m0 + 1e-12) / (lo + 1e-12)), 5) AS smr_db, round(10 * log10((m0 + 1e-12) / (li + 1e-12)), 5) AS spr_db,
+               round(10 * log10((m0 + 1e-12) / (hi + 1e-12)), 5) AS shr_db, round(sqrt(m2 / (m0 + 1e-12)) / (m1 / (m0 + 1e-12) + 1e-12), 5) AS ohm,
+               round(10 * log10((top + 1e-12) / (bottom + 1e-12)), 5) AS dpr_db FROM ar JOIN dp USING (seg)""",
     "lsd_frames": f"""{mix_sql((0,), 1)},
         fr AS (
             SELECT seg, t, i - 8 * t + 8 AS j, c, o FROM mix, range(0, 9) q(t) WHERE i - 8 * t + 8 >= 0 AND i - 8 * t + 8 < 16),

@@ -97,11 +97,29 @@ def sweep_highpass(spark, sf):
     return calibrate.sweep(rows, "highpass", [2.0, 5.0, 10.0, 20.0], RATE).select("place", "candidate", r(F.col("gain"), "gain", 5), "best")
 
 
+def sweep_of(spark, sf, method: str, candidates: list, kinds: str):
+    rows = noisy_segments(spark, sf).where(kinds).select("clean", "noisy", "noise_types", "noise_paths")
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)  # small rows that cost much
+    return calibrate.sweep(rows, method, candidates, RATE).select("place", "candidate", r(F.col("gain"), "gain", 5), "best")
+
+
+def sweep_emd(spark, sf):
+    return sweep_of(spark, sf, "emd", [5.0, 10.0, 20.0], "noise_types IN ('MOA', 'WGN', 'Color')")
+
+
+def sweep_vmd(spark, sf):
+    return sweep_of(spark, sf, "vmd", [3, 5, 8], "noise_types IN ('WGN', 'PLI+WGN')")
+
+
+def sweep_ceemdan(spark, sf):
+    return sweep_of(spark, sf, "ceemdan", [5.0, 20.0], "noise_types = 'WGN'")
+
+
 def fold_classification(spark, sf):
-    """Scores of a classifier of segments' halves of labels from time-domain features, three folds."""
+    """Scores of a classifier of segments' halves of labels from their samples, RMS and mean, three folds."""
     s = segments(spark, sf)
     x = F.col("signal")
-    rows = s.select(F.col("seg").alias("id"), (F.col("seg") % 5).alias("subject"), (F.col("dataset") % 2).alias("label"), F.concat(F.array(A.rms(x), A.mean(x)), F.slice(x, 1, 16)).alias("features"))
+    rows = s.select(F.col("seg").alias("id"), (F.col("seg") % 5).alias("subject"), (F.col("dataset") % 2).alias("label"), F.concat(F.array(A.rms(x), A.mean(x)), x).alias("features"))
     p = calibrate.cross_validated(splitting.stratified_folds(rows, "id", "label", 3), 3)
     return scoring.macro(p.select("label", "pred"), spark.range(2).select(F.col("id").cast("int").alias("class")))
 
@@ -129,7 +147,7 @@ def stream_windows(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    denoise_iir, denoise_template, denoise_emd, denoise_vmd, denoise_ceemdan, denoise_summary, filter_bands, resample_poly, noise_synthesis, sweep_highpass,
+    denoise_iir, denoise_template, denoise_emd, denoise_vmd, denoise_ceemdan, denoise_summary, filter_bands, resample_poly, noise_synthesis, sweep_highpass, sweep_emd, sweep_vmd, sweep_ceemdan,
     fold_classification, canvas_overwrite, stream_windows,
 )}
 

@@ -247,3 +247,60 @@ def test_tables_are_written_once(spark, tmp_path):
     files.write_table(spark.range(5), str(tmp_path / "t"), force=True)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5 and "Title" in files.report(df, "Title")
     assert files.settings('{"a": {"b": 2}}', {"a": {"b": 1, "c": 3}}) == {"a": {"b": 2, "c": 3}}
+
+
+@pytest.mark.parametrize("method", ["emd", "vmd", "ceemdan"])
+def test_what_does_not_come_apart_is_said_so(method):
+    t = np.arange(256) / 1000
+    for x in (np.ones(1), np.ones(10), np.sin(t[:63]), np.r_[np.nan, np.sin(t)]):
+        y, ok = denoise.run(method, x[None], 1000.0, "WGN", "")
+        assert not ok[0] and np.array_equal(y[0], x, equal_nan=True)
+    short = np.sin(2 * np.pi * 60 * t[:40])[None]
+    y, ok = denoise.run(method, short, 1000.0, "PLI", "", {method: {"fallback": "hp"}})
+    assert not ok[0] and not np.array_equal(y, short)  # filtered instead
+    y, ok = denoise.run(method, np.zeros((1, 256)), 1000.0, "Color", "")
+    assert np.isfinite(y).all()
+
+
+def test_colour_is_filtered_before_it_comes_apart():
+    t = np.arange(1000) / 1000
+    slow = np.sin(2 * np.pi * 3 * t)[None]
+    y, ok = denoise.run("emd", slow, 1000.0, "Color", "")
+    assert ok[0] and (y**2).sum() < 0.05 * (slow**2).sum()
+
+
+def test_modes_of_vmd_keep_their_drift_under_beats():
+    t = np.arange(512) / 1000
+    x = (np.sin(2 * np.pi * 4 * t) + 0.5 * np.sin(2 * np.pi * 90 * t))[None]
+    kept, gone = (denoise.run("vmd", x, 1000.0, kinds, "", {"vmd": {"modes": 4}})[0] for kinds in ("ECG+BW", "BW"))
+    assert (kept**2).sum() > 1.5 * (gone**2).sum()
+
+
+def test_pairs_leave_nulls_alone(spark):
+    rows = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 1), (None, None)], "a int, b int")
+    assert lookups.without_pairs(rows, [(1, 1)], "a", "b").count() == 4
+
+
+def test_folds_are_dealt_evenly_and_keep_every_row(spark):
+    rows = spark.createDataFrame([(k, None if k % 50 == 0 else k % 7 // 3) for k in range(1000)], "id bigint, label int")
+    got = splitting.stratified_folds(rows, "id", "label", 3)
+    assert got.columns == ["id", "label", "fold"] and got.count() == 1000
+    for r in got.groupBy("label").pivot("fold", [0, 1, 2]).count().collect():
+        assert max(r[1:]) - min(r[1:]) <= 1
+
+
+def test_numbers_by_appearance_have_no_gaps(spark):
+    rows = spark.createDataFrame([(f"k{k * 7 % 900}", k) for k in range(2000)], "key string, at bigint")
+    got = {r["key"]: (r["first"], r["index"]) for r in sequences.numbered_by_appearance(rows, "key", "at").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1][0])] == [k for k, _ in sorted(got.items(), key=lambda x: x[1][1])]
+    assert sorted(i for _, i in got.values()) == list(range(900))
+    assert sequences.numbered_by_appearance(rows.limit(0), "key", "at").count() == 0
+
+
+def test_a_sweep_tries_every_candidate_once(spark):
+    rows = noisy(spark, ["MOA"]).where("noisy IS NOT NULL")
+    both = {r["candidate"]: r["gain"] for r in calibrate.sweep(rows, "highpass", [5.0, 100.0], 1000.0).collect()}
+    for value, gain in both.items():
+        alone = calibrate.sweep(rows, "highpass", [value], 1000.0).first()
+        assert alone["gain"] == pytest.approx(gain) and alone["best"]
+    assert [r["gain"] for r in calibrate.sweep(rows.limit(0), "highpass", [5.0], 1000.0).collect()] == [-999.0]
