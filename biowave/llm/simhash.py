@@ -198,10 +198,11 @@ def block_chance(count: int, size: int, similarity: float, lanes: int = LANES) -
     The bits of a block are drawn without replacement, and all blocks of a pair see the same distance, which is binomial.
     """
     p, bits = _differs(similarity), 64 * lanes
-    return sum(
-        math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - (1 - math.comb(bits - d, size) / math.comb(bits, size)) ** count)
-        for d in range(bits + 1)
-    )
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, bits + 1)))])
+    d = np.arange(bits - size + 1)  # with more bits apart no block is free of them
+    chance = np.exp(log_factorial[bits] - log_factorial[d] - log_factorial[bits - d] + d * math.log(p) + (bits - d) * math.log(1 - p))
+    free = np.exp(log_factorial[bits - d] - log_factorial[bits - d - size] - log_factorial[bits] + log_factorial[bits - size])
+    return float((chance * (1 - (1 - free) ** count)).sum())
 
 
 def sampled_blocks(n: int, similarity: float, lanes: int = LANES, recall: float = RECALL) -> np.ndarray:
