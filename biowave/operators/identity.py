@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,14 @@ def class_of(exercise: Column, movement: Column) -> Column:
 def best_match(name: Column, trial: Column) -> Column:
     """Whether a file name holds the trial's number with no digit beside it."""
     return F.regexp_like(name, F.concat(F.lit(r"(^|\D)"), trial.cast("string"), F.lit(r"(\D|$)")))
+
+
+def label_files(files: DataFrame, trials: DataFrame) -> DataFrame:
+    """(subject, trial, name): of a subject's files (subject, name) whose names hold the trial's number, the one with the smallest last number.
+
+    A name is met by each of the numbers in it, so subject and number are the join's key; ties go by name, and trials without a file give no row.
+    """
+    numbers = F.regexp_extract_all("name", F.lit(r"(\d+)"), F.lit(1))
+    held = files.select("subject", "name", numbers.alias("_n")).select("subject", "name", F.element_at("_n", -1).cast("decimal(38,0)").alias("_last"), F.explode(F.array_distinct("_n")).alias("_held"))
+    met = trials.select("subject", "trial", F.col("trial").cast("string").alias("_held")).join(held, ["subject", "_held"])
+    return met.groupBy("subject", "trial").agg(F.min_by("name", F.struct("_last", "name")).alias("name"))

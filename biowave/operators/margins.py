@@ -32,3 +32,12 @@ def pivoted(rows: DataFrame, key: str, across: str, values: list[str], value: st
     cubed = cube_summary(rows, [key, across], value)
     wide = cubed.groupBy(key).pivot(across, [*values, "Avg"]).agg(F.first("mean"))
     return wide.select(key, *[F.col(f"`{v}`").alias(f"{prefix}{v}" if v != "Avg" else "avg") for v in values], F.col("Avg").alias("avg"))
+
+
+def label_table(rows: DataFrame, label: str, metrics: list[str], order: tuple[str, ...]) -> DataFrame:
+    """Mean, spread and number of every metric by label, with each label's place: that in `order`, the others after it."""
+    named = {"mean": 0, "std": 1, "n": 2}
+    parts = [summary(f"_{m}")[k].alias(f"{m}_{s}") for m in metrics for s, k in named.items()]
+    whole = rows.select(label, *[F.when(finite(F.col(m)), F.col(m)).alias(f"_{m}") for m in metrics]).groupBy(label).agg(*parts)
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(label)).cast("int")
+    return whole.withColumn("place", F.when(at > 0, at).otherwise(len(order) + 1))
