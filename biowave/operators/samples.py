@@ -43,12 +43,12 @@ def mixed_samples(segments: DataFrame, jobs: DataFrame, library: DataFrame, size
     """Each job's segment with k kinds of noise: seg, snr, k, noise_types, noise_paths, scalars, wgn_capped, clean, noisy.
 
     segments are (seg, clean) of `size` samples, jobs (seg, snr, k, allowed) distinct by their first three columns, and
-    items of a type are numbered from 0 without gaps. Types, items and places come from hashes of the job's key; k is at most the number of
-    allowed types. A segment without power comes back as it is, with scalars of 0 and no paths. Jobs of segments that are
+    items of a type are numbered from 0 without gaps. Types, items and places come from hashes of the job's key; where k is more than the
+    types allowed, all of them are mixed. A segment without power comes back as it is, with scalars of 0 and no paths. Jobs of segments that are
     not there give no row.
     """
     key = ["seg", "snr", "k"]
-    few = jobs.withColumn("k", F.least("k", F.size("allowed"))).withColumn("types", mixing.chosen(F.col("allowed"), F.col("k"), *[F.col(c) for c in key]))
+    few = jobs.withColumn("types", mixing.chosen(F.col("allowed"), F.col("k"), *[F.col(c) for c in key]))
     number = lambda salt: key_number(*[F.col(c) for c in key], F.col("noise_type"), salt=salt)
     # a row a type, of which there are five
     counts = library.where(F.col("noise_type").isin(*mixing.NOISE_TYPES)).groupBy("noise_type").agg((F.max("idx") + 1).alias("_items"))
@@ -62,7 +62,7 @@ def mixed_samples(segments: DataFrame, jobs: DataFrame, library: DataFrame, size
 
     types = F.transform("_parts", lambda p: p["noise_type"])
     has_wgn = F.array_contains(types, "WGN")
-    power, snr, k = F.col("_power"), F.col("snr").cast("double"), F.col("k")
+    power, snr, k = F.col("_power"), F.col("snr").cast("double"), F.size("_parts")
 
     def factor(part: Column) -> Column:
         target = mixing.component_power(power, snr, k, has_wgn, part["noise_type"] == "WGN")

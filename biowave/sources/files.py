@@ -143,24 +143,33 @@ def parse_212(data: bytes, channels: int, first: int, n: int) -> np.ndarray:
     return v[: len(v) // channels * channels].reshape(-1, channels)
 
 
-def read_wfdb(spark: SparkSession, path: str, slices: DataFrame) -> DataFrame:
-    """(record, start, signal) of slices (record, start, n): the first channel of format-212 records, in physical units."""
-    heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.hea").load(path).select(F.regexp_extract("path", r"([^/]+)\.hea$", 1).alias("record"), F.col("content").alias("head"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dat").load(path).select(F.regexp_extract("path", r"([^/]+)\.dat$", 1).alias("record"), F.col("content").alias("data"))
+def read_wfdb(spark: SparkSession, path: str, slices: DataFrame, together: int = 256) -> DataFrame:
+    """(record, start, signal) of slices (record, start, n): the first channel of format-212 records, in physical units.
+
+    A record's slices are taken together, up to about `together` in a row, so that its bytes are moved and read once for them all.
+    Slices of records that are not there give no row.
+    """
+
+    def of(pattern: str, name: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{pattern}").load(path)
+        return found.select(F.regexp_extract("path", rf"([^/]+)\.{pattern}$", 1).alias("record"), F.col("content").alias(name))
+
+    sizes = slices.groupBy("record").agg(F.ceil(F.count(F.lit(1)) / together).alias("_parts"))
+    dealt = slices.join(sizes, "record").withColumn("_part", F.pmod(F.xxhash64("start", "n"), "_parts"))
+    plan = dealt.groupBy("record", "_part").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("slices")).drop("_part")
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
             for r in part.itertuples():
                 lines = [x for x in r.head.decode("latin1").splitlines() if x and not x.startswith("#")]
                 channels, spec = int(lines[0].split()[1]), lines[1].split()
                 gain = float(spec[2].split("(")[0].split("/")[0]) or 200.0 if len(spec) > 2 else 200.0
                 zero = float(spec[4]) if len(spec) > 4 else 0.0
-                out.append((r.record, r.start, (parse_212(r.data, channels, int(r.start), int(r.n))[:, 0] - zero) / gain))
-            yield pd.DataFrame(out, columns=["record", "start", "signal"])
+                out = [(r.record, s["start"], (parse_212(r.data, channels, int(s["start"]), int(s["n"]))[:, 0] - zero) / gain) for s in r.slices]
+                yield pd.DataFrame(out, columns=["record", "start", "signal"])
 
-    # a record's header and data meet its slices; the plan of slices is what grows
-    return slices.join(heads, "record").join(files, "record").select("record", "start", "n", "head", "data").mapInPandas(batch, "record string, start bigint, signal array<double>")
+    met = plan.join(of("hea", "head"), "record").join(of("dat", "data"), "record").select("record", "slices", "head", "data")
+    return met.mapInPandas(batch, "record string, start bigint, signal array<double>")
 
 
 def read_positional_csv(spark: SparkSession, path: str, columns: dict[int, str]) -> DataFrame:
@@ -169,6 +178,68 @@ def read_positional_csv(spark: SparkSession, path: str, columns: dict[int, str])
     return df.toDF(*[f"_{k}" for k in range(len(df.columns))]).select(*[F.col(f"_{k}").try_cast("double").alias(name) for k, name in columns.items()])
 
 
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of schema, by name, from CSV manifests with a header; columns that a manifest lacks are null, others are left out.
+
+    Nothing is read to find types out. A cell that is not of its column's type is null.
+    """
+    names = spark.read.option("header", "true").csv(path).columns
+    whole = spark.createDataFrame([], schema).schema
+    kinds = {f.name: f.dataType.simpleString() for f in whole}
+    rows = spark.read.schema(", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)).option("header", "true").option("enforceSchema", "true").csv(path)
+    return rows.select(*[F.col(f"`{n}`") if n in names else F.lit(None).cast(k).alias(n) for n, k in kinds.items()])
+
+
+def write_conditions(samples: DataFrame, path: str, force: bool = False) -> None:
+    """Mixed samples by condition, a folder for each snr and k, and their metadata without arrays as CSV."""
+    write_table(samples, f"{path}/samples", ["snr", "k"], force)
+    arrays = {f.name for f in samples.schema if f.dataType.typeName() == "array"}
+    write_table(samples.select(*[c for c in samples.columns if c not in arrays]), f"{path}/metadata", None, force, "csv")
+
+
+def write_results(rows: DataFrame, path: str, by: list[str], digits: int = 10, force: bool = False) -> None:
+    """A result table as CSV, a folder for each combination of `by` (metric, dataset, noise type); doubles have `digits` significant digits."""
+    shown = [F.format_string(f"%.{digits}g", c).alias(c) if k in ("double", "float") else F.col(c) for c, k in rows.dtypes]
+    write_table(rows.select(*shown), path, by, force, "csv")
+
+
+def mat_bytes(arrays: dict[str, np.ndarray]) -> bytes:
+    """A level 5 MAT-file of real numeric matrices: what parse_mat reads."""
+    numbers = {np.dtype("<" + v): k for k, v in MAT_TYPES.items()}
+    classes = {"f8": 6, "f4": 7, "i1": 8, "u1": 9, "i2": 10, "u2": 11, "i4": 12, "u4": 13, "i8": 14, "u8": 15}  # fixed values of the format
+
+    def element(kind: int, body: bytes) -> bytes:
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    for name, v in arrays.items():
+        m = np.atleast_2d(np.asarray(v))
+        m = m.astype(m.dtype.newbyteorder("<"))
+        head = element(6, struct.pack("<II", classes[m.dtype.str[1:]], 0)) + element(5, np.array(m.shape, "<i4").tobytes()) + element(1, name.encode("latin1"))
+        out += element(14, head + element(numbers[m.dtype], m.tobytes(order="F")))
+    return out
+
+
+def with_denoised(data: bytes, denoised: np.ndarray, rate: float) -> bytes:
+    """A MAT-file's matrices with the denoised signals, samples in rows, and their rate beside them."""
+    return mat_bytes(parse_mat(data) | {"preprocessed_emg": np.asarray(denoised, "<f4"), "fs_preprocessed": np.array([[float(rate)]])})
+
+
+def write_mat(spark: SparkSession, path: str, denoised: DataFrame, rate: float, out: str, force: bool = False) -> None:
+    """MAT-files below path that have denoised channels (path, signals array<array<double>>), each with its own matrices and the new ones.
+
+    The files are rows (path, content) of a Parquet table: each task writes its own, and a lost one is written again.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mat").load(path).select("path", "content")
+
+    def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            content = [with_denoised(c, np.stack(s).T, rate) for c, s in zip(part["content"], part["signals"], strict=True)]
+            yield pd.DataFrame({"path": part["path"], "content": content})
+
+    write_table(files.join(denoised.select("path", "signals"), "path").mapInPandas(batch, "path string, content binary"), out, force=force)
+
+
 def latest(spark: SparkSession, path: str, pattern: str) -> str | None:
     """The file with the newest modification time, the last by name of equals."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "modificationTime")
@@ -190,9 +261,13 @@ def report(df: DataFrame, title: str, most: int = 200) -> str:
 
 
 def settings(text: str, defaults: dict | None = None) -> dict:
-    """Configuration from JSON over defaults; nested parts are merged."""
+    """Configuration from YAML, of which JSON is a part, over defaults; nested parts are merged. Without a YAML reader only JSON is read."""
 
     def merge(a: dict, b: dict) -> dict:
         return a | {k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
 
-    return merge(defaults or {}, json.loads(text))
+    try:
+        import yaml
+    except ImportError:
+        return merge(defaults or {}, json.loads(text))
+    return merge(defaults or {}, yaml.safe_load(text) or {})

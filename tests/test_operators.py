@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from biowave.functions import arrays as A
+from biowave.functions import kernels as K
 from biowave.functions import metrics as M
 from biowave.operators import calibrate, denoise, grading, identity, lookups, margins, mixing, noise_library, scoring, sequences, splitting
 from biowave.sources import files
@@ -234,6 +235,9 @@ def test_npy_wfdb_and_csv(spark, tmp_path):
     (tmp_path / "16265.dat").write_bytes(raw)
     got = one(files.read_wfdb(spark, str(tmp_path), spark.createDataFrame([("16265", 1, 2)], "record string, start bigint, n bigint")))
     assert got["signal"] == [2047 / 200, 5 / 200]
+    many = spark.createDataFrame([("16265", k % 3, 1) for k in range(6)] + [("none", 0, 1)], "record string, start bigint, n bigint")
+    rows = files.read_wfdb(spark, str(tmp_path), many, together=2).collect()
+    assert sorted((r["start"], *r["signal"]) for r in rows) == sorted((k, v / 200) for k, v in enumerate([100, 2047, 5]) for _ in range(2))
     (tmp_path / "e.csv").write_text("t,a,b\n0,1.5,x\n1,2.5,3\n")
     assert [tuple(r) for r in files.read_positional_csv(spark, str(tmp_path / "e.csv"), {1: "u", 2: "v"}).collect()] == [(1.5, None), (2.5, 3.0)]
     assert files.latest(spark, str(tmp_path), "*.csv").endswith("e.csv")
@@ -304,3 +308,74 @@ def test_a_sweep_tries_every_candidate_once(spark):
         alone = calibrate.sweep(rows, "highpass", [value], 1000.0).first()
         assert alone["gain"] == pytest.approx(gain) and alone["best"]
     assert [r["gain"] for r in calibrate.sweep(rows.limit(0), "highpass", [5.0], 1000.0).collect()] == [-999.0]
+
+
+def test_manifest_conditions_results_and_yaml(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("name,extra,n\na,x,1\nb,y,no\n")
+    got = files.read_manifest(spark, str(tmp_path / "m.csv"), "n int, name string, missing double").collect()
+    assert [tuple(r) for r in got] == [(1, "a", None), (None, "b", None)]
+    df = spark.createDataFrame([(1, -5, 1, [1.0, 2.0], 1 / 3), (2, 0, 2, [3.0, 4.0], 2.0)], "seg bigint, snr int, k int, noisy array<double>, v double")
+    files.write_conditions(df, str(tmp_path / "c"))
+    assert (tmp_path / "c" / "samples" / "snr=-5" / "k=1").is_dir() and spark.read.parquet(str(tmp_path / "c" / "samples")).count() == 2
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c" / "metadata")).columns == ["seg", "snr", "k", "v"]
+    files.write_results(df.drop("noisy"), str(tmp_path / "r"), ["snr"])
+    assert spark.read.option("header", "true").csv(str(tmp_path / "r")).where("snr = -5").first()["v"] == "0.3333333333"
+    assert files.settings("a:\n  b: 2\n", {"a": {"b": 1, "c": 3}}) == {"a": {"b": 2, "c": 3}} and files.settings("", {"a": 1}) == {"a": 1}
+
+
+def test_mat_files_keep_their_matrices(spark, tmp_path):
+    arrays = {"emg": np.arange(12.0).reshape(6, 2), "stimulus": np.arange(6, dtype=np.int16)[:, None], "u": np.array([[1, 2]], np.uint8)}
+    (tmp_path / "a.mat").write_bytes(files.mat_bytes(arrays))
+    assert all(np.array_equal(v, arrays[k]) for k, v in files.parse_mat(files.mat_bytes(arrays)).items())
+    r = one(files.read_mat(spark, str(tmp_path)))
+    assert r["emg"] == arrays["emg"].T.tolist() and r["stimulus"] == list(range(6)) and r["error"] is None
+    denoised = spark.createDataFrame([(r["path"], [[0.5] * 3, [1.5] * 3])], "path string, signals array<array<double>>")
+    files.write_mat(spark, str(tmp_path), denoised, 1000.0, str(tmp_path / "out"))
+    again = files.parse_mat(bytes(spark.read.parquet(str(tmp_path / "out")).first()["content"]))
+    assert set(again) == {*arrays, "preprocessed_emg", "fs_preprocessed"} and again["preprocessed_emg"].shape == (3, 2) and again["fs_preprocessed"] == 1000
+
+
+def test_mixed_samples_of_odd_segments_and_items(spark):
+    from biowave.operators import samples
+
+    rng = np.random.default_rng(3)
+    items = [(t, 0, f"{t}/0", rng.standard_normal(n).tolist()) for t, n in (("PLI", 3), ("WGN", 8), ("ECG", 9), ("MOA", 100), ("Color", 17))]
+    library = spark.createDataFrame([*items, ("PLI", 1, "PLI/1", [1.0, -1.0]), ("other", 0, "o", [1.0])], "noise_type string, idx int, path string, signal array<double>")
+    clean = {1: rng.standard_normal(8), 2: np.zeros(8), 3: rng.standard_normal(8)}
+    segments = spark.createDataFrame([(k, v.tolist()) for k, v in clean.items()], "seg bigint, clean array<double>")
+    got = samples.mixed_samples(segments, samples.grid_jobs(segments, (-15, 0), 5, for_all_k=True), library, 8).collect()
+    assert len(got) == 3 * 2 * 5
+    by_path = {p: np.array(v) for _, _, p, v in items} | {"PLI/1": np.array([1.0, -1.0])}
+    for r in got:
+        kinds, noise = r["noise_types"].split("+"), np.array(r["noisy"]) - clean[r["seg"]]
+        assert len(set(kinds)) == len(kinds) == min(r["k"], 4 if r["snr"] == -15 else 5) and not (r["snr"] == -15 and "WGN" in kinds)
+        if r["seg"] == 2:
+            assert r["noise_paths"] == "" and not any(r["scalars"]) and not noise.any() and not r["wgn_capped"]
+            continue
+        if r["k"] == 1:  # a window of the item, scaled to the SNR
+            item = by_path[r["noise_paths"]]
+            fits = [np.resize(np.roll(item, -s), 8) for s in range(len(item))]
+            assert any(np.allclose(noise, f * r["scalars"][0]) for f in fits)
+            assert np.isclose(10 * np.log10((clean[r["seg"]] ** 2).sum() / (noise**2).sum()), r["snr"])
+    assert samples.mixed_samples(segments.limit(0), samples.grid_jobs(segments), library, 8).count() == 0
+
+
+def test_raw_gesture_chain_is_the_composition(spark):
+    from biowave.operators import gesture
+
+    x = np.random.default_rng(5).standard_normal((2, 300))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "s array<double>").select(gesture.from_raw(F.col("s"), 200, 100, 8.0, 40.0).alias("x"))
+    got = df.select("x", gesture.sampled(F.col("x"), 10).alias("y")).collect()
+    y = K.resample(K.band_pass(x, 200, 8.0, 40.0), 200, 100)
+    for r, v in zip(got, y, strict=True):
+        want = (v - v.min()) / (v.max() - v.min())
+        assert np.allclose(r["x"], want) and np.allclose(r["y"], want[: len(want) // 10 * 10].reshape(-1, 10).max(axis=1))
+
+
+def test_label_files_by_whole_numbers(spark):
+    from biowave.operators import identity
+
+    names = ["trial_1_v20.csv", "trial_1_v3.csv", "trial_11.csv", "t1b1.csv", "none.csv", None]
+    files_ = spark.createDataFrame([(7, n) for n in names], "subject int, name string")
+    got = identity.label_files(files_, spark.createDataFrame([(7, 1), (7, 11), (7, 2), (8, 1)], "subject int, trial int")).collect()
+    assert {(r["trial"], r["name"]) for r in got} == {(1, "t1b1.csv"), (11, "trial_11.csv")}
