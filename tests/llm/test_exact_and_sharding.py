@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from biowave.llm import exact_dedup, sharding
 
@@ -79,8 +80,52 @@ def check_shards(rows, docs, shards):
     return {k: sum(r["size"] for r in part) for k, part in by.items()}
 
 
+def signed(data, seed=42):
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_shards(docs, shards, slack=0.01):
+    """Shards by one running sum over all rows in key order, without ranges or splitters."""
+    rows = []
+    for d in docs:
+        i, t = d["doc_id"], (d["text"] or "").encode()
+        rows.append((signed(t), 42 if i is None else signed(i.to_bytes(8, "little")), -1 if i is None else i, len(t) + 16, zlib.crc32(t)))
+    rows.sort()
+    share, group, ends, run = sum(r[3] for r in rows) / shards, defaultdict(int), {}, 0
+    for r in rows:
+        group[r[0]] += r[3]
+        run += r[3]
+        ends[r[0]] = run
+    out, run, first = [], 0, {}
+    for at, (key, _, i, size, crc) in enumerate(rows):
+        run += size
+        middle = ends[key] - group[key] / 2 if group[key] <= slack * share else run - size / 2
+        k = min(int(middle // share), shards - 1)
+        out.append((i, size, crc, k, at - first.setdefault(k, at)))
+    return sorted(out)
+
+
+def plain_columns(rows):
+    return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows)
+
+
 def test_shards_of_messy_rows(messy):
-    check_shards(sharding.shard(messy, shards=3).collect(), messy.collect(), 3)
+    rows = sharding.shard(messy, shards=3).collect()
+    check_shards(rows, messy.collect(), 3)
+    assert plain_columns(rows) == plain_shards(messy.collect(), 3)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_shards_by_splitters_match_brute_force(spark, sf_dir, partitions):
+    from pyspark.sql import functions as F
+
+    # groups of one to four equal texts, over enough rows for splitters, and the driver's own documents
+    text = F.repeat(F.concat(F.lit("t"), F.floor(F.col("id") / (1 + F.col("id") % 4)).cast("string")), (1 + F.col("id") % 9).cast("int"))
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(partitions)
+    assert plain_columns(sharding.shard(df, shards=10).collect()) == plain_shards(df.collect(), 10)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert plain_columns(sharding.shard(docs).collect()) == plain_shards(docs.collect(), 40)
 
 
 def test_shards_are_even_with_a_hot_text(spark):

@@ -115,6 +115,42 @@ def test_mix_places_every_row_once(spark, messy):
     assert order == sorted(order, key=lambda x: x[0])
 
 
+def plain_mix(docs, size):
+    """Rows in the order of the mix: each slot goes to the released block with the earliest deadline, found by looking at all sources."""
+    import xxhash
+
+    def place(i):
+        h = xxhash.xxh64_intdigest(b"mix", xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42))
+        return (h - (1 << 64) if h >> 63 else h), i
+
+    ids = defaultdict(list)
+    for d in docs:
+        ids[d["source"] or ""].append(d["doc_id"])
+    ids = {s: sorted(v, key=place) for s, v in ids.items()}
+    blocks = {s: [v[k : k + size] for k in range(0, len(v), size)] for s, v in ids.items()}
+    weight = {s: Fraction(w, mixing.UNIT) for s, w in mixing.whole_weights({s: len(v) ** 0.5 for s, v in ids.items()}).items()}
+    out, done = [], dict.fromkeys(ids, 0)
+    for stop in (min(int(len(blocks[s]) / w) for s, w in weight.items()), None):
+        if stop is None:  # what is left, in proportion
+            left = {s: len(blocks[s]) - done[s] for s in ids if len(blocks[s]) > done[s]}
+            weight, stop = {s: Fraction(n, sum(left.values())) for s, n in left.items()}, sum(left.values())
+        here = dict.fromkeys(weight, 0)
+        for slot in range(stop):
+            released = [s for s, w in weight.items() if int(here[s] / w) <= slot]
+            s = min(released, key=lambda s: (-int(-(here[s] + 1) / weight[s] // 1), s))
+            out += blocks[s][done[s]]
+            here[s], done[s] = here[s] + 1, done[s] + 1
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 15, 40])
+def test_mix_matches_brute_force(spark, sf_dir, most):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    docs = docs.union(spark.range(1000, 1500).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.lit("hot"))))
+    rows = sorted(mixing.mix(docs, max_blocks=most).collect(), key=lambda r: r["position"])
+    assert [r["doc_id"] for r in rows] == plain_mix(docs.collect(), max(1, -(-docs.count() // most)))
+
+
 def test_mixed_order_keeps_rows(messy, empty):
     out = mixing.in_mixed_order(messy)
     assert out.columns == messy.columns and sorted(map(repr, out.collect())) == sorted(map(repr, messy.collect()))
