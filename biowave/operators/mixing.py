@@ -38,7 +38,7 @@ def chosen(types: Column, k: Column, *keys: Column) -> Column:
     """k of types, by hashes of the keys and the type, in the types' order."""
     ranked = F.array_sort(F.transform(types, lambda t: F.struct(key_number(*keys, t, salt="type").alias("h"), t.alias("t"))))
     picked = F.transform(F.slice(ranked, 1, k), lambda x: x["t"])
-    return F.filter(types, lambda t: F.array_contains(picked, t))
+    return A.let(picked, lambda some: F.filter(types, lambda t: F.array_contains(some, t)))
 
 
 def grid(segments: DataFrame, snrs=SNR_GRID, most: int = 5) -> DataFrame:

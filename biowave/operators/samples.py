@@ -60,15 +60,15 @@ def mixed_samples(segments: DataFrame, jobs: DataFrame, library: DataFrame, size
     met = met.select(*key, F.struct("at", "noise_type", "path", F.slice("stretch", F.col("_off") + 1, F.lit(size)).alias("noise")).alias("_part"))
     whole = met.groupBy(*key).agg(F.sort_array(F.collect_list("_part")).alias("_parts")).join(segments.select("seg", "clean"), "seg")
 
-    types = F.transform("_parts", lambda p: p["noise_type"])
-    has_wgn = F.array_contains(types, "WGN")
+    types, has_wgn = F.transform("_parts", lambda p: p["noise_type"]), F.col("_has_wgn")
     power, snr, k = F.col("_power"), F.col("snr").cast("double"), F.size("_parts")
 
     def factor(part: Column) -> Column:
         target = mixing.component_power(power, snr, k, has_wgn, part["noise_type"] == "WGN")
         return A.let(A.power(part["noise"]), lambda own: F.when((own > mixing.TINY) & (power >= mixing.TINY), F.sqrt(target / own)).otherwise(0.0))
 
-    scaled = whole.withColumn("_power", A.power(F.col("clean"))).withColumn("scalars", F.transform("_parts", factor))
+    whole = whole.withColumn("_power", A.power(F.col("clean"))).withColumn("_has_wgn", F.array_contains(types, "WGN"))
+    scaled = whole.withColumn("scalars", F.transform("_parts", factor))
     pairs = F.arrays_zip("_parts", "scalars")
     noisy = F.aggregate(pairs, F.col("clean"), lambda s, p: F.zip_with(s, p["_parts"]["noise"], lambda a, b: a + b * p["scalars"]))
     paths = F.when(power >= mixing.TINY, F.array_join(F.transform("_parts", lambda p: p["path"]), "|")).otherwise("")
