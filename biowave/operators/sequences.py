@@ -60,14 +60,26 @@ def tumbling(track: DataFrame, size: int) -> DataFrame:
     return features
 
 
+def _in_windows(track: DataFrame, size: int, step: int) -> DataFrame:
+    """Each sample once for every window that holds it, with the window's start."""
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / step)).cast("int")
+    last = F.floor(F.col("i") / step).cast("int")
+    return track.withColumn("_k", F.explode(F.sequence(first, last))).withColumn("start", F.col("_k") * step)
+
+
+def sliding_waveforms(track: DataFrame, size: int, step: int) -> DataFrame:
+    """The windows of `sliding` as arrays of their samples (rec, start, label, signal), for models that take the signal itself."""
+    cut = _in_windows(track, size, step).groupBy("rec", "start").agg(F.array_sort(F.collect_list(F.struct("i", "x", "label"))).alias("_w"))
+    whole = cut.where((F.size("_w") == size) & (F.col("_w")[0]["label"] == F.col("_w")[size - 1]["label"]))
+    return whole.select("rec", "start", F.col("_w")[size // 2]["label"].alias("label"), F.transform("_w", lambda v: v["x"]).alias("signal"))
+
+
 def sliding(track: DataFrame, size: int, step: int) -> DataFrame:
     """Windows of `size` samples every `step`, whose label is the one at their middle; those whose ends' labels differ are skipped.
 
     A sample is copied to the windows that hold it, size / step of them, so a long recording is many groups.
     """
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / step)).cast("int")
-    last = F.floor(F.col("i") / step).cast("int")
-    put = track.withColumn("_k", F.explode(F.sequence(first, last))).withColumn("start", F.col("_k") * step)
+    put = _in_windows(track, size, step)
     at = lambda k: F.max(F.when(F.col("i") == F.col("start") + k, F.col("label")))
     order = Window.partitionBy("rec", "start").orderBy("i")
     put = put.withColumn("_d", F.abs(F.col("x") - F.lag("x").over(order)))

@@ -34,6 +34,13 @@ def sliding_boundary_skip(spark, sf):
     return S.sliding(signals(spark, sf), 8, 4).select("rec", "start", "label", r("mav"), r("wl"), r("rms"))
 
 
+def sliding_waveforms(spark, sf):
+    """Windows as arrays: their ends and total tell them apart."""
+    w = S.sliding_waveforms(signals(spark, sf), 8, 4).withColumn("total", F.aggregate("signal", F.lit(0.0), lambda a, v: a + v))
+    w = w.withColumn("first", F.col("signal")[0]).withColumn("last", F.col("signal")[7])
+    return w.select("rec", "start", "label", r("first"), r("last"), r("total"))
+
+
 def zero_cross_rate(spark, sf):
     return S.crossings(signals(spark, sf), F.round(F.col("x") - 50.0, 2))
 
@@ -69,7 +76,7 @@ def subject_reindex(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    trial_islands, rest_active_snr, stimulus_sessions, tumbling_features, sliding_boundary_skip, zero_cross_rate, delta_features,
+    trial_islands, rest_active_snr, stimulus_sessions, tumbling_features, sliding_boundary_skip, sliding_waveforms, zero_cross_rate, delta_features,
     nearest_label_align, label_resample_nn, burst_peaks, rest_normalised, subject_reindex,
 )}
 
@@ -114,6 +121,13 @@ ORACLE_SQL = {
                    max(CASE WHEN i = start + 7 THEN label END) AS z, round(avg(abs(x)), 6) AS mav, round(sum(d), 6) AS wl, round(sqrt(avg(x * x)), 6) AS rms
             FROM w GROUP BY rec, start)
         SELECT rec, start, label, mav, wl, rms FROM f WHERE n = 8 AND a = z""",
+    "sliding_waveforms": f"""WITH {SIGNALS_SQL},
+        w AS (SELECT rec, i - (i // 4 - b) * 4 AS j, (i // 4 - b) * 4 AS start, x, label FROM sig, range(0, 2) o(b) WHERE i // 4 >= b),
+        f AS (
+            SELECT rec, start, count(*) AS n, max(label) FILTER (WHERE j = 0) AS a, max(label) FILTER (WHERE j = 4) AS label, max(label) FILTER (WHERE j = 7) AS z,
+                   max(x) FILTER (WHERE j = 0) AS first, max(x) FILTER (WHERE j = 7) AS last, sum(x) AS total
+            FROM w GROUP BY rec, start)
+        SELECT rec, start, label, round(first, 6) AS first, round(last, 6) AS last, round(total, 6) AS total FROM f WHERE n = 8 AND a = z""",
     "zero_cross_rate": f"""WITH {SIGNALS_SQL},
         v AS (SELECT rec, i, round(x - 50.0, 2) AS v FROM sig),
         p AS (SELECT *, lag(v) OVER (PARTITION BY rec ORDER BY i) AS b FROM v)
