@@ -15,7 +15,6 @@ so no word, pair or passage fills a bucket. Each block's texts are then walked f
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count as counter
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 
 from biowave.llm.common import checkpointed, materialize
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK_CHARS = 8_000_000  # of a block's texts, about
 BUCKET_KEYS = 1_000_000  # keys that one bucket gets, about
 TASK_BYTES = 2 * BLOCK_CHARS  # of the texts that one task scores, about
@@ -96,7 +94,7 @@ def encoded(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         ids, kept, train, chars = [], [], [], 0
         for part in parts:
             for doc, text, learn in zip(part["_id"].array, part["_text"], part["_train"], strict=True):
-                words = WORD.findall((text or "").encode("utf-8").lower())
+                words = (text or "").encode("utf-8").lower().split()  # at the six ASCII blanks, as bytes do
                 ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
                 kept.append(None if pd.isna(doc) else int(doc))
                 train.append(bool(learn))
@@ -226,16 +224,15 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("block", kind="stable")
     each = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in group["keys"]]
     keys, n = np.concatenate(each), np.concatenate([_unpacked(x) for x in group["counts"]]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sums = np.add.reduceat(n, new)
-    first = np.minimum.reduceat(np.where(n > 0, np.arange(len(n)), len(n)), new)
+    first = np.minimum.reduceat(np.where(n > 0, order, len(n)), new)  # rows come by block, whatever the order of equal keys is
     blocks = np.diff(np.r_[new, len(n)])
-    answer = np.repeat(4 * sums + 2 * (blocks == 1), blocks)
-    answer[first[first < len(n)]] += 1
-    out = np.empty_like(answer)
-    out[order] = answer
+    out = np.empty_like(n)
+    out[order] = np.repeat(4 * sums + 2 * (blocks == 1), blocks)
+    out[first[first < len(n)]] += 1
     cut = np.cumsum([len(x) for x in each])[:-1]
     of_words = sums[(keys[new] != START) & (keys[new] != END)]
     kinds = [int(((of_words == k) if k else (of_words > 0)).sum()) for k in range(3)]
@@ -283,16 +280,18 @@ def _walked(order: int, figures: dict[str, float]):
         for row in blocks.itertuples():
             grams = Grams(row, order)
             known = Known(grams, said, order, order - 1)
-            c = known.n[1][grams.at[1]]
+            c, word = known.n[1], grams.at[1]
             base = np.log10((c + 1) / (total + kinds + 1))
             # the root's arcs; what it has no arc for shares the discounts of all words
-            p = np.where(c > 0, (c - discount) / max(total, 1), discount * kinds / total if total else 1.0)
+            p = np.where(c > 0, (c - discount) / max(total, 1), discount * kinds / total if total else 1.0)[word]
             for k in range(2, order + 1):
-                place, history = grams.place[k], grams.history[k]
-                of = known.n[k - 1][history]
-                own = np.maximum(known.n[k][grams.at[k]] - DISCOUNT, 0) + DISCOUNT * known.types[k - 1][history] * p[place]
-                p[place] = np.where(of > 0, own / np.maximum(of, 1), p[place])
-            sums = [np.bincount(grams.text, x, grams.texts) for x in (c > 0, base, np.log10(p))]
+                # by state: what its arcs' counts are divided by, and the weight of its failure arc
+                of, place, history = known.n[k - 1], grams.place[k], grams.history[k]
+                share = 1 / np.maximum(of, 1)
+                fail = np.where(of > 0, DISCOUNT * known.types[k - 1] * share, 1.0)
+                arcs = np.maximum(known.n[k] - DISCOUNT, 0)
+                p[place] = arcs[grams.at[k]] * share[history] + fail[history] * p[place]
+            sums = [np.bincount(grams.text, x, grams.texts) for x in ((c > 0)[word], base[word], np.log10(p))]
             out.append(
                 pd.DataFrame({
                     "_id": pd.array(list(row.docs), "Int64"), "_train": np.asarray(row.train, bool),
