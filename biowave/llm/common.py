@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: for jobs whose result is written: shuffle files go at their end, instead of when the driver happens to collect garbage
+WRITTEN = {"classic__shuffleDependency__fileCleanup__enabled": "true"}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,11 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def _set(spark: SparkSession, **options: str) -> Iterator[None]:
+    """Session options (__ for each dot) for a while."""
+    names = {k: f"spark.sql.{k.replace('__', '.')}" for k in options}
+    before = {k: spark.conf.get(name) for k, name in names.items()}
+    try:
+        for k, value in options.items():
+            spark.conf.set(names[k], value)
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.set(names[k], value)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage is cut and a lost executor costs nothing."""
+    """Write df as Parquet in the shared folder and read it back: the lineage is cut and a lost executor costs nothing.
+
+    Nothing reads the shuffles of the job any more once the table is written, so their files go with its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/biowave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _set(spark, **WRITTEN):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,12 +62,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    with _set(spark, adaptive__enabled="false", **WRITTEN):
         return df.select("*").checkpoint()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def fresh(df: DataFrame, name: str) -> str:
