@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biowave.operators import scans
+
 EPS = 1e-12
 RANGES = 256  # by which all keys are numbered
 
 
 def islands(track: DataFrame, least: int = 2) -> DataFrame:
-    """Trials: maximal runs of labels above 0 with at least `least` samples. The gesture is the commonest label, the smallest of equals."""
-    order = Window.partitionBy("rec").orderBy("i")
-    runs = track.where("label > 0").withColumn("_run", F.col("i") - F.row_number().over(order))
-    found = runs.groupBy("rec", "_run").agg(
-        F.min("i").alias("trial_start"), F.max("i").alias("trial_end"), F.mode("label", True).alias("gesture"),
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("active_rms"),
+    """Trials: maximal runs of labels above 0 with at least `least` samples. The gesture is the commonest label, the smallest of equals.
+
+    Runs are followed over the seams of a recording's stretches, and trials numbered by them, so that a long recording is many tasks.
+    """
+    rows = scans.runs(scans.parted(track.where("label > 0")), "trial_start")
+    # labels are counted first: a run of any length is a row for each of its labels
+    kinds = rows.groupBy("rec", "trial_start", "label").agg(
+        F.max("i").alias("_last"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("x") * F.col("x")).alias("_squares"), F.count("x").alias("_known")
+    )
+    found = kinds.groupBy("rec", "trial_start").agg(
+        F.max("_last").alias("trial_end"), F.max_by("label", F.struct("_n", -F.col("label"))).alias("gesture"), F.sum("_n").alias("n"),
+        F.sqrt(F.sum("_squares") / F.sum("_known")).alias("active_rms"),
     )
-    trials = found.where(F.col("n") >= least)
-    number = F.row_number().over(Window.partitionBy("rec").orderBy("trial_start")) - 1
-    return trials.withColumn("trial_id", number).drop("_run")
+    trials = scans.parted(scans.written(found.where(F.col("n") >= least)), "trial_start")
+    return scans.numbered(trials, ["trial_start"], "trial_id").drop("_part")
 
 
 def rest_levels(track: DataFrame) -> DataFrame:
@@ -37,9 +44,7 @@ def trial_snr(track: DataFrame, least: int = 2) -> DataFrame:
 
 def sessions(track: DataFrame, keep: list[int]) -> DataFrame:
     """Runs of one label, cut where it changes; those of the labels in keep."""
-    order = Window.partitionBy("rec").orderBy("i")
-    changed = F.when(F.col("label") != F.lag("label", 1).over(order), 1).otherwise(0)
-    numbered = track.withColumn("_changed", changed).withColumn("session", F.sum("_changed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = scans.changes(scans.parted(track), "label", "session")
     cut = numbered.groupBy("rec", "session", "label").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.sum("x").alias("total"))
     return cut.where(F.col("label").isin(keep))
 
@@ -92,35 +97,40 @@ def sliding(track: DataFrame, size: int, step: int) -> DataFrame:
 
 def crossings(track: DataFrame, value: Column) -> DataFrame:
     """Zero crossings of each recording by both rules: a change of sign, and a negative product of neighbours."""
-    order = Window.partitionBy("rec").orderBy("i")
-    pairs = track.withColumn("_v", value).withColumn("_b", F.lag("_v").over(order))
-    return pairs.groupBy("rec").agg(
-        F.count_if(F.signum("_v") != F.signum("_b")).alias("by_sign"), F.count_if(F.col("_v") * F.col("_b") < 0).alias("by_product")
-    )
+    rules = {"by_sign": F.signum("_v") != F.signum("_b"), "by_product": F.col("_v") * F.col("_b") < 0}
+    return scans.neighbour_counts(scans.parted(track.withColumn("_v", value)), "_v", rules, "_b")
 
 
 def relative_to_rest(track: DataFrame, size: int) -> DataFrame:
     """Window means over the mean of windows at rest (else of the first fifth), and their differences."""
     means = track.withColumn("w", F.floor(F.col("i") / size)).groupBy("rec", "w").agg(F.avg("x").alias("m"), F.max("label").alias("label"))
-    rec, order = Window.partitionBy("rec"), Window.partitionBy("rec").orderBy("w")
-    early = F.col("w") < F.greatest(F.floor(F.count(F.lit(1)).over(rec) / 5), F.lit(1))
-    base = F.coalesce(F.avg(F.when(F.col("label") == 0, F.col("m"))).over(rec), F.avg(F.when(F.col("_early"), F.col("m"))).over(rec))
-    ratio = means.withColumn("_early", early).withColumn("ratio", F.col("m") / base)
-    return ratio.withColumn("delta", F.col("ratio") - F.coalesce(F.lag("ratio").over(order), F.col("ratio"))).drop("_early")
+    means = scans.parted(scans.written(means), "w")
+    place = scans.numbered(means.select("rec", "w", "_part"), ["w"], "_place")
+    n = means.groupBy("rec").agg(F.count(F.lit(1)).alias("_n"))
+    # what a recording is measured by is one row; joins can split a long one
+    early = scans.beside(place, n).where(F.col("_place") < F.greatest(F.floor(F.col("_n") / 5), F.lit(1))).select(F.col("rec").alias("_er"), F.col("w").alias("_ew"), F.lit(True).alias("_early"))
+    base = means.join(early, (means["rec"].eqNullSafe(F.col("_er"))) & (means["w"] == F.col("_ew")), "left").groupBy("rec").agg(
+        F.coalesce(F.avg(F.when(F.col("label") == 0, F.col("m"))), F.avg(F.when(F.col("_early"), F.col("m")))).alias("_base")
+    )
+    ratio = scans.written(scans.beside(means, base).withColumn("ratio", F.col("m") / F.col("_base")).drop("_base"))
+    return scans.previous(ratio, "ratio", "_b", "w").withColumn("delta", F.col("ratio") - F.coalesce("_b", "ratio")).drop("_b", "_part")
 
 
 def align_nearest(samples: DataFrame, marks: DataFrame) -> DataFrame:
     """Each sample (rec, us, id) with the label of the nearest mark (rec, us, label); of equally near ones the later.
 
-    Both sides are one sorted stream, and two running windows carry the marks before and after to the samples.
+    Both sides are one sorted stream, cut into stretches of time; two running windows carry the marks before and after to the
+    samples, and those of other stretches come to it as copies.
     """
-    both = samples.select("rec", "us", "id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("bigint").alias("at")).unionByName(
-        marks.groupBy("rec", "us").agg(F.max("label").alias("label")).select("rec", "us", F.lit(None).cast("bigint").alias("id"), "label", F.col("us").alias("at"))
+    kinds = "struct<at:bigint,label:int>"
+    marked = marks.groupBy("rec", "us").agg(F.max("label").alias("label"))
+    both = samples.select("rec", "us", "id", F.lit(None).cast(kinds).alias("mark")).unionByName(
+        marked.select("rec", "us", F.lit(None).cast("bigint").alias("id"), F.struct(F.col("us").alias("at"), F.col("label").cast("int").alias("label")).alias("mark"))
     )
-    order = Window.partitionBy("rec").orderBy("us")
-    mark = F.when(F.col("at").isNotNull(), F.struct("at", "label"))
-    before = F.last(mark, True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    both = scans.with_nearest_marks(scans.parted_by_time(both, "us"), "mark", "us")
+    order = Window.partitionBy("rec", "_part").orderBy("us")
+    before = F.last("mark", True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("mark", True).over(order.rangeBetween(0, Window.unboundedFollowing))
     near = both.withColumn("_b", before).withColumn("_a", after).where("id IS NOT NULL")
     later = (F.col("_b").isNull()) | (F.col("_a.at") - F.col("us") <= F.col("us") - F.col("_b.at"))
     label = F.when(F.col("_a").isNotNull() & later, F.col("_a.label")).otherwise(F.col("_b.label"))
@@ -137,24 +147,25 @@ def resampled_labels(track: DataFrame, n_out: Column) -> DataFrame:
 
 def peaks_by_averages(track: DataFrame, slow: int, fast: int, least: int) -> DataFrame:
     """The largest sample of each run where a fast average of magnitudes tops a slow one for `least` samples and ends."""
-    order = Window.partitionBy("rec").orderBy("i")
+    near = scans.with_margins(scans.parted(track.select("rec", "i", "x")), slow // 2 + fast // 2)
+    order = Window.partitionBy("rec", "_part").orderBy("i")
     centred = lambda n: F.sum(F.abs("x")).over(order.rowsBetween(-(n // 2), n - n // 2 - 1)) / n
-    above = track.withColumn("_up", F.when(centred(slow) < centred(fast), 1).otherwise(0)).withColumn("_n", F.max("i").over(Window.partitionBy("rec")))
-    runs = above.where("_up = 1").withColumn("_run", F.col("i") - F.row_number().over(order))
-    found = runs.groupBy("rec", "_run").agg(
-        F.count(F.lit(1)).alias("n"), F.max("i").alias("_last"), F.first("_n").alias("_n"), F.max_by("i", F.struct("x", -F.col("i"))).alias("peak")
+    above = near.withColumn("_up", centred(slow) < centred(fast)).where("_own AND _up").drop("_own", "_up")
+    found = scans.runs(above, "_run").groupBy("rec", "_run").agg(
+        F.count(F.lit(1)).alias("n"), F.max("i").alias("_last"), F.max_by("i", F.struct("x", -F.col("i"))).alias("peak")
     )
-    found = found.where((F.col("n") >= least) & (F.col("_last") < F.col("_n")))
-    gap = F.col("peak") - F.lag("peak").over(Window.partitionBy("rec").orderBy("peak"))
-    return found.withColumn("gap", gap).select("rec", "peak", "n", "gap")
+    lengths = track.groupBy("rec").agg(F.max("i").alias("_n"))
+    found = scans.beside(found.where(F.col("n") >= least), lengths).where(F.col("_last") < F.col("_n"))
+    found = scans.parted(scans.written(found.select("rec", "peak", "n")), "peak")
+    return scans.previous(found, "peak", "_b", "peak").select("rec", "peak", "n", (F.col("peak") - F.col("_b")).alias("gap"))
 
 
 def normalised_by_rest(track: DataFrame, least: int) -> DataFrame:
     """x over the RMS at rest of its recording; over that of the whole where under `least` samples rest."""
-    rec = Window.partitionBy("rec")
     square = F.col("x") * F.col("x")
-    rest = F.when(F.count_if(F.col("label") == 0).over(rec) >= least, F.avg(F.when(F.col("label") == 0, square)).over(rec))
-    return track.withColumn("y", F.col("x") / F.sqrt(F.coalesce(rest, F.avg(square).over(rec)) + EPS))
+    rest = F.when(F.count_if(F.col("label") == 0) >= least, F.avg(F.when(F.col("label") == 0, square)))
+    levels = track.groupBy("rec").agg(F.coalesce(rest, F.avg(square)).alias("_level"))
+    return scans.beside(track, levels).withColumn("y", F.col("x") / F.sqrt(F.col("_level") + EPS)).drop("_level")
 
 
 def numbered_by_appearance(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biowave.operators import scans
+
 #: Label of each event type; 0 is rest.
 LABELS = {"error": 0, "view": 1, "click": 2, "purchase": 3, "signup": 4}
 
@@ -22,14 +24,12 @@ def label_of(event_type):
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long recordings (rec, i, x, label, us): one per user, sampled at the user's events in time order."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("rec"),
-        (F.row_number().over(order) - 1).alias("i"),
-        F.col("value").alias("x"),
-        label_of(F.col("event_type")).alias("label"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-    )
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("rec"), F.col("value").alias("x"), label_of(F.col("event_type")).alias("label"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id",
+    )
+    numbered = scans.numbered(scans.parted_by_time(rows, "us"), ["us", "event_id"], "i")
+    return numbered.select("rec", F.col("i").cast("int").alias("i"), "x", "label", "us")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
