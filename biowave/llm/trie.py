@@ -156,14 +156,16 @@ def ends_digest(trie: Trie) -> DataFrame:
     def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, first, ids = None, 0, []
         for part in parts:
+            done = []
             for depth, node, conv in zip(part["depth"].tolist(), part["node_conv_id"].tolist(), part["conv_id"].tolist(), strict=True):
                 if at != (depth, node):
                     if ids:
-                        yield pd.DataFrame({"depth": [at[0]], "node": [at[1]], "first": [first], "ids": [",".join(ids)]})
+                        done.append((*at, first, ",".join(ids)))
                     at, first, ids = (depth, node), conv, []
                 ids.append(str(conv))
+            yield pd.DataFrame(done, columns=["depth", "node", "first", "ids"])
         if ids:
-            yield pd.DataFrame({"depth": [at[0]], "node": [at[1]], "first": [first], "ids": [",".join(ids)]})
+            yield pd.DataFrame([(*at, first, ",".join(ids))], columns=["depth", "node", "first", "ids"])
 
     def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
