@@ -124,7 +124,8 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> Trie:
     """
     rows = prefixes(turns, convs).join(turns.select("conv_id", "depth", "content", "bytes"), ["conv_id", "depth"], "left")
     rows = materialize(rows.withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("bigint"))))
-    heads = rows.groupBy("depth", "prefix").agg(F.min("conv_id").alias("node_conv_id"))
+    # written, so that both sides of the join are exchanges and the root, where all conversations are, can be split
+    heads = materialize(rows.groupBy("depth", "prefix").agg(F.min("conv_id").alias("node_conv_id")))
     owned = rows.join(heads, ["depth", "prefix"]).withColumn("_own", F.col("conv_id") == F.col("node_conv_id"))
     members = materialize(owned.select("conv_id", "depth", "node_conv_id", "content", "bytes", "_own"))
     # a node's parent is where its smallest member was a turn before
