@@ -33,21 +33,30 @@ def coloured(rng, n: int, rate: float, exponent: float) -> np.ndarray:
     return _unit(np.fft.irfft((rng.standard_normal(len(f)) + 1j * rng.standard_normal(len(f))) / f ** (exponent / 2), n))
 
 
-def synthesize(spark: SparkSession, counts: dict[str, int], n: int, rate: float, seed: int = 42, low: float = 20.0, high: float = 500.0) -> DataFrame:
-    """PLI, WGN and Color rows, band-passed; row k of a type has a seed of its own, so any task gives the same."""
-    jobs = [(t, k) for t, c in counts.items() for k in range(c)]
+def from_jobs(jobs: DataFrame, n: int, rate: float, seed: int = 42, low: float = 20.0, high: float = 500.0) -> DataFrame:
+    """PLI, WGN and Color rows of jobs (noise_type, idx), band-passed; row k of a type has a seed of its own, so any task gives the same.
+
+    The jobs are a table of any size. Every second coloured row is pink, the others brown; jobs of other types give no row.
+    """
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for t, k in zip(part["noise_type"], part["idx"], strict=True):
+            rows, x = [], np.zeros((len(part), n))
+            for at, (t, k) in enumerate(zip(part["noise_type"], part["idx"], strict=True)):
                 rng = np.random.default_rng([seed, sum(map(ord, t)), int(k)])
                 kind = ("pink", "brown")[k % 2] if t == "Color" else None
-                x = line(rng, n, rate) if t == "PLI" else rng.standard_normal(n) if t == "WGN" else coloured(rng, n, rate, 1.0 if kind == "pink" else 2.0)
-                rows.append((t, kind, k, "synthetic", K.band_pass(x[None], rate, low, min(high, rate / 2 * 0.99))[0]))
-            yield pd.DataFrame(rows, columns=["noise_type", "subtype", "idx", "source", "signal"])
+                x[at] = line(rng, n, rate) if t == "PLI" else rng.standard_normal(n) if t == "WGN" else coloured(rng, n, rate, 1.0 if kind == "pink" else 2.0)
+                rows.append((t, kind, k, "synthetic"))
+            out = pd.DataFrame(rows, columns=["noise_type", "subtype", "idx", "source"])
+            yield out.assign(signal=list(K.band_pass(x, rate, low, min(high, rate / 2 * 0.99))) if len(x) else [])
 
-    return spark.createDataFrame(jobs, "noise_type string, idx int").repartition(max(1, len(jobs) // 8)).mapInPandas(batch, SCHEMA)
+    return jobs.where(F.col("noise_type").isin("PLI", "WGN", "Color")).select("noise_type", F.col("idx").cast("int").alias("idx")).mapInPandas(batch, SCHEMA)
+
+
+def synthesize(spark: SparkSession, counts: dict[str, int], n: int, rate: float, seed: int = 42, low: float = 20.0, high: float = 500.0) -> DataFrame:
+    """The rows of from_jobs for numbers of items by type."""
+    jobs = [(t, k) for t, c in counts.items() for k in range(c)]
+    return from_jobs(spark.createDataFrame(jobs, "noise_type string, idx int").repartition(max(1, len(jobs) // 8)), n, rate, seed, low, high)
 
 
 def from_recordings(rows: DataFrame, noise_type: str, rate_in: float, rate: float, n: int, smooth: int = 0, notch_hz: float = 60.0, low: float = 20.0, high: float = 500.0) -> DataFrame:

@@ -39,17 +39,18 @@ def starts(library: DataFrame, size: int) -> DataFrame:
     return library.where(n > 0).select("noise_type", "idx", (length - size + 1).alias("windows"))
 
 
-def mixed_samples(segments: DataFrame, jobs: DataFrame, library: DataFrame, size: int) -> DataFrame:
-    """Each job's segment with k kinds of noise: seg, snr, k, noise_types, noise_paths, scalars, wgn_capped, clean, noisy.
+def mixed_samples(segments: DataFrame, jobs: DataFrame, library: DataFrame, size: int, key: tuple[str, ...] = ("seg", "snr", "k")) -> DataFrame:
+    """Each job's segment with k kinds of noise: the key, seg, snr, k, noise_types, noise_paths, scalars, wgn_capped, clean, noisy.
 
-    segments are (seg, clean) of `size` samples, jobs (seg, snr, k, allowed) distinct by their first three columns, and
+    segments are (seg, clean) of `size` samples, jobs (seg, snr, k, allowed) distinct by their key, from which all is drawn, and
     items of a type are numbered from 0 without gaps. Types, items and places come from hashes of the job's key; where k is more than the
     types allowed, all of them are mixed. A segment without power comes back as it is, with scalars of 0 and no paths. Jobs of segments that are
     not there give no row.
     """
-    key = ["seg", "snr", "k"]
-    few = jobs.withColumn("types", mixing.chosen(F.col("allowed"), F.col("k"), *[F.col(c) for c in key]))
-    number = lambda salt: key_number(*[F.col(c) for c in key], F.col("noise_type"), salt=salt)
+    drawn_by = [F.col(c) for c in key]
+    key = list(dict.fromkeys([*key, "seg", "snr", "k"]))
+    few = jobs.withColumn("types", mixing.chosen(F.col("allowed"), F.col("k"), *drawn_by))
+    number = lambda salt: key_number(*drawn_by, F.col("noise_type"), salt=salt)
     # a row a type, of which there are five
     counts = library.where(F.col("noise_type").isin(*mixing.NOISE_TYPES)).groupBy("noise_type").agg((F.max("idx") + 1).alias("_items"))
     parts = few.select(*key, F.posexplode("types").alias("at", "noise_type")).join(F.broadcast(counts), "noise_type")
@@ -91,3 +92,29 @@ def single_jobs(keys: DataFrame, snrs=(-10, -5, 0, 5, 10)) -> DataFrame:
     """Every segment once with one kind of noise, any, at a drawn SNR: what parameters are calibrated on."""
     drawn = keys.select("seg", picked(list(snrs), F.col("seg"), salt="snr").alias("snr"), F.lit(1).alias("k"))
     return drawn.withColumn("allowed", F.array(*map(F.lit, mixing.NOISE_TYPES)))
+
+
+def epoch_jobs(keys: DataFrame, epochs: list[int], low: float = -15.0, high: float = 15.0, least: int = 1, most: int = 5) -> DataFrame:
+    """Every segment once an epoch: (epoch, seg, snr, k, allowed), an SNR anywhere from low to high (to a thousandth of a decibel) and
+    from `least` to `most` kinds, drawn by epoch and segment; mix with key (epoch, seg). A retried task draws the same."""
+    drawn = keys.select(F.explode(F.array(*map(F.lit, epochs))).alias("epoch"), "seg")
+    number = lambda salt: key_number(F.col("epoch"), F.col("seg"), salt=salt)
+    snr = F.round(low + (high - low) * (number("snr") / float(1 << 32)), 3)
+    drawn = drawn.withColumn("snr", snr).withColumn("k", (least + number("k") % (most - least + 1)).cast("int"))
+    return drawn.withColumn("allowed", mixing.allowed_types(F.col("k"), F.col("snr")))
+
+
+def training_pairs(mixed: DataFrame, method: str = "Q99") -> DataFrame:
+    """Mixed samples with clean and noisy over the noisy one's scale, cut to -1 .. 1: what a model is trained on."""
+    scaled = mixed.withColumn("scale", A.scale(F.col("noisy"), method))
+    return scaled.withColumns({f"{c}_norm": A.clipped(F.col(c), F.col("scale")) for c in ("clean", "noisy")})
+
+
+def mixing_stats(mixed: DataFrame, by: list[str]) -> DataFrame:
+    """What was mixed, by groups: (…, kind, name, n, snr_mean, snr_low, snr_high) for each type, each k, and all samples."""
+    kinds = F.transform(F.split("noise_types", r"\+"), lambda t: F.struct(F.lit("type").alias("kind"), t.alias("name")))
+    others = F.array(F.struct(F.lit("k").alias("kind"), F.col("k").cast("string").alias("name")), F.struct(F.lit("all").alias("kind"), F.lit("").alias("name")))
+    rows = mixed.select(*by, "snr", F.explode(F.concat(kinds, others)).alias("_of")).select(*by, "snr", "_of.kind", "_of.name")
+    return rows.groupBy(*by, "kind", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("snr").alias("snr_mean"), F.min("snr").alias("snr_low"), F.max("snr").alias("snr_high")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from biowave.functions import arrays as A
 from biowave.operators import grading, identity, lookups, margins, mixing, scoring, splitting
 from biowave.sources.adapters import table
 
@@ -59,13 +60,16 @@ def keyed_sample(spark, sf):
 
 
 def wgn_allocation(spark, sf):
-    """Component powers over the whole grid, for a clean power of 2.5."""
-    snr = spark.range(7).select((F.col("id") * 5 - 15).cast("int").alias("snr"))
-    g = snr.select("snr", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("has_wgn"))
-    g = g.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_wgn")).where("has_wgn OR NOT is_wgn").where("k > 1 OR is_wgn = has_wgn")
-    target = mixing.component_power(F.lit(2.5), F.col("snr"), F.col("k"), F.col("has_wgn"), F.col("is_wgn"))
-    excluded = (F.col("k") == 1) & F.col("has_wgn") & (F.col("snr") < mixing.WGN_FLOOR_DB)
-    return g.select("snr", "k", "has_wgn", "is_wgn", r(target, "target"), mixing.is_capped(F.col("snr"), F.col("k"), F.col("has_wgn")).alias("capped"), excluded.alias("excluded"))
+    """Component powers of every segment over the whole grid, with and without white noise: means by the grid's places."""
+    power = A.power(F.col("embedding").cast("array<double>")) / F.size("embedding")
+    g = mixing.grid(table(spark, sf, "embeddings").select(power.alias("clean_power")))
+    both = F.array(F.lit(True), F.lit(False))
+    g = g.select("*", F.explode(both).alias("has_wgn")).select("*", F.explode(both).alias("is_wgn"))
+    g = g.where("has_wgn OR NOT is_wgn").where("k > 1 OR is_wgn = has_wgn")
+    target = mixing.component_power(F.col("clean_power"), F.col("snr"), F.col("k"), F.col("has_wgn"), F.col("is_wgn"))
+    capped, low = mixing.is_capped(F.col("snr"), F.col("k"), F.col("has_wgn")), F.col("snr") < mixing.WGN_FLOOR_DB
+    g = g.withColumn("target", target).groupBy("snr", "k", "has_wgn", "is_wgn").agg(F.round(F.avg("target"), 6).alias("target"), F.count(F.lit(1)).alias("n"))
+    return g.select("*", capped.alias("capped"), ((F.col("k") == 1) & F.col("has_wgn") & low).alias("excluded"))
 
 
 def snr_grid_cross(spark, sf):
@@ -380,13 +384,14 @@ ORACLE_SQL = {
     "keyed_sample": f"""WITH f AS (
             SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {md5_number("c_custkey || '|sample'")}, c_custkey) AS p FROM customer)
         SELECT c_custkey, c_mktsegment FROM f WHERE p <= 7""",
-    "wgn_allocation": """WITH g AS (
-            SELECT s::INT AS snr, k::INT AS k, h AS has_wgn, w AS is_wgn, 2.5 / pow(10.0, s / 10.0) AS t, 2.5 / pow(10.0, -0.5) AS fl
-            FROM range(-15, 16, 5) a(s), range(1, 6) b(k), (VALUES (true), (false)) c(h), (VALUES (true), (false)) d(w)
+    "wgn_allocation": """WITH p AS (SELECT list_sum([x::DOUBLE * x::DOUBLE for x in embedding]) / len(embedding) AS p FROM embeddings),
+        g AS (
+            SELECT s::INT AS snr, k::INT AS k, h AS has_wgn, w AS is_wgn, p / pow(10.0, s / 10.0) AS t, p / pow(10.0, -0.5) AS fl
+            FROM p, range(-15, 16, 5) a(s), range(1, 6) b(k), (VALUES (true), (false)) c(h), (VALUES (true), (false)) d(w)
             WHERE (h OR NOT w) AND (k > 1 OR w = h))
         SELECT snr, k, has_wgn, is_wgn,
-               round(CASE WHEN has_wgn AND k > 1 AND t / k > fl THEN CASE WHEN is_wgn THEN fl ELSE greatest(t - fl, 0) / (k - 1) END ELSE t / k END, 6) AS target,
-               has_wgn AND k >= 2 AND snr + 10 * log10(k) < -5 AS capped, k = 1 AND has_wgn AND snr < -5 AS excluded FROM g""",
+               round(avg(CASE WHEN has_wgn AND k > 1 AND t / k > fl THEN CASE WHEN is_wgn THEN fl ELSE greatest(t - fl, 0) / (k - 1) END ELSE t / k END), 6) AS target,
+               count(*) AS n, has_wgn AND k >= 2 AND snr + 10 * log10(k) < -5 AS capped, k = 1 AND has_wgn AND snr < -5 AS excluded FROM g GROUP BY ALL""",
     "snr_grid_cross": f"""WITH g AS (
             SELECT vec_id AS seg, s::INT AS snr, k::INT AS k FROM embeddings, range(-15, 16, 5) a(s), range(1, 6) b(k)),
         t AS (

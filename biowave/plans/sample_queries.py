@@ -84,8 +84,29 @@ def label_file_match(spark, sf):
     return identity.label_files(s.select(F.col("s_nationkey").alias("subject"), name.alias("name")), trials)
 
 
+def online(spark, sf):
+    """Two epochs of training samples: continuous SNRs and two to four kinds of noise, drawn anew for each."""
+    seg = segments(spark, sf).select("seg", F.col("signal").alias("clean"))
+    jobs = samples.epoch_jobs(seg, [0, 1], -15.0, 15.0, 2, 4)
+    return samples.mixed_samples(seg, jobs, noise_items(spark, sf), SIZE, key=("epoch", "seg"))
+
+
+def online_epochs(spark, sf):
+    rows = samples.training_pairs(online(spark, sf))
+    noise = A.rms(M.difference(F.col("clean"), F.col("noisy")))
+    return rows.select(
+        "epoch", "seg", "snr", "k", "noise_types", "noise_paths", "wgn_capped", r(noise, "noise_rms"), r(F.col("scale"), "scale"),
+        r(A.total(F.col("clean_norm")), "clean_total", 4), r(A.total(F.col("noisy_norm")), "noisy_total", 4),
+    )
+
+
+def online_stats(spark, sf):
+    s = samples.mixing_stats(online(spark, sf), ["epoch"])
+    return s.select("epoch", "kind", "name", "n", r(F.col("snr_mean"), "snr_mean"), "snr_low", "snr_high")
+
+
 QUERIES = {f.__name__: f for f in (
-    mixed_grid, mixed_combined, mixed_fatigue, mixed_calibration, noise_type_table, gesture_raw, gesture_denoised, label_file_match,
+    online_epochs, online_stats, mixed_grid, mixed_combined, mixed_fatigue, mixed_calibration, noise_type_table, gesture_raw, gesture_denoised, label_file_match,
 )}
 
 
@@ -97,9 +118,9 @@ def drawn_sql(values, salt: str) -> str:
     return f"({list(values)})[{number_sql('vec_id', repr(salt))} % {len(values)} + 1]::INT"
 
 
-def samples_sql(jobs: str, excluded: str) -> str:
+def samples_sql(jobs: str, excluded: str, key: tuple[str, ...] = ("seg", "snr", "k")) -> str:
     """Up to one row per job and sample (smx), and the jobs' names and first scalars (nam)."""
-    key = ("seg", "snr", "k", "ty")
+    cols, key = ", ".join(dict.fromkeys([*key, "seg", "snr", "k"])), (*key, "ty")
     return f"""WITH {SAMPLES_SQL},
 lib AS (
     SELECT (['PLI', 'WGN', 'ECG', 'MOA', 'Color'])[user_id % 5 + 1] AS ty, user_id // 5 AS idx, list(value ORDER BY ts, event_id) AS v, count(*) AS n
@@ -109,25 +130,25 @@ itm AS (
            ty || '/' || lower(ty) || CASE WHEN ty <> 'Color' THEN '' WHEN idx % 2 = 0 THEN '_pink' ELSE '_brown' END || '_' || idx || '.npy' AS path FROM lib),
 job AS ({jobs}),
 typ AS (
-    SELECT job.*, ty, o, row_number() OVER (PARTITION BY seg, snr, k ORDER BY {number_sql(*key, "'type'")}, ty) AS p
+    SELECT job.*, ty, o, row_number() OVER (PARTITION BY {cols} ORDER BY {number_sql(*key, "'type'")}, ty) AS p
     FROM job, (VALUES ('PLI', 1), ('WGN', 2), ('ECG', 3), ('MOA', 4), ('Color', 5)) t(ty, o) WHERE NOT ({excluded})),
-prt AS (SELECT *, bool_or(ty = 'WGN') OVER (PARTITION BY seg, snr, k) AS wgn FROM typ WHERE p <= k),
+prt AS (SELECT *, bool_or(ty = 'WGN') OVER (PARTITION BY {cols}) AS wgn FROM typ WHERE p <= k),
 num AS (SELECT prt.*, {number_sql(*key, "'item'")} % items AS idx FROM prt JOIN (SELECT DISTINCT ty, items FROM itm) USING (ty)),
 put AS (SELECT num.*, path, v, n, {number_sql(*key, "'start'")} % windows AS start FROM num JOIN itm USING (ty, idx)),
-win AS (SELECT seg, snr, k, o, i, v[(start + i) % n + 1] AS y FROM put, range(0, {SIZE}) r(i)),
-own AS (SELECT seg, snr, k, o, sum(y * y) AS own FROM win GROUP BY ALL),
+win AS (SELECT {cols}, o, i, v[(start + i) % n + 1] AS y FROM put, range(0, {SIZE}) r(i)),
+own AS (SELECT {cols}, o, sum(y * y) AS own FROM win GROUP BY ALL),
 pow AS (SELECT seg, sum(x * x) AS cp, sum(x * x) / pow(10.0, -0.5) AS fl FROM smp GROUP BY seg),
 fac AS (
-    SELECT put.seg, snr, k, o, ty, path, wgn,
+    SELECT {cols.replace("seg", "put.seg")}, o, ty, path, wgn,
            sqrt(CASE WHEN wgn AND k > 1 AND cp / pow(10.0, snr / 10.0) / k > fl
                      THEN CASE WHEN ty = 'WGN' THEN fl ELSE greatest(cp / pow(10.0, snr / 10.0) - fl, 0) / (k - 1) END
                      ELSE cp / pow(10.0, snr / 10.0) / k END / own) AS f
-    FROM put JOIN own USING (seg, snr, k, o) JOIN pow ON pow.seg = put.seg),
+    FROM put JOIN own USING ({cols}, o) JOIN pow ON pow.seg = put.seg),
 nam AS (
-    SELECT seg, snr, k, string_agg(ty, '+' ORDER BY o) AS noise_types, string_agg(path, '|' ORDER BY o) AS noise_paths,
+    SELECT {cols}, string_agg(ty, '+' ORDER BY o) AS noise_types, string_agg(path, '|' ORDER BY o) AS noise_paths,
            any_value(wgn) AND k >= 2 AND snr + 10 * log10(k) < -5 AS wgn_capped, arg_min(f, o) AS first_scalar
-    FROM fac GROUP BY seg, snr, k),
-noi AS (SELECT seg, snr, k, i, sum(f * y) AS e FROM win JOIN fac USING (seg, snr, k, o) GROUP BY seg, snr, k, i),
+    FROM fac GROUP BY {cols}),
+noi AS (SELECT {cols}, i, sum(f * y) AS e FROM win JOIN fac USING ({cols}, o) GROUP BY {cols}, i),
 smx AS (SELECT noi.*, x FROM noi JOIN smp USING (seg, i))"""
 
 
@@ -139,7 +160,28 @@ GRID_JOBS = "SELECT vec_id AS seg, s::INT AS snr, k::INT AS k FROM embeddings, r
 DRAWN_JOBS = f"SELECT vec_id AS seg, {drawn_sql(mixing.SNR_GRID, 'snr')} AS snr, {drawn_sql(range(1, 6), 'k')} AS k FROM embeddings"
 PLACES = ", ".join(f"('{label}', {place})" for place, label in enumerate(LABEL_ORDER, 1))
 
+EPOCH_JOBS = f"""
+    SELECT epoch, vec_id AS seg, round(-15.0 + 30.0 * ({number_sql("epoch", "vec_id", "'snr'")} / 4294967296.0::DOUBLE), 3) AS snr,
+           (2 + {number_sql("epoch", "vec_id", "'k'")} % 3)::INT AS k
+    FROM embeddings, (VALUES (0), (1)) e(epoch)"""
+ONLINE_SQL = samples_sql(EPOCH_JOBS, ALONE, ("epoch", "seg"))
+
 ORACLE_SQL = {
+    "online_epochs": ONLINE_SQL + """,
+        q AS (SELECT epoch, seg, quantile_cont(abs(x + e), 0.99) AS q FROM smx GROUP BY epoch, seg),
+        c AS (SELECT epoch, seg, CASE WHEN q < 1e-12 THEN 1.0 ELSE q END AS scale FROM q),
+        t AS (
+            SELECT epoch, seg, sqrt(avg(e * e)) AS noise_rms, any_value(scale) AS scale, sum(greatest(least(x / scale, 1), -1)) AS clean_total,
+                   sum(greatest(least((x + e) / scale, 1), -1)) AS noisy_total
+            FROM smx JOIN c USING (epoch, seg) GROUP BY epoch, seg)
+        SELECT epoch, seg, snr, k, noise_types, noise_paths, wgn_capped, round(noise_rms, 5) + 0.0 AS noise_rms, round(scale, 5) + 0.0 AS scale,
+               round(clean_total, 4) + 0.0 AS clean_total, round(noisy_total, 4) + 0.0 AS noisy_total
+        FROM nam JOIN t USING (epoch, seg)""",
+    "online_stats": ONLINE_SQL + """,
+        w AS (
+            SELECT epoch, snr, 'type' AS kind, unnest(string_split(noise_types, '+')) AS name FROM nam
+            UNION ALL SELECT epoch, snr, 'k', k::VARCHAR FROM nam UNION ALL SELECT epoch, snr, 'all', '' FROM nam)
+        SELECT epoch, kind, name, count(*) AS n, round(avg(snr), 5) + 0.0 AS snr_mean, min(snr) AS snr_low, max(snr) AS snr_high FROM w GROUP BY epoch, kind, name""",
     "mixed_grid": samples_sql(GRID_JOBS, ALONE) + DIGEST_SQL,
     "mixed_combined": samples_sql(DRAWN_JOBS, ALONE) + DIGEST_SQL,
     "mixed_fatigue": samples_sql("SELECT vec_id AS seg, s::INT AS snr, k::INT AS k FROM embeddings, (VALUES (-10), (0), (10)) a(s), range(1, 5) b(k)", "snr < -5 AND ty = 'WGN'") + DIGEST_SQL,

@@ -88,7 +88,11 @@ def resample_poly(spark, sf):
 
 
 def noise_synthesis(spark, sf):
-    n = noise_library.synthesize(spark, {"PLI": 6, "WGN": 6, "Color": 6}, 2000, 1000.0)
+    """A library item for each part: a type by its number."""
+    kind = F.element_at(F.array(*map(F.lit, ("PLI", "WGN", "Color"))), (F.col("p_partkey") % 3).cast("int") + 1)
+    jobs = table(spark, sf, "part").select(kind.alias("noise_type"), F.floor(F.col("p_partkey") / 3).alias("idx"))
+    jobs = jobs.repartition(4 * spark.sparkContext.defaultParallelism)  # small rows that cost much
+    n = noise_library.from_jobs(jobs, 256, 1000.0)
     return n.select("noise_type", F.coalesce("subtype", F.lit("")).alias("subtype"), "idx", F.size("signal").alias("n"), r(A.rms(F.col("signal")), "rms"))
 
 
