@@ -48,6 +48,16 @@ def hampel_energy(signal: Column, half: int, threshold: float) -> Column:
     return features(["removed"], lambda x: {"removed": K.hampel_energy(x, half, threshold)}, signal)["removed"]
 
 
+def hampel_time(signal: Column, half: int, threshold: float) -> Column:
+    """What the Hampel filter replaces in segments: how many values, and the result's sum and power."""
+
+    def of(x):
+        out, hit = K.hampel_replaced(x, half, threshold)
+        return {"replaced": hit.sum(axis=1), "total": out.sum(axis=1), "power": (out**2).sum(axis=1)}
+
+    return features(["replaced", "total", "power"], of, signal)
+
+
 def spectral_errors(clean: Column, other: Column, rate: float, size: int, nfft: int, hop: int, low: float, high: float) -> Column:
     """Distances between two segments' spectra: LSD, and the differences of mean and median frequency of their windows."""
 
@@ -77,12 +87,12 @@ def mapped(signal: Column, of) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(series: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(series), dtype=object)
+        out = [None] * len(series)
         sizes = series.map(lambda v: -1 if v is None else len(v)).to_numpy()
         for n in np.unique(sizes[sizes > 0]):
             at = np.flatnonzero(sizes == n)
             for k, row in zip(at, of(np.stack(series.to_numpy()[at]).astype(float)), strict=True):
                 out[k] = row
-        return out
+        return pd.Series(out, dtype=object)
 
     return run(signal)

@@ -129,12 +129,8 @@ def spectral_error_metrics(spark, sf):
 
 
 def hampel_time(spark, sf):
-    h = segments(spark, sf).select("seg", "signal", A.running(F.col("signal"), 3, A.median).alias("mid"))
-    h = h.withColumn("away", F.zip_with("signal", "mid", lambda a, b: F.abs(a - b))).withColumn("spread", A.running(F.col("away"), 3, A.median))
-    hit = F.zip_with("away", "spread", lambda a, s: F.when((1.4286 * s > 1e-12) & (a > 3.0 * 1.4286 * s), 1.0).otherwise(0.0))
-    h = h.withColumn("hit", hit).withColumn("_c", F.arrays_zip("signal", "mid", "hit"))
-    out = F.transform("_c", lambda v: F.when(v["hit"] > 0, v["mid"]).otherwise(v["signal"]))
-    return h.select("seg", A.total(F.col("hit")).cast("bigint").alias("replaced"), r(A.total(out), "total"), r(A.power(out), "power"))
+    h = segments(spark, sf).select("seg", X.hampel_time(F.col("signal"), 3, 3.0).alias("f"))
+    return h.select("seg", F.col("f.replaced").cast("bigint").alias("replaced"), r(F.col("f.total"), "total"), r(F.col("f.power"), "power"))
 
 
 def hampel_freq(spark, sf):

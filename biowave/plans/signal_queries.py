@@ -11,7 +11,7 @@ from biowave.functions import arrays as A
 from biowave.functions import kernels as K
 from biowave.functions import metrics as M
 from biowave.functions import spectral as X
-from biowave.operators import calibrate, margins, noise_library, scoring, splitting
+from biowave.operators import calibrate, long_signals, margins, noise_library, order_statistics, scans, scoring, splitting
 from biowave.operators.denoise import denoise
 from biowave.plans.segment_queries import mixed
 from biowave.sources.adapters import SIGNALS_SQL, label_of, segments, signals, table
@@ -139,6 +139,35 @@ def canvas_overwrite(spark, sf):
     return canvas.groupBy("rec").agg(F.count("y").alias("covered"), F.count(F.lit(1)).alias("n"), r(F.sum("v"), "total"))
 
 
+def long_recordings(spark, sf):
+    """Pieces of one recording for each type of event, in the order of the events."""
+    rows = table(spark, sf, "events").select(label_of(F.col("event_type")).alias("rec"), "event_id", F.col("value").alias("x"))
+    rows = scans.numbered(scans.parted_by_time(rows, "event_id"), ["event_id"], "i")
+    return long_signals.pieces_of(rows, F.col("x"), 1000)
+
+
+def long_filters(spark, sf):
+    """Power of each recording in a band, without a tone, and at another rate, worked out in blocks of 512 samples."""
+    p = long_recordings(spark, sf)
+    band, toneless = long_signals.band_pass(p, RATE, 8.0, 40.0, 4, 512), long_signals.without_tone(p, RATE, 30.0, 5.0, 512)
+    slower = long_signals.resampled(p, 1111, 1000, 512)
+    of = lambda d, name: d.groupBy("rec").agg(F.sum(F.size("signal")).alias(f"{name}_n"), r(F.sum(A.power(F.col("signal"))), name, 3))
+    return of(p, "whole").join(of(band, "band"), "rec").join(of(toneless, "toneless"), "rec").join(of(slower, "slower"), "rec")
+
+
+def long_hampel(spark, sf):
+    h = long_signals.hampel_windows(long_recordings(spark, sf), RATE, 2.0, 1.0, 512)
+    return h.select("rec", "n", r(F.col("largest"), "largest"), r(F.col("mean"), "mean"))
+
+
+def group_quantiles(spark, sf):
+    """The 0.99-quantile of magnitudes about 50 by type of event, and of prices by return flag."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("of"), F.abs(F.col("value") - 50.0).alias("v"))
+    p = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("of"), F.col("l_extendedprice").alias("v"))
+    q = order_statistics.quantile(e.unionByName(p), ["of"], F.col("v"), 0.99)
+    return q.select("of", "n", r(F.col("quantile"), "quantile", 4))
+
+
 def stream_windows(spark, sf):
     """Hourly features of the events as a stream; windows come out when the watermark has passed them."""
     schema = table(spark, sf, "events").schema
@@ -152,10 +181,13 @@ def stream_windows(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     denoise_iir, denoise_template, denoise_emd, denoise_vmd, denoise_ceemdan, denoise_summary, filter_bands, resample_poly, noise_synthesis, sweep_highpass, sweep_emd, sweep_vmd, sweep_ceemdan,
-    fold_classification, canvas_overwrite, stream_windows,
+    fold_classification, canvas_overwrite, stream_windows, long_filters, long_hampel, group_quantiles,
 )}
 
 ORACLE_SQL = {
+    "group_quantiles": """WITH v AS (
+            SELECT event_type AS of, abs(value - 50.0) AS v FROM events UNION ALL SELECT l_returnflag, l_extendedprice FROM lineitem)
+        SELECT of, count(v) AS n, round(quantile_cont(v, 0.99), 4) AS quantile FROM v GROUP BY of""",
     "canvas_overwrite": f"""WITH {SIGNALS_SQL},
         c AS (SELECT *, i // 16 AS w, count(*) OVER (PARTITION BY rec, i // 16) AS m FROM sig)
         SELECT rec, count(*) FILTER (WHERE w % 2 = 0 AND m = 16) AS covered, count(*) AS n, round(sum(CASE WHEN w % 2 = 0 AND m = 16 THEN x * 0.5 ELSE x END), 6) AS total
