@@ -11,9 +11,9 @@ from biowave.functions import arrays as A
 from biowave.functions import kernels as K
 from biowave.functions import metrics as M
 from biowave.functions import spectral as X
-from biowave.operators import calibrate, long_signals, margins, noise_library, order_statistics, scans, scoring, splitting
+from biowave.operators import calibrate, long_signals, margins, noise_library, order_statistics, samples, scans, scoring, splitting
 from biowave.operators.denoise import denoise
-from biowave.plans.segment_queries import mixed
+from biowave.plans import sample_queries
 from biowave.sources.adapters import SIGNALS_SQL, label_of, segments, signals, table
 from biowave.streaming import windows
 
@@ -24,16 +24,20 @@ def r(c, name: str, digits: int = 6):
     return F.round(c, digits).alias(name)
 
 
-def noisy_segments(spark, sf, snrs=(0,), every: int = 1):
-    """Mixed segments, tiled to 128 samples, with noise types by the segment's number."""
-    kinds = F.array(*map(F.lit, ("WGN", "PLI", "ECG", "MOA", "Color", "PLI+WGN", "")))
-    m = mixed(spark, sf, snrs, 1).where(F.col("seg") % every == 0)
-    t = F.element_at(kinds, (F.col("seg") % 7).cast("int") + 1)
-    return m.select("seg", "snr", A.of_length(F.col("clean"), 128).alias("clean"), A.of_length(F.col("noisy"), 128).alias("noisy"), t.alias("noise_types"), F.lit("").alias("noise_paths"))
+def noisy_segments(spark, sf, jobs=samples.drawn_jobs):
+    """Mixed samples under the names of what was mixed in, tiled to 128 samples."""
+    m = sample_queries.mixed(spark, sf, jobs)
+    return m.select("seg", "snr", A.of_length(F.col("clean"), 128).alias("clean"), A.of_length(F.col("noisy"), 128).alias("noisy"), "noise_types", "noise_paths")
 
 
-def gains(spark, sf, method: str, every: int = 1):
-    rows = noisy_segments(spark, sf, every=every)
+def calibration_segments(spark, sf):
+    """What parameters are swept over: every segment with one kind of noise."""
+    rows = noisy_segments(spark, sf, lambda s: samples.single_jobs(s, sample_queries.CALIBRATION_SNRS))
+    return rows.select("clean", "noisy", "noise_types", "noise_paths")
+
+
+def gains(spark, sf, method: str):
+    rows = noisy_segments(spark, sf)
     if method in ("emd", "vmd", "ceemdan"):  # small rows that cost much: by their number, not their bytes
         rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "seg")
     d = denoise(rows, method, RATE)
@@ -46,7 +50,8 @@ def denoise_iir(spark, sf):
 
 def denoise_template(spark, sf, joined: int = 16):
     """Runs of segments one after the other, 8 seconds where none is missing, so that they hold several beats."""
-    m = mixed(spark, sf, (0,), 1).withColumn("run", F.floor(F.col("seg") / joined))
+    ecg = lambda seg: seg.select("seg", F.lit(0).alias("snr"), F.lit(1).alias("k"), F.array(F.lit("ECG")).alias("allowed"))
+    m = sample_queries.mixed(spark, sf, ecg).withColumn("run", F.floor(F.col("seg") / joined))
     m = m.groupBy("run", "snr").agg(F.array_sort(F.collect_list(F.struct("seg", "clean", "noisy"))).alias("s"))
     whole = lambda name: F.flatten(F.transform("s", lambda v: v[name])).alias(name)
     rows = m.select((F.col("run") * joined).alias("seg"), "snr", whole("clean"), whole("noisy"), F.lit("ECG").alias("noise_types"), F.lit("").alias("noise_paths"))
@@ -96,31 +101,32 @@ def noise_synthesis(spark, sf):
     return n.select("noise_type", F.coalesce("subtype", F.lit("")).alias("subtype"), "idx", F.size("signal").alias("n"), r(A.rms(F.col("signal")), "rms"))
 
 
-def sweep_highpass(spark, sf):
-    rows = noisy_segments(spark, sf).where("noise_types IN ('MOA', 'ECG')").select("clean", "noisy", "noise_types", "noise_paths")
-    return calibrate.sweep(rows, "highpass", [2.0, 5.0, 10.0, 20.0], RATE).select("place", "candidate", r(F.col("gain"), "gain", 5), "best")
+def sweep_of(spark, sf, method: str, candidates: list):
+    """Gains of candidates over the calibration samples, all of them, and how many of these each has worked on."""
+    rows = calibration_segments(spark, sf)
+    if method != "highpass":  # small rows that cost much
+        rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
+    return calibrate.sweep(rows, method, candidates, RATE).select("place", "candidate", r(F.col("gain"), "gain", 5), "n_ok", "best")
 
 
-def sweep_of(spark, sf, method: str, candidates: list, kinds: str):
-    rows = noisy_segments(spark, sf).where(kinds).select("clean", "noisy", "noise_types", "noise_paths")
-    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)  # small rows that cost much
-    return calibrate.sweep(rows, method, candidates, RATE).select("place", "candidate", r(F.col("gain"), "gain", 5), "best")
+def sweep_highpass(spark, sf):
+    return sweep_of(spark, sf, "highpass", [2.0, 5.0, 10.0, 20.0])
 
 
 def sweep_emd(spark, sf):
-    return sweep_of(spark, sf, "emd", [5.0, 10.0, 20.0], "noise_types IN ('MOA', 'WGN', 'Color')")
+    return sweep_of(spark, sf, "emd", [5.0, 10.0, 20.0])
 
 
 def sweep_vmd(spark, sf):
-    return sweep_of(spark, sf, "vmd", [3, 5, 8], "noise_types IN ('WGN', 'PLI+WGN')")
+    return sweep_of(spark, sf, "vmd", [3, 5, 8])
 
 
 def sweep_ceemdan(spark, sf):
-    return sweep_of(spark, sf, "ceemdan", [5.0, 20.0], "noise_types = 'WGN'")
+    return sweep_of(spark, sf, "ceemdan", [5.0, 20.0])
 
 
 def fold_classification(spark, sf):
-    """Scores of a classifier of segments' halves of labels from their samples, RMS and mean, three folds."""
+    """Scores of support vector machines that tell the halves of segments' labels from their samples, RMS and mean, three folds."""
     s = segments(spark, sf)
     x = F.col("signal")
     rows = s.select(F.col("seg").alias("id"), (F.col("seg") % 5).alias("subject"), (F.col("dataset") % 2).alias("label"), F.concat(F.array(A.rms(x), A.mean(x)), x).alias("features"))

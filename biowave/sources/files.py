@@ -197,6 +197,50 @@ def write_conditions(samples: DataFrame, path: str, force: bool = False) -> None
     write_table(samples.select(*[c for c in samples.columns if c not in arrays]), f"{path}/metadata", None, force, "csv")
 
 
+def write_missing(conditions: DataFrame, build, path: str, batch: int = 8, fmt: str = "parquet") -> int:
+    """Write what build makes of conditions that path doesn't have yet, `batch` conditions at a time; the number of batches written.
+
+    conditions is a small grid, a row for each; build takes some of its rows and returns a table with its columns, by whose values the
+    table is partitioned. A batch replaces the partitions of its conditions when it is complete, and only then its conditions
+    are noted as done: a run that was killed goes on with the first batch that isn't noted, and writes that one again whole. A
+    condition without rows is done, too. read_written reads what is done.
+    """
+    spark = conditions.sparkSession
+    by = conditions.columns
+    noted = _noted(spark, path)
+    # null-safe: a condition may lack a value
+    if noted is None:
+        left = conditions
+    else:
+        same = F.lit(True)
+        for c in by:
+            same = same & conditions[c].eqNullSafe(noted[c])
+        left = conditions.join(noted, same, "left_anti")
+    todo = sorted({tuple(r) for r in left.collect()}, key=repr)
+    for k in range(0, len(todo), batch):
+        some = spark.createDataFrame(todo[k : k + batch], conditions.schema)
+        writer = build(some).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt).partitionBy(*by)
+        (writer.option("header", "true") if fmt == "csv" else writer).save(f"{path}/rows")
+        some.coalesce(1).write.mode("append").parquet(f"{path}/done")
+    return -(-len(todo) // batch)
+
+
+def _noted(spark: SparkSession, path: str) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.parquet(f"{path}/done")
+
+
+def read_written(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The rows of the conditions that write_missing has noted as done."""
+    noted, rows = spark.read.parquet(f"{path}/done").distinct(), spark.read.format(fmt).option("header", "true").option("inferSchema", str(fmt == "csv").lower()).load(f"{path}/rows")
+    same = F.lit(True)
+    for c in noted.columns:
+        same = same & rows[c].eqNullSafe(noted[c])
+    return rows.join(noted, same, "left_semi")
+
+
 def write_results(rows: DataFrame, path: str, by: list[str], digits: int = 10, force: bool = False) -> None:
     """A result table as CSV, a folder for each combination of `by` (metric, dataset, noise type); doubles have `digits` significant digits."""
     shown = [F.format_string(f"%.{digits}g", c).alias(c) if k in ("double", "float") else F.col(c) for c, k in rows.dtypes]

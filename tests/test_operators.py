@@ -180,10 +180,21 @@ def test_noise_is_the_same_in_any_layout(spark):
 
 def test_sweep_and_parameters(spark):
     got = calibrate.sweep(noisy(spark, ["MOA"]).where("noisy IS NOT NULL"), "highpass", [5.0, 100.0], 1000.0).collect()
-    assert {r["candidate"]: r["best"] for r in got} == {5.0: False, 100.0: True}
+    assert {r["candidate"]: r["best"] for r in got} == {5.0: False, 100.0: True} and all(r["n_ok"] > 0 for r in got)
     assert calibrate.merged_parameters({"vmd": 6})["vmd"]["modes"] == 6
 
 
+def test_sweep_counts_what_worked_alone(spark):
+    t = np.arange(512) / 1000
+    clean = np.sin(2 * np.pi * 60 * t) * (1 + np.sin(2 * np.pi * 3 * t))
+    noisy_one = clean + np.random.default_rng(1).standard_normal(512) * 0.3
+    rows = [(clean.tolist(), noisy_one.tolist(), "WGN", ""), (clean[:20].tolist(), noisy_one[:20].tolist(), "WGN", "")]  # too short to come apart
+    df = spark.createDataFrame(rows, "clean array<double>, noisy array<double>, noise_types string, noise_paths string")
+    both, one, none = (calibrate.sweep(d, "emd", [5.0, 20.0], 1000.0).orderBy("place").collect() for d in (df, df.where(F.size("clean") > 20), df.where(F.size("clean") == 20)))
+    assert [tuple(r) for r in both] == [tuple(r) for r in one] and [r["n_ok"] for r in one] == [1, 1]
+    assert [(r["gain"], r["n_ok"]) for r in none] == [(-999.0, 0)] * 2 and [r["best"] for r in none] == [True, False]
+
+
 def test_classifier_learns_a_ring(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 2)) * 1.5
