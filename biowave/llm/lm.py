@@ -42,6 +42,7 @@ SCORES = "_id bigint, _train boolean, n_tokens bigint, n_known bigint, base_scor
 #: the hashes of the start and the end of a text; words have theirs
 START, END = 1, 2
 SMALL = 32  # values from which compression pays
+STRIP = 256  # words of a text that one step after the other reads; strips are read side by side
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -272,26 +273,97 @@ def _next_round(r: int, order: int, buckets: list[int]):
     return of
 
 
-def _walked(order: int, figures: dict[str, float]):
-    total, kinds, discount = figures["total"], figures["kinds"], figures["discount"]
+class Automaton:
+    """A block's part of the automaton, as arrays.
+
+    State 0 is the root, which knows no history; the others are the block's histories of 1 .. order - 1 words that training texts have.
+    level is a state's number of words, up where its failure arc leads (its history without the first word), weight the log10 backoff
+    weight of that arc. An arc leads from source by word (a number in the block) to target, and gain is the log10 probability of the word
+    there. The root has an arc for every word; another state has those of its n-grams that training texts have. The target is the
+    longest state that the words so far end in. by_place[k] has, for each place of the block, the arc that leads on to it from its history
+    of k - 1 words, or -1 where the automaton has none.
+    """
 
+    def __init__(self, grams: Grams, known: Known, order: int, figures: dict[str, float]):
+        total, kinds, discount = figures["total"], figures["kinds"], figures["discount"]
+        n, words = known.n, len(grams.keys[1])
+        at = {k: np.full(len(grams.text), -1, np.int32) for k in range(1, order + 1)}
+        for k, places in at.items():
+            places[grams.place[k]] = grams.at[k]
+        first = {k: 1 + sum(len(grams.keys[j]) for j in range(1, k)) for k in range(1, order + 1)}  # of the states, and arcs less one, of k words
+        size = first[order]
+        self.level, self.up, self.weight = np.zeros(size, np.int8), np.zeros(size, np.int32), np.zeros(size)
+        # what the root has no arc for shares the discounts of all words
+        p = np.where(n[1] > 0, (n[1] - discount) / max(total, 1), discount * kinds / total if total else 1.0)
+        state = np.where(n[1] > 0, first[1] + np.arange(words), 0)
+        self.start = int(state[grams.starts[0]])
+        self.by_place = np.full((order + 1, len(grams.text)), -1, np.int32)
+        self.by_place[1] = at[1]
+        gains, targets, sources, read = [np.log10(p)], [state], [np.zeros(words, np.int64)], [np.arange(words)]
+        up = np.zeros(words, np.int64)
+        for k in range(2, order + 1):
+            # the histories of k - 1 words as states, with their failure arcs
+            own = slice(first[k - 1], first[k])
+            share = 1 / np.maximum(n[k - 1], 1)
+            fail = np.where(n[k - 1] > 0, DISCOUNT * known.types[k - 1] * share, 1.0)
+            with np.errstate(divide="ignore"):  # an end is no history
+                self.level[own], self.up[own], self.weight[own] = k - 1, up, np.log10(fail)
+            # the n-grams of k words as their arcs
+            places, parent = grams.place[k], grams.parents(k)
+            shorter, last = np.zeros(len(grams.keys[k]), np.int64), np.zeros(len(grams.keys[k]), np.int64)
+            shorter[grams.at[k]], last[grams.at[k]] = at[k - 1][places], at[1][places]
+            p = np.maximum(n[k] - DISCOUNT, 0) * share[parent] + fail[parent] * p[shorter]
+            there = n[k] > 0
+            self.by_place[k, places] = np.where(there, first[k] - 1 + np.arange(len(there)), -1)[grams.at[k]]
+            up = state[shorter]
+            state = np.where(there, first[k] + np.arange(len(there)), up) if k < order else up
+            gains.append(np.log10(p))
+            targets.append(state)
+            sources.append(np.where(there, first[k - 1] + parent, -1))
+            read.append(last)
+        self.gain, self.target, self.source, self.word = (np.concatenate(x) for x in (gains, targets, sources, read))
+        self.order = order
+
+    def walk(self, grams: Grams) -> np.ndarray:
+        """The log10 probability of each token: all texts are read at once from left to right, each with its state.
+
+        Long texts are read in strips. A strip begins with the order - 1 words before it, unscored, after which its state is that of the whole text.
+        """
+        lengths = np.bincount(grams.text, minlength=grams.texts)
+        strips = -(-lengths // STRIP)
+        of = np.repeat(np.arange(len(lengths)), strips)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(strips) - strips, strips)
+        lead = np.where(number > 0, self.order - 1, 0)
+        begin = (np.cumsum(lengths) - lengths)[of] + number * STRIP - lead
+        size = np.minimum(STRIP, lengths[of] - number * STRIP) + lead
+        by = np.argsort(-size, kind="stable")
+        lead, begin, size = lead[by], begin[by], size[by]
+        state = np.where(lead > 0, 0, self.start)
+        out = np.zeros(len(grams.text))
+        for step in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -step, side="left"))  # the strips with a word here
+            place, now, got = begin[:n] + step, state[:n].copy(), np.zeros(n)
+            arc = self.by_place[self.level[now] + 1, place]
+            while len(miss := np.flatnonzero(arc < 0)):
+                got[miss] += self.weight[now[miss]]
+                now[miss] = self.up[now[miss]]
+                arc[miss] = self.by_place[self.level[now[miss]] + 1, place[miss]]
+            state[:n] = self.target[arc]
+            scored = step >= lead[:n]
+            out[place[scored]] = (got + self.gain[arc])[scored]
+        return out
+
+
+def _walked(order: int, figures: dict[str, float]):
     def walk(key, blocks: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.itertuples():
             grams = Grams(row, order)
             known = Known(grams, said, order, order - 1)
             c, word = known.n[1], grams.at[1]
-            base = np.log10((c + 1) / (total + kinds + 1))
-            # the root's arcs; what it has no arc for shares the discounts of all words
-            p = np.where(c > 0, (c - discount) / max(total, 1), discount * kinds / total if total else 1.0)[word]
-            for k in range(2, order + 1):
-                # by state: what its arcs' counts are divided by, and the weight of its failure arc
-                of, place, history = known.n[k - 1], grams.place[k], grams.history[k]
-                share = 1 / np.maximum(of, 1)
-                fail = np.where(of > 0, DISCOUNT * known.types[k - 1] * share, 1.0)
-                arcs = np.maximum(known.n[k] - DISCOUNT, 0)
-                p[place] = arcs[grams.at[k]] * share[history] + fail[history] * p[place]
-            sums = [np.bincount(grams.text, x, grams.texts) for x in ((c > 0)[word], base[word], np.log10(p))]
+            base = np.log10((c + 1) / (figures["total"] + figures["kinds"] + 1))
+            passed = Automaton(grams, known, order, figures).walk(grams)
+            sums = [np.bincount(grams.text, x, grams.texts) for x in ((c > 0)[word], base[word], passed)]
             out.append(
                 pd.DataFrame({
                     "_id": pd.array(list(row.docs), "Int64"), "_train": np.asarray(row.train, bool),
