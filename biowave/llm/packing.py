@@ -84,7 +84,7 @@ def ranges(cut: DataFrame, tokens: int, lots: int) -> DataFrame:
     sums = parted.groupBy("_part").agg(F.sum("length").alias("_sum"))  # a row for each 2 ** RANGE_BITS places
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy("_part").orderBy("_at", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("_part").orderBy("_at", "doc_id", "piece", "_row").rowsBetween(Window.unboundedPreceding, -1)
     counted = parted.withColumn("_own", F.coalesce(F.sum("length").over(own), F.lit(0))).join(starts, "_part")
     size = max(1, -(-tokens // lots))
     return counted.withColumn("_lot", F.floor((F.col("_start") + F.col("_own")) / size).cast("bigint")).drop("_part", "_own", "_start")
@@ -132,7 +132,8 @@ def pack(
     """
     if json_path is None:
         json_path, ranks_path = default_paths()
-    cut = materialize(pieces(docs, id_col, text_col, capacity, json_path, ranks_path, order))
+    # rows that are alike in everything differ by their number, which is written with them
+    cut = materialize(pieces(docs, id_col, text_col, capacity, json_path, ranks_path, order).withColumn("_row", F.monotonically_increasing_id()))
     tokens = cut.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     lots = max(1, round(tokens / capacity / lot_sequences))
 
@@ -142,6 +143,5 @@ def pack(
         bins, offsets = sum_of_squares(group["length"].to_numpy(), capacity)
         return group.assign(sequence_id=group["_lot"].to_numpy(np.int64) * (1 << 32) + bins, offset=offsets).drop(columns="_lot")
 
-    # two rows that are alike in everything differ only by their number; crc32 spreads repeated ids
-    dealt = ranges(cut, tokens, lots) if order is not None else cut.withColumn("_lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)))
-    return dealt.drop("_at").groupBy("_lot").applyInPandas(lot, PIECES + ", sequence_id bigint, offset bigint")
+    dealt = ranges(cut, tokens, lots) if order is not None else cut.withColumn("_lot", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(lots)))
+    return dealt.drop("_at", "_row").groupBy("_lot").applyInPandas(lot, PIECES + ", sequence_id bigint, offset bigint")
