@@ -106,6 +106,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if kept.where(F.col(alike) > 1).isEmpty():
         return docs.join(kept, same, "left_semi")
     one = docs.join(kept.where(F.col(alike) == 1), same, "left_semi")
-    order = Window.partitionBy(id_col, mine).orderBy(F.to_json(F.struct(*docs.columns)))
-    some = docs.join(kept.where(F.col(alike) > 1), same, "left_semi").withColumn(place, F.row_number().over(order))
-    return one.union(some.where(F.col(place) == 1).drop(place))
+    # the first of rows alike is a partial minimum, so however many there are they are no task of their own
+    some = docs.join(kept.where(F.col(alike) > 1), same, "left_semi").groupBy(F.col(id_col).alias(key), mine.alias(digest))
+    first = some.agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(place)).select(f"{place}.*")
+    return one.union(first)

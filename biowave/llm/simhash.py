@@ -327,9 +327,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), _digest(text_col).alias("text_sha256"), F.col(text_col).alias("_text"))
     prints = materialize(rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary"))
-    # an id on several texts stands for several fingerprints, so links are between numbers of these
+    # an id on several texts stands for several fingerprints, so links are between numbers of these, given as they are written
     first = prints.where("_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("_id", "text_sha256")).alias("_m"))
-    numbered = materialize(first.select("fp", F.col("_m._id").alias("rep"), "_m.text_sha256", F.xxhash64("fp").alias("_at")))
+    numbered = materialize(first.select("fp", F.col("_m._id").alias("rep"), "_m.text_sha256", F.monotonically_increasing_id().alias("_at")))
     size = numbered.count()
     drawn = sampled_blocks(size, similarity)
     # few fingerprints fill a file and each gives a row a block, so they are dealt to tasks by the rows that they give
