@@ -155,3 +155,16 @@ def test_splitters_cut_hot_keys_only():
     at = sharding._splitters(sample, 10)
     assert sum(k == 5 for k, _ in at) > 5
     assert all(s == sharding.LOW for k, s in at if k != 5)
+
+
+def test_one_of_many_rows_alike_stays(spark):
+    """A third of the table is one row again and again; another differs in a column that the operator ignores."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(3000).select(F.lit(5).cast("bigint").alias("doc_id"), F.lit("again and again").alias("text"), F.lit("a").alias("source"))
+    other = spark.createDataFrame([(5, "Again AND again", "b"), (4, "again and again", "a"), (9, None, "c"), (9, "", "c")], "doc_id bigint, text string, source string")
+    alone = spark.range(100, 300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    kept = exact_dedup.drop_exact_copies(many.unionByName(other).unionByName(alone))
+    assert kept.columns == ["doc_id", "text", "source"] and kept.count() == 202
+    assert [tuple(r) for r in kept.where("doc_id = 5").collect()] == [(5, "Again AND again", "b")]  # the first as JSON
+    assert kept.where("doc_id = 9").count() == 1 and kept.where("doc_id = 4").isEmpty()

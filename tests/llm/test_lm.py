@@ -122,3 +122,82 @@ def test_packing_of_numbers():
     for ids in ([0, 1, 70000, 2**31, 5], [], [2**64 - 1, 3], list(range(100)), [0] * 50):
         v = np.array(ids, np.uint64)
         assert (lm._unpacked(lm._packed(v)) == v).all() and len(lm._unpacked(lm._packed(v))) == len(v)
+
+
+def blocks_of(spark, docs, order, block_chars, learns):
+    """The blocks of docs with what the rounds tell them, worked out here."""
+    import pandas as pd
+
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), learns.alias("_train"))
+    blocks = lm.encoded(df.coalesce(1), block_chars).toPandas()
+    buckets = [0, *[3] * order]
+
+    def answered(sent):
+        return pd.concat([lm._summed(g.copy()) for _, g in sent.groupby(["level", "bucket"])]) if len(sent) else pd.DataFrame(columns=[x.split()[0] for x in lm.SAID.split(", ")])
+
+    said = answered(pd.concat(lm._first_round(buckets)([blocks])))
+    for r in range(2, order + 1):
+        sent = [lm._next_round(r, order, buckets)(None, blocks[blocks["block"] == b], said[said["block"] == b]) for b in blocks["block"]]
+        said = pd.concat([said, answered(pd.concat(sent))])
+    return [(row, said[said["block"] == row.block]) for row in blocks.itertuples()]
+
+
+@pytest.mark.parametrize(("order", "block", "strip"), [(3, 10**9, 256), (3, 400, 5), (4, 900, 7), (2, 500, 3)])
+def test_states_and_arcs_by_brute_force(spark, monkeypatch, order, block, strip):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(lm, "STRIP", strip)
+    rng = random.Random(order)
+    docs = [(k, " ".join(rng.choice("aabbbcdefgh") for _ in range(rng.choice([0, 1, 2, 30, 90])))) for k in range(40)]
+    train = [f"<s> {t} </s>".split() for k, t in docs if k % 4]
+    grams = Counter(tuple(t[i : i + n]) for t in train for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    c = {g[0]: n for g, n in grams.items() if len(g) == 1 and g != ("<s>",)}
+    total, once, twice = sum(c.values()), *(sum(v == k for w, v in c.items() if w != "</s>") for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(h, w):
+        if not h:
+            return (c[w] - discount) / total if w in c else discount * len(c) / total
+        if h not in grams:
+            return p(h[1:], w)
+        kinds = sum(1 for g in grams if len(g) == len(h) + 1 and g[:-1] == h)
+        return max(grams[(*h, w)] - lm.DISCOUNT, 0) / grams[h] + lm.DISCOUNT * kinds / grams[h] * p(h[1:], w)
+
+    longest = lambda words: next((words[k:] for k in range(len(words)) if words[k:] in grams), ())
+    arcs = 0
+    for row, said in blocks_of(spark, docs, order, block, F.col("_id") % 4 != 0):
+        g = lm.Grams(row, order)
+        auto = lm.Automaton(g, lm.Known(g, said, order, order - 1), order, {"total": total, "kinds": len(c), "discount": discount})
+        texts = {k: f"<s> {t} </s>".split() for k, t in docs}
+        names, states, seen = {}, {0: ()}, set()
+        places = [(["<s>"] + texts[d][1:], i) for d in row.docs for i in range(1, len(texts[d]))]
+        for place, (words, i) in enumerate(places):  # what the numbers of words and states stand for
+            names[int(g.at[1][place])] = words[i]
+            for k in range(2, order + 1):
+                arc = int(auto.by_place[k, place])
+                if arc >= 0:
+                    history = tuple(words[i - k + 1 : i])
+                    assert states.setdefault(int(auto.source[arc]), history) == history and auto.level[auto.source[arc]] == k - 1
+        for place, (words, i) in enumerate(places):
+            for k in range(1, order + 1):
+                history, arc = tuple(words[max(0, i - k + 1) : i]), int(auto.by_place[k, place])
+                if len(history) < k - 1:
+                    assert arc < 0
+                    continue
+                assert (arc >= 0) == (k == 1 or (*history, words[i]) in grams)
+                if arc >= 0:
+                    seen.add(arc)
+                    assert names[int(auto.word[arc])] == words[i] and 10 ** auto.gain[arc] == pytest.approx(p(history, words[i]))
+                    after = longest((*history, words[i])[-(order - 1) :])
+                    assert states.get(int(auto.target[arc]), after) == after and auto.level[auto.target[arc]] == len(after)
+        for s, history in states.items():
+            if s:
+                kinds = sum(1 for x in grams if len(x) == len(history) + 1 and x[:-1] == history)
+                assert states.get(int(auto.up[s]), longest(history[1:])) == longest(history[1:]) == history[1:]
+                assert 10 ** auto.weight[s] == pytest.approx(lm.DISCOUNT * kinds / grams[history])
+        walked = auto.walk(g)
+        assert np.allclose(walked, [math.log10(p(longest(tuple(words[max(0, i - order + 1) : i])), words[i])) for words, i in places])
+        arcs += len(seen)
+    assert arcs > 50

@@ -202,3 +202,14 @@ def test_lots_follow_the_mix(spark, sf_dir, monkeypatch, partitions):
     assert not in_order(plain)
     key = lambda rows: sorted((r["doc_id"], r["piece"], r["length"]) for r in rows)
     assert key(got) == key(plain)
+
+
+def test_rows_alike_fill_no_lot(spark):
+    """40,000 rows alike in id and text: as many lots as their tokens ask for, and no lot with far more than its share."""
+    df = spark.range(40_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("one two three four five six seven eight nine ten " * 4).alias("text"))
+    rows = packing.pack(df).groupBy((F.col("sequence_id") / (1 << 32)).cast("bigint").alias("lot")).agg(F.sum("length").alias("tokens"), F.count_distinct("sequence_id").alias("n")).collect()
+    total = sum(r["tokens"] for r in rows)
+    lots = max(1, round(total / 2048 / packing.LOT_SEQUENCES))
+    assert lots >= 2 and len(rows) == lots and max(r["tokens"] for r in rows) < 1.2 * total / lots
+    each = total // 40_000
+    assert sum(r["n"] for r in rows) <= -(-40_000 // (2048 // each)) + lots
