@@ -38,6 +38,6 @@ def nearest_choice(rows: DataFrame, items: DataFrame, group: str, index: Column)
 
 
 def deltas(results: DataFrame, key: str, baseline: str, values: list[str]) -> DataFrame:
-    """Each row's values less those of the baseline row."""
-    base = results.where(F.col(key) == baseline).select(*[F.col(v).alias(f"_b_{v}") for v in values])
+    """Each row's values less those of the baseline row; of several the least, and without one the differences are null."""
+    base = results.where(F.col(key) == baseline).agg(*[F.min(v).alias(f"_b_{v}") for v in values])  # one row
     return results.join(F.broadcast(base)).select("*", *[(F.col(v) - F.col(f"_b_{v}")).alias(f"d_{v}") for v in values]).drop(*[f"_b_{v}" for v in values])

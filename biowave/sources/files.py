@@ -115,15 +115,19 @@ def read_mat(spark: SparkSession, path: str, field: str | None = None, regrasp_f
 
 
 def read_array_mat(spark: SparkSession, path: str, first: tuple[str, ...] = ("a",), least: int = 256) -> DataFrame:
-    """(path, signal): of each MAT-file the array with a wanted name, else its first; those with under `least` numbers give no row."""
+    """(path, signal, error): of each MAT-file the array with a wanted name, else its first; those with under `least` numbers give no
+    row, and one that can't be read is a row with an error."""
 
     def of(file: str, data: bytes) -> list[tuple]:
-        arrays = parse_mat(data)
+        try:
+            arrays = parse_mat(data)
+        except Exception as e:
+            return [(file, None, str(e)[:200])]
         found = _first(arrays, list(first))
         found = next(iter(arrays.values()), np.zeros(0)) if found is None else found
-        return [(file, found.reshape(-1, order="F").astype(float))] if found.size >= least else []
+        return [(file, found.reshape(-1, order="F").astype(float), None)] if found.size >= least else []
 
-    return _parsed(spark, path, "*.mat", "path string, signal array<double>", of)
+    return _parsed(spark, path, "*.mat", "path string, signal array<double>, error string", of)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:

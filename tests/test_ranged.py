@@ -102,3 +102,14 @@ def test_nothing_to_read(spark, tmp_path):
     assert spark.read.format("wfdb212").load(str(tmp_path)).collect() == []
     no = spark.createDataFrame([], "record string, start bigint, n bigint")
     assert ranged.read_slices(str(tmp_path), no).collect() == []
+
+
+def test_a_bad_file_is_a_row_with_an_error(spark, tmp_path):
+    x = np.arange(300.0)[:, None]
+    (tmp_path / "good.mat").write_bytes(files.mat_bytes({"b": x * 2, "a": x}))
+    (tmp_path / "short.mat").write_bytes(files.mat_bytes({"a": x[:10]}))
+    whole = files.mat_bytes({"a": x})
+    (tmp_path / "bad.mat").write_bytes(whole[:128] + struct.pack("<II", 15, 40) + b"not deflated at all, but forty bytes lon")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_array_mat(spark, str(tmp_path)).collect()}
+    assert set(got) == {"good.mat", "bad.mat"} and got["good.mat"]["signal"] == x[:, 0].tolist() and got["good.mat"]["error"] is None
+    assert got["bad.mat"]["signal"] is None and got["bad.mat"]["error"]
