@@ -20,6 +20,7 @@ WHITE_EMD = (1.0, 0.4751015, 0.29994139, 0.21576524, 0.13714082, 0.09261460, 0.0
 WHITE_CEEMDAN = (1.0, 0.45871, 0.309190, 0.19652, 0.14093, 0.084863, 0.06222, 0.05597)
 
 LEAST_SAMPLES = 64  # of a signal that is decomposed
+SHORTEST = 27  # samples up to which no signal is filtered
 
 DEFAULTS = {
     "hp": {"order": 4, "drift_hz": 10.0, "line_hz": 60.0, "line_q": 5.0, "ecg_hz": 40.0, "motion_hz": 40.0, "motion_nstdb_hz": 20.0, "low_hz": 20.0, "high_hz": 500.0, "colour_is_white": True},
@@ -44,7 +45,9 @@ class Noise:
 
 
 def iir_chain(x: np.ndarray, rate: float, noise: Noise, p: dict) -> np.ndarray:
-    """Filters for what is known to be in the signals: line notch, band, drift, then ECG and motion."""
+    """Filters for what is known to be in the signals: line notch, band, drift, then ECG and motion; short signals stay as they are."""
+    if x.shape[1] <= SHORTEST:
+        return x
     if noise.line:
         x = K.without_tone(x, rate, p["line_hz"], p["line_q"])
     if noise.white or (noise.colour and p["colour_is_white"]):
@@ -159,7 +162,7 @@ def run(method: str, x: np.ndarray, rate: float, types: str | None, paths: str |
     if method == "hp":
         return iir_chain(x, rate, noise, p), np.ones(len(x), bool)
     if method == "highpass":
-        return K.high_pass(x, rate, p["cutoff_hz"], p["order"]), np.ones(len(x), bool)
+        return (K.high_pass(x, rate, p["cutoff_hz"], p["order"]) if x.shape[1] > SHORTEST else x.copy()), np.ones(len(x), bool)
     out, ok = x.copy(), np.zeros(len(x), bool)
     for k, row in enumerate(x):
         out[k], ok[k] = template_subtraction(row, rate, p) if method == "ts" else decomposed(method, row, rate, noise, p)

@@ -61,3 +61,12 @@ def funnel(graded: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_total"), has("nan_metric").alias("n_nan"), has("fail_spectral").alias("n_fail_spectral"),
         has("fail_snr").alias("n_fail_snr"), has("fail_hampel").alias("n_fail_hampel"), F.count_if("pass_final").alias("n_pass"),
     )
+
+
+def quality_report(graded: DataFrame, dataset: str, hampel: bool = True) -> str:
+    """The funnel of a dataset's graded rows as text; one row of counts comes to the driver."""
+    n = funnel(graded).first()
+    share = 100 * n["n_pass"] / n["n_total"] if n["n_total"] else 0.0
+    stages = [("nan_metric", n["n_nan"]), ("fail_spectral", n["n_fail_spectral"]), ("fail_snr", n["n_fail_snr"])] + ([("fail_hampel", n["n_fail_hampel"])] if hampel else [])
+    lines = [f"Quality filter: {dataset}", "", f"rows of trials and channels  {n['n_total']}", f"pass                         {n['n_pass']} ({share:.2f} %)", ""]
+    return "\n".join([*lines, *[f"stage {k}, {name:<15} {count}" for k, (name, count) in enumerate(stages)]]) + "\n"

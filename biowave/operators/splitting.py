@@ -30,6 +30,20 @@ def subject_split(subjects: DataFrame, test_dataset: str, train_ratio: float = 0
     return ranked.withColumn("split", split).drop("_rank", "_n", "_v")
 
 
+def split_summary(split: DataFrame) -> DataFrame:
+    """Subjects and segments of each split."""
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("subjects"), F.sum("segments").alias("segments"))
+
+
+def split_report(split: DataFrame, test_dataset: str) -> str:
+    """The datasets of a subject split as text, those that had too few subjects to validate, and the splits' sizes; counts come to the driver."""
+    by = split.groupBy("dataset").agg(F.count(F.lit(1)).alias("subjects"), F.sum("segments").alias("segments")).orderBy("dataset").collect()
+    sizes = {r["split"]: (r["subjects"], r["segments"]) for r in split_summary(split).collect()}
+    few = [f"  {r['dataset']}: subjects {r['subjects']}, none validates" for r in by if r["dataset"] != test_dataset and r["subjects"] <= 1]
+    lines = ["Subject split", "", *[f"  {r['dataset']}: subjects {r['subjects']}, segments {r['segments']}" for r in by], *(["", "too few", *few] if few else []), ""]
+    return "\n".join(lines + [f"{s}: subjects {sizes.get(s, (0, 0))[0]}, segments {sizes.get(s, (0, 0))[1]}" for s in ("train", "valid", "test")]) + "\n"
+
+
 def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, salt: str = "fold") -> DataFrame:
     """rows with a fold each: every label's rows are dealt in turn, in the order of a hash of the key.
 

@@ -390,3 +390,23 @@ def test_label_files_by_whole_numbers(spark):
     files_ = spark.createDataFrame([(7, n) for n in names], "subject int, name string")
     got = identity.label_files(files_, spark.createDataFrame([(7, 1), (7, 11), (7, 2), (8, 1)], "subject int, trial int")).collect()
     assert {(r["trial"], r["name"]) for r in got} == {(1, "t1b1.csv"), (11, "trial_11.csv")}
+
+
+def test_short_signals_are_not_filtered():
+    x = np.random.default_rng(0).standard_normal((2, 40))
+    for method, types in (("hp", "PLI+ECG"), ("highpass", "MOA")):
+        assert np.array_equal(denoise.run(method, x[:, :27], 1000.0, types, "")[0], x[:, :27])
+        assert not np.array_equal(denoise.run(method, x[:, :28], 1000.0, types, "")[0], x[:, :28])
+
+
+def test_reports_of_quality_and_split(spark):
+    rows = [(20.0, 20.0, 20.0, 1.0, 0.01), (12.0, 20.0, 20.0, 1.0, 0.5), (1.0, 20.0, 20.0, 1.0, 0.0), (30.0, 1.0, 20.0, 1.0, 0.0), (None, 1.0, 1.0, 1.0, 0.0)]
+    graded = grading.grade(spark.createDataFrame(rows, "snr_db double, smr_db double, shr_db double, ohm double, hamp_er double"))
+    text = grading.quality_report(graded, "db1")
+    assert "db1" in text and "1 (20.00 %)" in text
+    assert [int(line.split()[-1]) for line in text.splitlines() if line.startswith("stage")] == [1, 1, 1, 1]
+    subjects = spark.createDataFrame([("a", f"a{k}", k + 1) for k in range(10)] + [("b", "b0", 5), ("t", "t0", 7)], "dataset string, subject string, segments int")
+    text = splitting.split_report(splitting.subject_split(subjects, "t"), "t")
+    assert "a: subjects 10, segments 55" in text and "b: subjects 1, none validates" in text and "test: subjects 1, segments 7" in text
+    train, valid = (int(next(x for x in text.splitlines() if x.startswith(s)).split()[2].rstrip(",")) for s in ("train", "valid"))
+    assert (train, valid) == (9, 2)
