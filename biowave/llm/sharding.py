@@ -84,7 +84,7 @@ def shard(
         )
     )
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = min(max_ranges, max(32 * shards if count > 32 * shards else 1, math.ceil(count / rows_per_range)))
+    ranges = min(max_ranges, max(32 * shards, math.ceil(count / rows_per_range))) if count else 1
     at = _splitters(_sampled(rows, PER_RANGE * ranges / total, 0), PER_RANGE) if ranges > 1 else []
     for again in range(1, ROUNDS + 1):
         sums = {
