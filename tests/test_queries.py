@@ -9,7 +9,7 @@ import __spark_entry__
 from biowave.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"denoise_ceemdan", "denoise_vmd", "denoise_emd", "fold_classification"}
+SLOW = {"denoise_ceemdan", "denoise_vmd", "denoise_emd", "sweep_ceemdan", "sweep_vmd", "fold_classification"}  # their operators have tests of their own
 
 
 @pytest.fixture(scope="session")

@@ -14,7 +14,7 @@ SCANS = (
 )
 
 
-@pytest.mark.parametrize("size", [5, 16])
+@pytest.mark.parametrize("size", [5])
 @pytest.mark.parametrize("name", SCANS)
 def test_queries_with_many_seams(spark, sf_dir, monkeypatch, name, size):
     monkeypatch.setattr(scans, "PART", size)
