@@ -28,8 +28,8 @@ def plan_of(spark, sf):
 
 
 def ecg_plan(spark, sf):
-    """Attempts at slices: record, hour and start of each."""
-    return plan_of(spark, sf)
+    """Attempts at slices: record, hour and start of each, -1 where none fits."""
+    return plan_of(spark, sf).na.fill(-1, ["start"])
 
 
 def ecg_manifest(spark, sf):
@@ -80,7 +80,7 @@ pln AS (
            high - low - {SIZE} > 1 AS fits FROM met)"""
 
 ORACLE_SQL = {
-    "ecg_plan": f"WITH {PLAN_SQL} SELECT * FROM pln",
+    "ecg_plan": f"WITH {PLAN_SQL} SELECT * REPLACE (coalesce(start, -1) AS start) FROM pln",
     "ecg_manifest": f"""WITH {PLAN_SQL},
         sam AS (SELECT user_id AS record, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
         spr AS (

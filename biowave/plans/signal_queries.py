@@ -162,7 +162,7 @@ def long_filters(spark, sf):
 
 
 def long_hampel(spark, sf):
-    h = long_signals.hampel_windows(long_recordings(spark, sf), RATE, 2.0, 1.0, 512)
+    h = long_signals.hampel_windows(long_recordings(spark, sf), RATE, 0.5, 0.25, 512)
     return h.select("rec", "n", r(F.col("largest"), "largest"), r(F.col("mean"), "mean"))
 
 
