@@ -181,10 +181,13 @@ def denoise(rows: DataFrame, method: str, rate: float, signal: str = "noisy", ty
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             value = part[vary[1]] if vary else pd.Series(0.0, index=part.index)
-            kinds = pd.Series(list(zip(part[types], part[paths], part[signal].map(lambda v: -1 if v is None else len(v)), value, strict=True)), index=part.index)
+            # signals are worked on together whose names tell the same, whatever files their noise is from
+            told = [tuple(vars(Noise(t, p)).values()) for t, p in zip(part[types], part[paths], strict=True)]
+            kinds = pd.Series(list(zip(told, part[signal].map(lambda v: -1 if v is None else len(v)), value, strict=True)), index=part.index)
             denoised, ok = pd.Series([None] * len(part), index=part.index, dtype=object), pd.Series(False, index=part.index)
-            for (t, p, n, v), at in kinds.groupby(kinds, dropna=False).groups.items():
+            for (_, n, v), at in kinds.groupby(kinds, dropna=False).groups.items():
                 if n > 0:
+                    t, p = part.loc[at[0], types], part.loc[at[0], paths]
                     x = np.stack(part.loc[at, signal].to_numpy()).astype(float)
                     own = (params or {}).get(method) or {}
                     y, good = run(method, x, rate, t, p, (params or {}) | {method: own | {vary[0]: v}} if vary else params)
