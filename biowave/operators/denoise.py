@@ -21,6 +21,8 @@ WHITE_CEEMDAN = (1.0, 0.45871, 0.309190, 0.19652, 0.14093, 0.084863, 0.06222, 0.
 
 LEAST_SAMPLES = 64  # of a signal that is decomposed
 SHORTEST = 27  # samples up to which no signal is filtered
+HELD = 1 << 19  # samples of signals whose modes a task holds
+DECOMPOSE = ("emd", "vmd", "ceemdan")
 
 DEFAULTS = {
     "hp": {"order": 4, "drift_hz": 10.0, "line_hz": 60.0, "line_q": 5.0, "ecg_hz": 40.0, "motion_hz": 40.0, "motion_nstdb_hz": 20.0, "low_hz": 20.0, "high_hz": 500.0, "colour_is_white": True},
@@ -84,31 +86,43 @@ def template_subtraction(x: np.ndarray, rate: float, p: dict) -> tuple[np.ndarra
     return out, True
 
 
-def _cleaned_modes(modes: np.ndarray, centre: np.ndarray, x: np.ndarray, rate: float, noise: Noise, p: dict, white, baseline: bool = True) -> np.ndarray:
-    """Modes after tone, motion, drift and broadband rules; white gives a mode's broadband treatment."""
+class Modes:
+    """Decompositions by a method; those of a signal that comes again, for other names or another candidate, are there already."""
+
+    def __init__(self, method: str):
+        self.method, self.known = method, {}
+
+    def of(self, x: np.ndarray, p: dict) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """For each row of x its modes and, where the method gives them, their centres as fractions of the rate."""
+        given = tuple(p.get(c) for c in ("modes", "trials", "alpha", "tau", "tol"))
+        keys = [(given, row.tobytes()) for row in x]
+        if new := {key: k for k, key in enumerate(keys) if key not in self.known}:
+            some = x[list(new.values())]
+            if self.method == "vmd":
+                found = list(zip(*K.vmds(some, p["modes"], p["alpha"], p["tau"], p["tol"]), strict=True))
+            else:
+                found = [(m, None) for m in (K.ceemdans(some, p["trials"], most=p["modes"]) if self.method == "ceemdan" else K.emds(some, p["modes"]))]
+            self.known.update(zip(new, found, strict=True))
+        return [self.known[key] for key in keys]
+
+
+def _cleaned_modes(modes: np.ndarray, centre: np.ndarray, rate: float, noise: Noise, p: dict, baseline: bool = True) -> np.ndarray:
+    """Modes (a row each, of any signals) after tone, motion and drift rules."""
     out = modes.copy()
-    for k, f in enumerate(centre):
-        one = out[k : k + 1]
-        if noise.line and 50 < f < 70:
-            one = K.without_tone(one, rate, f, 20.0)
-        if not baseline:
-            pass
-        elif noise.motion:
-            one = one * 0 if f < p["f_min"] else K.high_pass(one, rate, p["f_min"])
-        elif noise.drift:
-            one = one * 0 if f < 10 else one - K.low_pass(one, rate, 10.0)
-        out[k] = one[0]
-    return white(out) if noise.broad else out
-
-
-def _without_beats(modes: np.ndarray, x: np.ndarray, rate: float) -> np.ndarray:
-    """High-pass the six modes most like the low part of the signal."""
-    low = K.low_pass(x[None], rate, 40.0)[0]
+    if noise.line:
+        at = (centre > 50) & (centre < 70)
+        out[at] = K.without_tones(out[at], rate, centre[at], 20.0)
+    if baseline and (noise.motion or noise.drift):
+        low = centre < (p["f_min"] if noise.motion else 10)
+        out[low] *= 0
+        out[~low] = K.high_pass(out[~low], rate, p["f_min"]) if noise.motion else out[~low] - K.low_pass(out[~low], rate, 10.0)
+    return out
+
+
+def _like_beats(modes: np.ndarray, low: np.ndarray) -> list[int]:
+    """The six modes of a signal most like its low part."""
     live = [k for k in range(len(modes)) if modes[k].any() and modes[k].std() > 0]
-    like = sorted(live, key=lambda k: abs(np.corrcoef(low, modes[k])[0, 1]))[-6:] if low.std() > 0 else []
-    for k in like:
-        modes[k] = K.high_pass(modes[k : k + 1], rate, 30.0)[0]
-    return modes
+    return sorted(live, key=lambda k: abs(np.corrcoef(low, modes[k])[0, 1]))[-6:] if low.std() > 0 else []
 
 
 def _by_spread(expected: tuple[float, ...], modes: np.ndarray, keep_last: bool):
@@ -123,54 +137,88 @@ def _by_spread(expected: tuple[float, ...], modes: np.ndarray, keep_last: bool):
     return white
 
 
-def decomposed(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict) -> tuple[np.ndarray, bool]:
-    """The signal from its cleaned modes; false for one that is short or not finite, or that doesn't come apart."""
-    if len(x) < LEAST_SAMPLES or not np.isfinite(x).all():
-        return x, False
+def _put_in(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict) -> np.ndarray:
+    """What is decomposed of signals: without what is below the band where the noise is coloured."""
+    return K.high_pass(x, rate, p["f_min"]) if noise.colour else x
+
+
+def decomposed(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict, modes: Modes) -> tuple[np.ndarray, np.ndarray]:
+    """Signals from their cleaned modes, and whether that worked; not for those that are short or not finite, or that don't come apart."""
+    out, ok = x.copy(), np.zeros(len(x), bool)
+    at = np.flatnonzero(np.isfinite(x).all(axis=1)) if x.shape[1] >= LEAST_SAMPLES else np.zeros(0, int)
+    if not len(at):
+        return out, ok
     try:
-        out = _from_modes(method, K.high_pass(x[None], rate, p["f_min"])[0] if noise.colour else x, rate, noise, p)
+        made = _from_modes(method, _put_in(method, x[at], rate, noise, p), rate, noise, p, modes)
     except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError):
-        return x, False
-    return (out, True) if np.isfinite(out).all() else (x, False)
+        if len(at) > 1:  # by themselves, so that one that fails takes no other with it
+            for k in at:
+                out[[k]], ok[[k]] = decomposed(method, x[[k]], rate, noise, p, modes)
+        return out, ok
+    good = np.isfinite(made).all(axis=1)
+    out[at[good]], ok[at[good]] = made[good], True
+    return out, ok
 
 
-def _from_modes(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict) -> np.ndarray:
+def _from_modes(method: str, x: np.ndarray, rate: float, noise: Noise, p: dict, modes: Modes) -> np.ndarray:
+    """Signals from their modes: those of all signals are filtered together, what depends on a signal's own modes goes signal by signal."""
+    found = modes.of(x, p)
+    ends = np.cumsum([len(m) for m, _ in found])
+    each = [slice(b - len(m), b) for (m, _), b in zip(found, ends, strict=True)]
+    flat = np.concatenate([m for m, _ in found])
     if method == "vmd":
-        modes, centre = K.vmd(x, p["modes"], p["alpha"], p["tau"], p["tol"])
-        centre = centre * rate
-
-        def white(out):
+        centre = np.concatenate([c for _, c in found]) * rate
+        # beats aren't for these modes, and what would take motion or drift takes them for it
+        out = _cleaned_modes(flat, centre, rate, noise, p, baseline=not noise.ecg)
+        if noise.broad:
             for k, f in enumerate(centre):
                 out[k] = K.interval_soft(out[k], K.threshold_of(out[k]) / 4) if p["f_min"] <= f <= p["f_max"] else 0
-            return out
-
-        # beats aren't for these modes, and what would take motion or drift takes them for it
-        return _cleaned_modes(modes, centre, x, rate, noise, p, white, baseline=not noise.ecg).sum(axis=0)
+        return np.stack([out[s].sum(axis=0) for s in each])
+    power = np.abs(np.fft.rfft(flat))[:, : x.shape[1] // 2]
+    out = _cleaned_modes(flat, power.argmax(axis=1) * rate / x.shape[1], rate, noise, p)
     ceemdan = method == "ceemdan"
-    modes = K.ceemdan(x, p["trials"], most=p["modes"]) if ceemdan else K.emd(x, p["modes"])
-    power = np.abs(np.fft.rfft(modes))[:, : len(x) // 2]
-    centre = power.argmax(axis=1) * rate / len(x)
-    out = _cleaned_modes(modes, centre, x, rate, noise, p, _by_spread(WHITE_CEEMDAN if ceemdan else WHITE_EMD, modes, ceemdan))
-    return (_without_beats(out, x, rate) if noise.ecg else out).sum(axis=0)
+    if noise.broad:
+        for (m, _), s in zip(found, each, strict=True):
+            out[s] = _by_spread(WHITE_CEEMDAN if ceemdan else WHITE_EMD, m, ceemdan)(out[s])
+    if noise.ecg:
+        low = K.low_pass(x, rate, 40.0)
+        beats = np.array([s.start + k for s, v in zip(each, low, strict=True) for k in _like_beats(out[s], v)], int)
+        out[beats] = K.high_pass(out[beats], rate, 30.0)
+    return np.stack([out[s].sum(axis=0) for s in each])
 
 
-def run(method: str, x: np.ndarray, rate: float, types: str | None, paths: str | None, params: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Cleaned signals (rows of x) and whether each worked."""
+def _parameters(method: str, params: dict | None) -> dict:
     p = DEFAULTS[method] | ((params or {}).get(method) or {})
     p["modes"] = int(p.get("modes", 0))
+    return p
+
+
+def run(method: str, x: np.ndarray, rate: float, types: str | None, paths: str | None, params: dict | None = None, modes: Modes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cleaned signals (rows of x) and whether each worked; modes may hold decompositions that are there already."""
+    p = _parameters(method, params)
     noise = Noise(types, paths)
     if method == "hp":
         return iir_chain(x, rate, noise, p), np.ones(len(x), bool)
     if method == "highpass":
         return (K.high_pass(x, rate, p["cutoff_hz"], p["order"]) if x.shape[1] > SHORTEST else x.copy()), np.ones(len(x), bool)
-    out, ok = x.copy(), np.zeros(len(x), bool)
-    for k, row in enumerate(x):
-        out[k], ok[k] = template_subtraction(row, rate, p) if method == "ts" else decomposed(method, row, rate, noise, p)
+    if method == "ts":
+        out, ok = x.copy(), np.zeros(len(x), bool)
+        for k, row in enumerate(x):
+            out[k], ok[k] = template_subtraction(row, rate, p)
+    else:
+        out, ok = decomposed(method, x, rate, noise, p, modes or Modes(method))
     if p["fallback"] == "hp" and not ok.all():
         out[~ok] = iir_chain(x[~ok], rate, noise, DEFAULTS["hp"] | ((params or {}).get("hp") or {}))
     return out, ok
 
 
+def _runs(part: pd.DataFrame, signal: str) -> Iterator[pd.DataFrame]:
+    """Rows one after the other with about HELD samples, so that what is held of their modes is bounded."""
+    run = (np.cumsum([0 if v is None else len(v) for v in part[signal]]) // HELD).astype(int)
+    for k in np.unique(run):
+        yield part[run == k].reset_index(drop=True)
+
+
 def denoise(rows: DataFrame, method: str, rate: float, signal: str = "noisy", types: str = "noise_types", paths: str = "noise_paths", params: dict | None = None, vary: tuple[str, str] | None = None) -> DataFrame:
     """rows with `denoised` and `ok`. Filter and select rows before: nothing is pushed below this.
 
@@ -178,23 +226,39 @@ def denoise(rows: DataFrame, method: str, rate: float, signal: str = "noisy", ty
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("denoised", T.ArrayType(T.DoubleType())), T.StructField("ok", T.BooleanType())])
 
+    def own_params(v: float) -> dict | None:
+        return (params or {}) | {method: ((params or {}).get(method) or {}) | {vary[0]: v}} if vary else params
+
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (some for whole in parts for some in _runs(whole, signal)):
             value = part[vary[1]] if vary else pd.Series(0.0, index=part.index)
             # signals are worked on together whose names tell the same, whatever files their noise is from
-            told = [tuple(vars(Noise(t, p)).values()) for t, p in zip(part[types], part[paths], strict=True)]
-            kinds = pd.Series(list(zip(told, part[signal].map(lambda v: -1 if v is None else len(v)), value, strict=True)), index=part.index)
+            noises = [Noise(t, p) for t, p in zip(part[types], part[paths], strict=True)]
+            lengths = part[signal].map(lambda v: -1 if v is None else len(v))
+            kinds = pd.Series(list(zip([tuple(vars(n).values()) for n in noises], lengths, value, strict=True)), index=part.index)
             denoised, ok = pd.Series([None] * len(part), index=part.index, dtype=object), pd.Series(False, index=part.index)
+            modes = _decomposed_together(part[signal], noises, lengths, value) if method in DECOMPOSE else None
             for (_, n, v), at in kinds.groupby(kinds, dropna=False).groups.items():
                 if n > 0:
                     t, p = part.loc[at[0], types], part.loc[at[0], paths]
                     x = np.stack(part.loc[at, signal].to_numpy()).astype(float)
-                    own = (params or {}).get(method) or {}
-                    y, good = run(method, x, rate, t, p, (params or {}) | {method: own | {vary[0]: v}} if vary else params)
+                    y, good = run(method, x, rate, t, p, own_params(v), modes)
                     for k, row, g in zip(at, y, good, strict=True):
                         denoised[k], ok[k] = row, bool(g)
             yield part.assign(denoised=denoised, ok=ok)
 
+    def _decomposed_together(signals: pd.Series, noises: list[Noise], lengths: pd.Series, value: pd.Series) -> Modes:
+        """What is decomposed of the signals depends on little of their names, so it is done for more of them than one kind."""
+        modes, colour = Modes(method), [n.colour for n in noises]
+        alike = pd.DataFrame({"n": lengths.to_numpy(), "colour": colour, "v": value.to_numpy()}).groupby(["n", "colour", "v"], dropna=False)
+        for (n, _, v), at in alike.indices.items():
+            if n >= LEAST_SAMPLES:
+                x = np.stack(signals.iloc[at].to_numpy()).astype(float)
+                x, p = x[np.isfinite(x).all(axis=1)], _parameters(method, own_params(v))
+                if len(x):
+                    modes.of(_put_in(method, x, rate, noises[at[0]], p), p)
+        return modes
+
     return rows.mapInPandas(batch, schema)
 
 

@@ -410,3 +410,14 @@ def test_reports_of_quality_and_split(spark):
     assert "a: subjects 10, segments 55" in text and "b: subjects 1, none validates" in text and "test: subjects 1, segments 7" in text
     train, valid = (int(next(x for x in text.splitlines() if x.startswith(s)).split()[2].rstrip(",")) for s in ("train", "valid"))
     assert (train, valid) == (9, 2)
+
+
+def test_a_sweep_decomposes_a_signal_once_for_all_candidates(monkeypatch):
+    seen = []
+    monkeypatch.setattr(denoise.K, "emds", lambda x, most, of=denoise.K.emds: seen.append(len(x)) or of(x, most))
+    x = np.random.default_rng(5).standard_normal((3, 100))
+    modes = denoise.Modes("emd")
+    got = [denoise.run("emd", x, 128.0, "WGN", "", {"emd": {"f_min": f}}, modes) for f in (5.0, 10.0, 20.0)]
+    assert seen == [3] and all(ok.all() for _, ok in got)
+    alone = [denoise.run("emd", row[None], 128.0, "WGN", "", {"emd": {"f_min": 10.0}})[0][0] for row in x]
+    assert np.allclose(got[1][0], alone)
