@@ -421,3 +421,22 @@ def test_a_sweep_decomposes_a_signal_once_for_all_candidates(monkeypatch):
     assert seen == [3] and all(ok.all() for _, ok in got)
     alone = [denoise.run("emd", row[None], 128.0, "WGN", "", {"emd": {"f_min": 10.0}})[0][0] for row in x]
     assert np.allclose(got[1][0], alone)
+
+
+def test_subjects_are_split_by_arithmetic_in_ranges(spark):
+    """Places of validating subjects as listed by the definition; no expression holds a list of them, and no dataset is one task."""
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 7, "e": 11, "f": 53, "g": 1009, "t": 20}
+    rows = [(d, f"{d}_{k}", (k * 7919) % 997 if k % 13 else 5) for d, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "dataset string, subject string, segments bigint")
+    want = {}
+    for d, n in sizes.items():
+        v = min(max(round((1.0 - 0.8) * n), 2), n - 1)
+        step = (n - 1) / max(v - 1, 1)
+        places = {int(np.floor(k * step)) for k in range(max(v, 1))} if n > 1 else set()
+        for rank, (_, subject, _) in enumerate(sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], r[1]))):
+            want[subject] = "test" if d == "t" else "valid" if rank in places else "train"
+    out = splitting.subject_split(df, "t")
+    assert {r["subject"]: r["split"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains" not in plan and "partitionBy(dataset)" not in plan
+    assert "transform(" not in plan.replace("Transform(", "")
