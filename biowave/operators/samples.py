@@ -59,6 +59,7 @@ def mixed_samples(segments: DataFrame, jobs: DataFrame, library: DataFrame, size
     parts = parts.withColumn("block", (F.col("_start") / size).cast("int")).withColumn("_off", F.col("_start") % size)
     met = parts.join(stretches(library, size), ["noise_type", "idx", "block"])
     met = met.select(*key, F.struct("at", "noise_type", "path", F.slice("stretch", F.col("_off") + 1, F.lit(size)).alias("noise")).alias("_part"))
+    met = met.repartition("seg")  # where the segments are met, so that the noise moves once and not for its sample and its segment each
     whole = met.groupBy(*key).agg(F.sort_array(F.collect_list("_part")).alias("_parts")).join(segments.select("seg", "clean"), "seg")
 
     types, has_wgn = F.transform("_parts", lambda p: p["noise_type"]), F.col("_has_wgn")

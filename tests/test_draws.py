@@ -101,3 +101,17 @@ def test_epochs_differ_and_come_again(spark):
     stats = {(r["epoch"], r["kind"], r["name"]): r["n"] for r in samples.mixing_stats(samples.mixed_samples(keys, samples.epoch_jobs(keys, [0], -12.0, 9.0, 2, 3), library, 16, key=("epoch", "seg")), ["epoch"]).collect()}
     assert stats[0, "all", ""] == 50 and stats[0, "k", "2"] + stats[0, "k", "3"] == 50
     assert sum(n for (_, kind, _), n in stats.items() if kind == "type") == 2 * stats[0, "k", "2"] + 3 * stats[0, "k", "3"]
+
+
+def test_noise_moves_once_to_where_its_segments_are(spark):
+    """With no table small enough to be sent to all, samples are put together and meet their segments in one partitioning."""
+    from biowave.plans import sample_queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sample_queries.mixed_grid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(seg" in line]
+    assert len(moved) == 2 and not any("snr" in line.split("hashpartitioning(")[1].split(")")[0] for line in moved)
