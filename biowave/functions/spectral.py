@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -10,12 +12,21 @@ from pyspark.sql import functions as F
 from biowave.functions import kernels as K
 
 
+TOGETHER = 1 << 19  # samples that are worked on as one matrix, about
+
+
+def _lots(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of arrays of one length, of about TOGETHER samples, so that what their matrix takes doesn't grow with the rows of a batch."""
+    for n in np.unique(sizes[sizes > 0]):
+        at, rows = np.flatnonzero(sizes == n), max(1, TOGETHER // int(n))
+        yield from (at[k : k + rows] for k in range(0, len(at), rows))
+
+
 def by_length(columns: list[pd.Series], of, n_out: int) -> list[np.ndarray]:
     """of(matrices) for the rows of each length, put back in their places; null or empty arrays give NaN."""
     sizes = columns[0].map(lambda v: -1 if v is None else len(v)).to_numpy()
     out = [np.full(len(sizes), np.nan) for _ in range(n_out)]
-    for n in np.unique(sizes[sizes > 0]):
-        at = np.flatnonzero(sizes == n)
+    for at in _lots(sizes):
         values = of(*[np.stack(c.to_numpy()[at]).astype(float) for c in columns])
         for o, v in zip(out, values, strict=True):
             o[at] = v
@@ -89,8 +100,7 @@ def mapped(signal: Column, of) -> Column:
     def run(series: pd.Series) -> pd.Series:
         out = [None] * len(series)
         sizes = series.map(lambda v: -1 if v is None else len(v)).to_numpy()
-        for n in np.unique(sizes[sizes > 0]):
-            at = np.flatnonzero(sizes == n)
+        for at in _lots(sizes):
             for k, row in zip(at, of(np.stack(series.to_numpy()[at]).astype(float)), strict=True):
                 out[k] = row
         return pd.Series(out, dtype=object)

@@ -123,3 +123,19 @@ def test_quantile_of_many_samples_in_many_tasks(spark):
     """Three million samples of one group: sums in BINS bins leave the tasks, not values."""
     df = spark.range(0, 3_000_000, 1, 16).select(((F.col("id") * 7919) % 3_000_000 / 7).alias("v"))
     assert order_statistics.quantile(df, [], F.col("v"), 0.99).first()["quantile"] == pytest.approx(np.quantile(np.arange(3_000_000) / 7, 0.99), rel=1e-12)
+
+
+def test_arrays_are_worked_on_in_lots_of_bounded_size(spark):
+    """However many rows a batch has; a function that sees more than a lot is an error."""
+    from biowave.functions import spectral
+
+    def of(x):
+        assert x.size <= (1 << 19)
+        return x * 2
+
+    rows = spark.range(0, 600, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(1000) + F.col("id").cast("int") % 2), lambda v: (v + F.col("id")).cast("double")).alias("x"))
+    out = rows.select("id", spectral.mapped(F.col("x"), of).alias("y"), spectral.features(["m"], lambda x: {"m": of(x).max(axis=1)}, F.col("x"))["m"].alias("m")).collect()
+    assert len(out) == 600
+    for r in out:
+        n = 1000 + r["id"] % 2
+        assert len(r["y"]) == n and r["y"][0] == 2.0 * (1 + r["id"]) and r["y"][-1] == r["m"] == 2.0 * (n + r["id"])
