@@ -306,6 +306,38 @@ def _resembling(pairs: DataFrame, texts: DataFrame, words: int, similarity: floa
     return met.where(F.col("c") >= F.lit(similarity) * F.col("u")).select("src", "dst")
 
 
+COUNTED, FREQUENT, MOST_FREQUENT = 4096, 3, 1 << 18  # texts in which shingles are counted; texts from which on one is frequent; frequent ones
+
+
+def _frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many texts have, as a sample of them tells. This sets an order only: what is found doesn't depend on it."""
+    some = texts.orderBy(F.xxhash64("_text"), "_text").limit(COUNTED).select(F.lit(0).cast("bigint").alias("_at"), "_text")
+    counts = shingle_sets(some, words).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()["h"].to_numpy(np.int64))
+
+
+def _prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles, frequent ones last, as many as make two sets of that resemblance share one of theirs."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    last = np.zeros(n, bool)
+    if len(frequent):
+        last = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+    return shingles[np.lexsort((shingles, last))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _not_yet_together(numbered: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (src, dst) of different components that could have the similarity: whose first shingles meet and whose sizes allow it."""
+    at = numbered.join(component.select(F.col("node").alias("_at"), F.col("component").alias("_of")), "_at", "left")
+    rows = at.select("_at", F.coalesce("_of", "_at").alias("_of"), "n", F.explode("prefix").alias("h"))
+    shared = rows.groupBy("h").agg(F.min("_of").alias("_lo"), F.max("_of").alias("_hi")).where("_lo < _hi").select("h")
+    met = materialize(rows.join(shared, "h"))
+    a, b = met.toDF("h", "src", "_a", "_m"), met.toDF("h", "dst", "_b", "_n")
+    near = (F.least("_m", "_n") >= F.lit(similarity) * F.greatest("_m", "_n") - 1e-9) & (F.col("_a") != F.col("_b")) & (F.col("src") < F.col("dst"))
+    return a.join(b, "h").where(near).select("src", "dst").distinct()
+
+
 def _digest(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
@@ -316,20 +348,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A radius that wide can't be searched with whole blocks of 64 bits. So fingerprints have 1024 bits here, blocks are sampled
     sets of bits, and those that share a block are compared. Hamming distance estimates the resemblance with a standard
     deviation of about 0.03. So pairs that are far nearer than the similarity asks for link, those far beyond it don't, and
-    between groups of linked texts the shingle sets of the closest pair decide. Nulls, ids, repeated rows and empty
+    between groups of linked texts the shingle sets of the closest pair decide. Pairs that this leaves out are looked for after it,
+    exactly: sets that resemble each other share one of their first shingles, whatever the order, and all such pairs that
+    are not together yet are decided by their sets. Nulls, ids, repeated rows and empty
     inputs are treated as in near_groups().
     """
 
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), _digest(text_col).alias("text_sha256"), F.col(text_col).alias("_text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows.where("_text IS NOT NULL").select("_text"), words))
+
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             fps = [wide_fingerprint(t, words, LANES).tobytes() for t in part["_text"]]
-            yield part.drop(columns="_text").assign(fp=fps)
+            sets = [np.unique(np.array(_shingles(t, words), np.uint64)).view(np.int64) for t in part["_text"]]
+            firsts = [_prefix(v, similarity, frequent.value) for v in sets]
+            yield part.drop(columns="_text").assign(fp=fps, n=[len(v) for v in sets], prefix=firsts)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), _digest(text_col).alias("text_sha256"), F.col(text_col).alias("_text"))
-    prints = materialize(rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary"))
+    written = materialize(rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary, n bigint, prefix array<bigint>"))
+    prints = written.select("_id", "text_sha256", "fp")
     # an id on several texts stands for several fingerprints, so links are between numbers of these, given as they are written
-    first = prints.where("_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("_id", "text_sha256")).alias("_m"))
-    numbered = materialize(first.select("fp", F.col("_m._id").alias("rep"), "_m.text_sha256", F.monotonically_increasing_id().alias("_at")))
+    first = written.where("_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("_id", "text_sha256", "n", "prefix")).alias("_m"))
+    numbered = materialize(first.select("fp", F.col("_m._id").alias("rep"), "_m.text_sha256", "_m.n", "_m.prefix", F.monotonically_increasing_id().alias("_at")))
     size = numbered.count()
     drawn = sampled_blocks(size, similarity)
     # few fingerprints fill a file and each gives a row a block, so they are dealt to tasks by the rows that they give
@@ -359,11 +398,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = ends.select("src", "dst", "d", F.coalesce("_a", "src").alias("_a"), F.coalesce("_b", "dst").alias("_b")).where("_a <> _b")
     closest = ends.groupBy(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).agg(F.min(F.struct("d", "src", "dst")).alias("_m"))
     pairs = materialize(closest.select("_m.src", "_m.dst"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(
-        numbered.join(pairs.select(F.explode(F.array("src", "dst")).alias("_at")).distinct(), "_at", "left_semi").select(F.col("rep").alias("_id"), "_at", "text_sha256"), "_id"
-    )
-    texts = texts.where(_digest("_text") == F.col("text_sha256")).select("_at", "_text").dropDuplicates(["_at"])
-    component = connected_components(sure.union(_resembling(pairs, texts, words, similarity)))
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("src", "dst")).alias("_at")).distinct()
+        wanted = numbered.join(ends, "_at", "left_semi").select(F.col("rep").alias("_id"), "_at", "text_sha256")
+        found = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id")
+        return found.where(_digest("_text") == F.col("text_sha256")).select("_at", "_text").dropDuplicates(["_at"])
+
+    linked = materialize(sure.union(_resembling(pairs, texts_of(pairs), words, similarity)))
+    others = materialize(_not_yet_together(numbered, connected_components(linked), similarity))
+    component = connected_components(linked.union(_resembling(others, texts_of(others), words, similarity)))
     placed = numbered.join(component, numbered["_at"] == component["node"], "left").select("fp", "rep", F.coalesce("component", "_at").alias("_of"))
     least = materialize(placed.groupBy("_of").agg(F.min("rep").alias("component_id")))
     classes = materialize(placed.join(least, "_of").select("fp", "component_id"))

@@ -224,3 +224,29 @@ def test_near_copies_go_by_row(spark):
     rows = [(1, text), (5, near), (5, other), (6, other), (6, other), (None, near)]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(repr, kept)) == sorted(map(repr, [r for r in spark.createDataFrame([(1, text), (5, other), (None, near)], "doc_id bigint, text string").collect()]))
+
+
+def test_no_pair_that_resembles_is_left_out(spark):
+    """Pairs just at the resemblance, which share a block of bits or lie within the radius only by chance, all come together."""
+    rng = np.random.default_rng(11)
+    line = " ".join(f"licence{k}" for k in range(12))  # that all texts have
+    rows, wanted = [], []
+    for k in range(150):
+        words = [f"w{v}" for v in rng.integers(0, 50_000, 88)]
+        other = list(words)
+        other[20], other[60] = "x", "y"
+        rows += [(2 * k, f"{line} {' '.join(words)}"), (2 * k + 1, f"{line} {' '.join(other)}")]
+        sets = [set(simhash._shingles(t, 5)) for _, t in rows[-2:]]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.82
+    got = {r[0]: r[2] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(150))
+
+
+def test_first_shingles_of_sets_that_resemble_meet():
+    rng = np.random.default_rng(12)
+    frequent = np.arange(0, 400, 3)
+    for n in range(1, 60):
+        a = np.sort(rng.choice(400, n, replace=False))
+        b = np.unique(np.concatenate([a[rng.random(n) < 0.93], rng.choice(400, n // 12)]))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash._prefix(a, 0.8, frequent), simhash._prefix(b, 0.8, frequent)))
