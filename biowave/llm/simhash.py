@@ -51,7 +51,10 @@ def _shingles(text: str | None, words: int) -> list[int]:
 
 def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
     """SimHash of a text's word shingles in `lanes` signed 64-bit numbers; zeros without words."""
-    hashes = _shingles(text, words)
+    return _wide_of(_shingles(text, words), lanes)
+
+
+def _wide_of(hashes: list[int], lanes: int) -> np.ndarray:
     if not hashes:
         return np.zeros(lanes, np.int64)
     bits = np.zeros(64 * lanes, np.int64)
@@ -303,39 +306,92 @@ def _resembling(pairs: DataFrame, texts: DataFrame, words: int, similarity: floa
     left, right = sets.toDF("src", "_left"), sets.toDF("dst", "_right")
     common = F.size(F.array_intersect("_left", "_right"))
     met = pairs.join(left, "src").join(right, "dst").select("src", "dst", common.alias("c"), (F.size("_left") + F.size("_right") - common).alias("u"))
-    return met.where(F.col("c") >= F.lit(similarity) * F.col("u")).select("src", "dst")
+    found = materialize(met.where(F.col("c") >= F.lit(similarity) * F.col("u")).select("src", "dst"))
+    discard(sets)
+    return found
+
+
+def _parity(shingles: np.ndarray) -> bytes:
+    """For each residue of a set's shingles, by a power of two from their number on, whether it has an odd number of them."""
+    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount(shingles & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _parities_apart(left: bytes, right: bytes) -> int:
+    """Residues whose parities differ: two sets have at least as many elements that are not in both."""
+    short, long = sorted((left, right), key=len)
+    x = int.from_bytes(long, "little")
+    for bits in (4 * len(long) >> k for k in range((len(long) // len(short)).bit_length() - 1)):
+        x = x >> bits ^ x & (1 << bits) - 1
+    return (x ^ int.from_bytes(short, "little")).bit_count()
+
+
+def _could_resemble(pairs: DataFrame, numbered: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) without those whose parities prove that their sets resemble each other less, so that few sets are compared."""
+
+    @F.pandas_udf("bigint")
+    def apart(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_parities_apart(a, b) for a, b in zip(left, right, strict=True)], dtype="int64")
 
+    own = numbered.select("_at", "n", "parity")
+    both = pairs.join(own.toDF("src", "_m", "_left"), "src").join(own.toDF("dst", "_n", "_right"), "dst")
+    most = (F.col("_m") + F.col("_n") - apart("_left", "_right")) / 2  # of elements in both
+    return both.where(most * (1 + similarity) >= similarity * (F.col("_m") + F.col("_n")) - 1e-6).select("src", "dst")
 
-COUNTED, FREQUENT, MOST_FREQUENT = 4096, 3, 1 << 18  # texts in which shingles are counted; texts from which on one is frequent; frequent ones
 
+COUNTED, FREQUENT, MOST_FREQUENT = 1 << 14, 2, 1 << 19  # texts in which shingles are counted, at least; texts from which on one is frequent; frequent ones
 
-def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many texts have, as a sample of them tells. This sets an order only: what is found doesn't depend on it."""
-    some = texts.orderBy(F.xxhash64("_text"), "_text").limit(COUNTED).select(F.lit(0).cast("bigint").alias("_at"), "_text")
+
+def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have and how many, as a sample of them tells: every sixteenth text, or more of fewer texts.
+
+    This sets an order only: what is found doesn't depend on it.
+    """
+    one_in = min(16, max(1, texts.count() // COUNTED))
+    some = texts.where(F.pmod(F.xxhash64("_text"), F.lit(one_in)) == 0).select(F.lit(0).cast("bigint").alias("_at"), "_text")
     counts = shingle_sets(some, words).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()["h"].to_numpy(np.int64))
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = top["h"].to_numpy(), top["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order].astype(np.int32)
 
 
-def _prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+def _prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """The first of a set's shingles, frequent ones last, as many as make two sets of that resemblance share one of theirs."""
     n = len(shingles)
     if not n:
         return shingles
-    last = np.zeros(n, bool)
+    last = np.zeros(n, np.int32)
     if len(frequent):
-        last = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        last = np.where(frequent[at] == shingles, 1 if counts is None else counts[at], 0)
     return shingles[np.lexsort((shingles, last))][: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def _not_yet_together(numbered: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (src, dst) of different components that could have the similarity: whose first shingles meet and whose sizes allow it."""
-    at = numbered.join(component.select(F.col("node").alias("_at"), F.col("component").alias("_of")), "_at", "left")
-    rows = at.select("_at", F.coalesce("_of", "_at").alias("_of"), "n", F.explode("prefix").alias("h"))
-    shared = rows.groupBy("h").agg(F.min("_of").alias("_lo"), F.max("_of").alias("_hi")).where("_lo < _hi").select("h")
-    met = materialize(rows.join(shared, "h"))
-    a, b = met.toDF("h", "src", "_a", "_m"), met.toDF("h", "dst", "_b", "_n")
-    near = (F.least("_m", "_n") >= F.lit(similarity) * F.greatest("_m", "_n") - 1e-9) & (F.col("_a") != F.col("_b")) & (F.col("src") < F.col("dst"))
-    return a.join(b, "h").where(near).select("src", "dst").distinct()
+def _not_yet_together(written: DataFrame, numbered: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (src, dst) of different components that could have the similarity.
+
+    These are the pairs whose first shingles meet, whose sizes allow it and where enough is left of both sets from the shingle
+    where they meet: that holds for the first one that both have. Shingles that no other row has go first, with one column moved.
+    """
+    rows = written.where("_id IS NOT NULL").select("_at", F.posexplode("prefix").alias("_place", "h"))
+    twice = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("h"))
+    some = materialize(rows.join(twice, "h"))
+    of = component.select(F.col("node").alias("_at"), F.col("component").alias("_of"))
+    at = materialize(some.join(numbered.select("_at", "n").join(of, "_at", "left"), "_at").select("h", "_at", F.coalesce("_of", "_at").alias("_of"), "n", "_place"))
+    discard(twice, some)
+    shared = at.groupBy("h").agg(F.min("_of").alias("_lo"), F.max("_of").alias("_hi")).where("_lo < _hi").select("h")
+    met = materialize(at.join(shared, "h"))
+    discard(at)
+    a, b = met.toDF("h", "src", "_a", "_m", "_p"), met.toDF("h", "dst", "_b", "_n", "_q")
+    fits = F.least("_m", "_n") >= F.lit(similarity) * F.greatest("_m", "_n") - 1e-6
+    left = F.least(F.col("_m") - F.col("_p"), F.col("_n") - F.col("_q")) >= F.lit(similarity / (1 + similarity)) * (F.col("_m") + F.col("_n")) - 1e-6
+    near = fits & left & (F.col("_a") != F.col("_b")) & (F.col("src") < F.col("dst"))
+    pairs = materialize(a.join(b, "h").where(near).select("src", "dst").distinct())
+    discard(met)
+    others = materialize(_could_resemble(pairs, numbered, similarity))
+    discard(pairs)
+    return others
 
 
 def _digest(text_col: str) -> Column:
@@ -350,7 +406,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deviation of about 0.03. So pairs that are far nearer than the similarity asks for link, those far beyond it don't, and
     between groups of linked texts the shingle sets of the closest pair decide. Pairs that this leaves out are looked for after it,
     exactly: sets that resemble each other share one of their first shingles, whatever the order, and all such pairs that
-    are not together yet are decided by their sets. Nulls, ids, repeated rows and empty
+    are not together yet are decided by their sets, but for those that parities of residues of their sets rule out for certain. Nulls, ids, repeated rows and empty
     inputs are treated as in near_groups().
     """
 
@@ -359,16 +415,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            fps = [wide_fingerprint(t, words, LANES).tobytes() for t in part["_text"]]
-            sets = [np.unique(np.array(_shingles(t, words), np.uint64)).view(np.int64) for t in part["_text"]]
-            firsts = [_prefix(v, similarity, frequent.value) for v in sets]
-            yield part.drop(columns="_text").assign(fp=fps, n=[len(v) for v in sets], prefix=firsts)
-
-    written = materialize(rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary, n bigint, prefix array<bigint>"))
+            found = []
+            for text in part["_text"]:
+                hashes = _shingles(text, words)
+                shingles = np.unique(np.array(hashes, np.uint64)).view(np.int64)
+                found.append((_wide_of(hashes, LANES).tobytes(), len(shingles), _parity(shingles), _prefix(shingles, similarity, *frequent.value)))
+            own = pd.DataFrame(found, columns=["fp", "n", "parity", "prefix"], index=part.index)
+            yield pd.concat([part.drop(columns="_text"), own], axis=1)
+
+    written = rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary, n bigint, parity binary, prefix array<bigint>")
+    written = materialize(written.withColumn("_at", F.monotonically_increasing_id()))
     prints = written.select("_id", "text_sha256", "fp")
     # an id on several texts stands for several fingerprints, so links are between numbers of these, given as they are written
-    first = written.where("_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("_id", "text_sha256", "n", "prefix")).alias("_m"))
-    numbered = materialize(first.select("fp", F.col("_m._id").alias("rep"), "_m.text_sha256", "_m.n", "_m.prefix", F.monotonically_increasing_id().alias("_at")))
+    first = written.where("_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("_id", "text_sha256", "_at", "n", "parity")).alias("_m"))
+    numbered = materialize(first.select("fp", F.col("_m._id").alias("rep"), "_m.text_sha256", "_m._at", "_m.n", "_m.parity"))
     size = numbered.count()
     drawn = sampled_blocks(size, similarity)
     # few fingerprints fill a file and each gives a row a block, so they are dealt to tasks by the rows that they give
@@ -397,7 +457,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = found.where("d > 0").join(joined.toDF("src", "_a"), "src", "left").join(joined.toDF("dst", "_b"), "dst", "left")
     ends = ends.select("src", "dst", "d", F.coalesce("_a", "src").alias("_a"), F.coalesce("_b", "dst").alias("_b")).where("_a <> _b")
     closest = ends.groupBy(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).agg(F.min(F.struct("d", "src", "dst")).alias("_m"))
-    pairs = materialize(closest.select("_m.src", "_m.dst"))
+    pairs = materialize(_could_resemble(closest.select("_m.src", "_m.dst"), numbered, similarity))
+
     def texts_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("src", "dst")).alias("_at")).distinct()
         wanted = numbered.join(ends, "_at", "left_semi").select(F.col("rep").alias("_id"), "_at", "text_sha256")
@@ -405,12 +466,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return found.where(_digest("_text") == F.col("text_sha256")).select("_at", "_text").dropDuplicates(["_at"])
 
     linked = materialize(sure.union(_resembling(pairs, texts_of(pairs), words, similarity)))
-    others = materialize(_not_yet_together(numbered, connected_components(linked), similarity))
+    discard(found, pairs)
+    others = _not_yet_together(written, numbered, connected_components(linked), similarity)
     component = connected_components(linked.union(_resembling(others, texts_of(others), words, similarity)))
     placed = numbered.join(component, numbered["_at"] == component["node"], "left").select("fp", "rep", F.coalesce("component", "_at").alias("_of"))
     least = materialize(placed.groupBy("_of").agg(F.min("rep").alias("component_id")))
     classes = materialize(placed.join(least, "_of").select("fp", "component_id"))
-    return prints.join(classes, "fp", "left").select(F.col("_id").alias(id_col), "text_sha256", "component_id")
+    groups = materialize(prints.join(classes, "fp", "left").select(F.col("_id").alias(id_col), "text_sha256", "component_id"))
+    discard(written, numbered, linked, others, least, classes)
+    return groups
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -419,7 +483,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without an id stay. Rows alike in id and text stay or go together.
     """
     key, digest = fresh(docs, "_gone_id"), fresh(docs, "_gone_sha256")
-    groups = materialize(similar_groups(docs, id_col, text_col, words, similarity).where(F.col(id_col).isNotNull()))
+    groups = similar_groups(docs, id_col, text_col, words, similarity).where(F.col(id_col).isNotNull())
     first = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(id_col).alias("i"), "text_sha256")).alias("_first")).where("_n > 1")
     mine = F.struct(F.col(id_col).alias("i"), "text_sha256")
     gone = groups.join(first, "component_id").where(mine != F.col("_first")).select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest))

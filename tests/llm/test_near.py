@@ -250,3 +250,31 @@ def test_first_shingles_of_sets_that_resemble_meet():
         b = np.unique(np.concatenate([a[rng.random(n) < 0.93], rng.choice(400, n // 12)]))
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
             assert len(np.intersect1d(simhash._prefix(a, 0.8, frequent), simhash._prefix(b, 0.8, frequent)))
+
+
+def test_parities_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(13)
+    for n in (0, 1, 5, 64, 65, 500, 3000):
+        for m in (0, 1, 4, 50, 1100, 9000):
+            a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            b = np.unique(np.r_[a[: rng.integers(0, n + 1)], rng.integers(-(2**63), 2**63 - 1, m)])
+            x, y = simhash._parity(a), simhash._parity(b)
+            assert simhash._parities_apart(x, y) == simhash._parities_apart(y, x) <= len(np.setxor1d(a, b))
+    assert simhash._parities_apart(simhash._parity(a), simhash._parity(a)) == 0
+
+
+def test_few_sets_are_compared_where_many_texts_share_lines(spark, monkeypatch):
+    """Texts made of the same lines meet in their first shingles; only pairs that could resemble each other get their sets."""
+    rng = random.Random(14)
+    lines = [" ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(40)]
+    rows = [(k, " ".join(rng.sample(lines, 10))) for k in range(60)]
+    for k in range(10):
+        words = rows[k][1].split()
+        words[30], words[80] = "x", "y"
+        rows.append((100 + k, " ".join(words)))
+    compared, whole = [], simhash._resembling
+    monkeypatch.setattr(simhash, "_resembling", lambda pairs, *rest: compared.append(pairs.count()) or whole(pairs, *rest))
+    got = {r[0]: r[2] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if resemblance(x, y) >= 0.8]
+    assert len(near) == 10 and got == components([i for i, _ in rows], near)
+    assert sum(compared) <= 3 * len(near)
