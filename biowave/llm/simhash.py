@@ -326,12 +326,21 @@ def _parities_apart(left: bytes, right: bytes) -> int:
     return (x ^ int.from_bytes(short, "little")).bit_count()
 
 
+def _words_apart(left: Column, right: Column) -> Column:
+    """_parities_apart() of columns that hold parities as 64-bit words, one at most twice as many as the other."""
+    short, long = F.when(F.size(left) <= F.size(right), left).otherwise(right), F.when(F.size(left) <= F.size(right), right).otherwise(left)
+    half = F.size(short)
+    folded = F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+    folded = F.when(F.size(long) == half, long).otherwise(folded)
+    return F.aggregate(F.zip_with(short, folded, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, more: n + more)
+
+
 def _could_resemble(pairs: DataFrame, numbered: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) without those whose parities prove that their sets resemble each other less, so that few sets are compared."""
 
     @F.pandas_udf("bigint")
     def apart(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_parities_apart(a, b) for a, b in zip(left, right, strict=True)], dtype="int64")
+        return pd.Series([_parities_apart(a.tobytes(), b.tobytes()) for a, b in zip(left, right, strict=True)], dtype="int64")
 
     own = numbered.select("_at", "n", "parity")
     both = pairs.join(own.toDF("src", "_m", "_left"), "src").join(own.toDF("dst", "_n", "_right"), "dst")
@@ -368,11 +377,21 @@ def _prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, count
     return shingles[np.lexsort((shingles, last))][: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
+def _first_of_alike(at: DataFrame) -> DataFrame:
+    """(h) of at (h, _at, _of, _place) in more than one component, and of those in the same rows the one with the first places."""
+    rows = [F.bit_xor(F.xxhash64("_at", F.lit(k))).alias(f"_x{k}") for k in range(2)]
+    of = at.groupBy("h").agg(F.min("_of").alias("_lo"), F.max("_of").alias("_hi"), F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_rows"), *rows)
+    first = of.where("_lo < _hi").groupBy("_rows", "_x0", "_x1").agg(F.min(F.struct("_place", "h")).alias("_first"))
+    return first.select(F.col("_first.h").alias("h"))
+
+
 def _not_yet_together(written: DataFrame, numbered: DataFrame, component: DataFrame, similarity: float) -> DataFrame:
     """All pairs (src, dst) of different components that could have the similarity.
 
-    These are the pairs whose first shingles meet, whose sizes allow it and where enough is left of both sets from the shingle
-    where they meet: that holds for the first one that both have. Shingles that no other row has go first, with one column moved.
+    These are the pairs whose first shingles meet, whose sizes and parities allow it and where enough is left of both sets from the
+    shingle where they meet: that holds for the first one that both have. Shingles that no other row has go first, with one column
+    moved. Of those that the same rows have (told by 128 bits) only the one that comes first in all of them is kept: it is the first
+    that any two of these rows have among them. All conditions are the join's own, so it gives only pairs whose sets must be compared.
     """
     rows = written.where("_id IS NOT NULL").select("_at", F.posexplode("prefix").alias("_place", "h"))
     twice = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("h"))
@@ -380,17 +399,15 @@ def _not_yet_together(written: DataFrame, numbered: DataFrame, component: DataFr
     of = component.select(F.col("node").alias("_at"), F.col("component").alias("_of"))
     at = materialize(some.join(numbered.select("_at", "n").join(of, "_at", "left"), "_at").select("h", "_at", F.coalesce("_of", "_at").alias("_of"), "n", "_place"))
     discard(twice, some)
-    shared = at.groupBy("h").agg(F.min("_of").alias("_lo"), F.max("_of").alias("_hi")).where("_lo < _hi").select("h")
-    met = materialize(at.join(shared, "h"))
+    met = materialize(at.join(_first_of_alike(at), "h").join(numbered.select("_at", "parity"), "_at").select("h", "_at", "_of", "n", "_place", "parity"))
     discard(at)
-    a, b = met.toDF("h", "src", "_a", "_m", "_p"), met.toDF("h", "dst", "_b", "_n", "_q")
+    a, b = met.toDF("h", "src", "_a", "_m", "_p", "_left"), met.toDF("h", "dst", "_b", "_n", "_q", "_right")
     fits = F.least("_m", "_n") >= F.lit(similarity) * F.greatest("_m", "_n") - 1e-6
     left = F.least(F.col("_m") - F.col("_p"), F.col("_n") - F.col("_q")) >= F.lit(similarity / (1 + similarity)) * (F.col("_m") + F.col("_n")) - 1e-6
-    near = fits & left & (F.col("_a") != F.col("_b")) & (F.col("src") < F.col("dst"))
-    pairs = materialize(a.join(b, "h").where(near).select("src", "dst").distinct())
+    most = (F.col("_m") + F.col("_n") - _words_apart(F.col("_left"), F.col("_right"))) / 2
+    near = (F.col("src") < F.col("dst")) & (F.col("_a") != F.col("_b")) & fits & left & (most * (1 + similarity) >= similarity * (F.col("_m") + F.col("_n")) - 1e-6)
+    others = materialize(a.join(b, "h").where(near).select("src", "dst").distinct())
     discard(met)
-    others = materialize(_could_resemble(pairs, numbered, similarity))
-    discard(pairs)
     return others
 
 
@@ -419,11 +436,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text in part["_text"]:
                 hashes = _shingles(text, words)
                 shingles = np.unique(np.array(hashes, np.uint64)).view(np.int64)
-                found.append((_wide_of(hashes, LANES).tobytes(), len(shingles), _parity(shingles), _prefix(shingles, similarity, *frequent.value)))
+                found.append((_wide_of(hashes, LANES).tobytes(), len(shingles), np.frombuffer(_parity(shingles), np.int64), _prefix(shingles, similarity, *frequent.value)))
             own = pd.DataFrame(found, columns=["fp", "n", "parity", "prefix"], index=part.index)
             yield pd.concat([part.drop(columns="_text"), own], axis=1)
 
-    written = rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary, n bigint, parity binary, prefix array<bigint>")
+    written = rows.mapInPandas(batch, "_id bigint, text_sha256 string, fp binary, n bigint, parity array<bigint>, prefix array<bigint>")
     written = materialize(written.withColumn("_at", F.monotonically_increasing_id()))
     prints = written.select("_id", "text_sha256", "fp")
     # an id on several texts stands for several fingerprints, so links are between numbers of these, given as they are written

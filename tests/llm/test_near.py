@@ -278,3 +278,62 @@ def test_few_sets_are_compared_where_many_texts_share_lines(spark, monkeypatch):
     near = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if resemblance(x, y) >= 0.8]
     assert len(near) == 10 and got == components([i for i, _ in rows], near)
     assert sum(compared) <= 3 * len(near)
+
+
+def rows_of_joins(spark, key, run):
+    """Rows that joins by this key have made while run() ran, as Spark's metrics tell."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    made, executions = 0, store.executionsList(before, store.executionsCount() - before)
+    for k in range(executions.size()):
+        of = executions.apply(k).executionId()
+        metrics, nodes = store.executionMetrics(of), store.planGraph(of).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name() and f"[{key}#" in node.desc():
+                for m in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                        made += int(metrics.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_pairs_that_meet_dont_grow_with_the_square_of_a_family(spark):
+    """Texts changed in eight places each lie below the resemblance to one another; two of them have a copy just above it."""
+    made = {}
+    for size in (20, 100):
+        rng, rows = random.Random(15), []
+        for k in range(size):
+            words = [f"line{j}" for j in range(404)]
+            for j in rng.sample(range(80), 8):
+                words[5 * j] = f"own{k}of{j}"
+            rows.append((k, " ".join(words)))
+        for k in (3, 7):
+            words = rows[k][1].split()
+            for j in rng.sample(range(80), 8):
+                words[5 * j] = f"copy{k}of{j}"
+            rows.append((200 + k, " ".join(words)))
+        near = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if resemblance(x, y) >= 0.8]
+        assert near == [(3, 203), (7, 207)]
+        got = {}
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        made[size] = rows_of_joins(spark, "h", lambda: got.update((r[0], r[2]) for r in simhash.similar_groups(docs).collect()))  # noqa: B023
+        assert got == components([i for i, _ in rows], near)
+    assert 0 < made[100] <= 6 * made[20]
+
+
+def test_words_apart_are_parities_apart(spark):
+    rng = np.random.default_rng(16)
+    sets = [(np.unique(rng.integers(-(2**63), 2**63 - 1, n)), np.unique(rng.integers(-(2**63), 2**63 - 1, m))) for n in (1, 60, 65, 130, 700) for m in (n, n + n // 5)]
+    pairs = [(simhash._parity(a), simhash._parity(b)) for a, b in sets]
+    words = [tuple(np.frombuffer(x, np.int64).tolist() for x in p) for p in pairs]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(words)], "k int, a array<bigint>, b array<bigint>")
+    for left, right in (("a", "b"), ("b", "a")):
+        got = df.select("k", simhash._words_apart(F.col(left), F.col(right)).alias("n")).orderBy("k").collect()
+        assert [r["n"] for r in got] == [simhash._parities_apart(x, y) for x, y in pairs]
+
+
+def test_of_shingles_that_the_same_rows_have_the_first_is_kept(spark):
+    rows = [(11, 1, 1, 0), (11, 2, 2, 3), (12, 1, 1, 4), (12, 2, 2, 5), (13, 1, 1, 6), (13, 2, 2, 6), (13, 3, 1, 0), (14, 1, 1, 9), (14, 3, 1, 9), (15, 2, 2, 1), (15, 3, 1, 2)]
+    got = simhash._first_of_alike(spark.createDataFrame(rows, "h bigint, _at bigint, _of bigint, _place int")).collect()
+    assert sorted(r["h"] for r in got) == [11, 13, 15]
